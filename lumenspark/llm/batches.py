@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -55,3 +56,31 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches of a partition sorted by `key`, cut again so that no key's rows are in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        if held and held[-1].column(key)[-1] != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = k[b.num_rows - 1]
+        begin = pc.index(k, last).as_py()
+        if begin > 0:
+            yield pa.Table.from_batches([*held, b.slice(0, begin)])
+            held = [b.slice(begin)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
