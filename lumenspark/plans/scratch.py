@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,28 @@ def drop(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Plan nodes whose rows come in the same partitions and order whichever columns are read.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "Relation"}
+
+
+def _nodes(plan) -> set[str]:
+    out, waiting = set(), [plan]
+    while waiting:
+        p = waiting.pop()
+        out.add(p.nodeName().split(" ")[0].split("(")[0])
+        children = p.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Add a unique long per row that is the same in every use of the result, so that parts of rows can meet again by it.
+
+    Over a scan the number follows from the place of the row in its files. Anything else (a shuffle deals its rows
+    according to the columns that are read) is written first.
+    """
+    if not _nodes(df._jdf.queryExecution().optimizedPlan()) <= _STEADY:
+        df = materialize(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())
