@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lumenspark.llm.batches import map_texts, runs, whole_groups
 from lumenspark.operators.graph import connected_components
-from lumenspark.plans.scratch import materialize
+from lumenspark.plans.scratch import materialize, with_row_id
 
 RADIUS = 2
 SHINGLE = 3
@@ -193,7 +193,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (nulls last), the first of equal rows."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = with_row_id(docs, "__row")
     prints = materialize(fingerprints(numbered, ["doc_id", "__row"]), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
     best = class_components(prints, F.min(order))

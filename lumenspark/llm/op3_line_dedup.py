@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from lumenspark.llm.batches import runs, slices, texts_of, whole_groups
 from lumenspark.plans.ranking import with_position
-from lumenspark.plans.scratch import materialize
+from lumenspark.plans.scratch import materialize, with_row_id
 
 MIN_WORDS = 20
 
@@ -86,7 +86,7 @@ def suffix_ranks(lines: DataFrame, min_words: int) -> DataFrame:
 
 def shortest_runs(ranked: DataFrame, min_words: int) -> DataFrame:
     """(row, doc_id, line, size, a, b): the shortest runs of min_words words that may repeat, named by a, b and size."""
-    levels = [c for c in ranked.columns if c[0] == "r" and c[1:].isdigit()]
+    levels = [f"r{k}" for k in range(len(ranked.columns)) if f"r{k}" in ranked.columns]
     kind = ranked.schema["doc_id"]
     schema = T.StructType([T.StructField("row", T.LongType()), kind, *[T.StructField(c, T.LongType()) for c in ("line", "size", "a", "b")]])
 
@@ -152,7 +152,7 @@ def _gone(i: F.Column) -> F.Column:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """docs with the later copies of repeated line runs cut out of text; with `counts` also n_lines and n_deleted."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = with_row_id(docs, "__row")
     cuts = deletions(numbered.select(F.col("__row").alias("row"), "doc_id", "text"), min_words).toDF("__row", "__cuts")
     both = numbered.join(cuts, "__row", "left")
     lines = F.split("text", "\n", -1)

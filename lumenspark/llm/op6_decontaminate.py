@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspark.llm.batches import map_texts
+from lumenspark.plans.scratch import with_row_id
 
 WINDOW = 13
 MAX_ITEM_BYTES = 64_000_000
@@ -172,7 +173,7 @@ def _united(docs: DataFrame, benchmark: DataFrame, keep: list[str], max_bytes: i
     second = next(blocks, None)
     if second is None:
         return spans(docs, first, keep)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = with_row_id(docs, "__row")
     parts = [spans(numbered, b, ["__row"]) for b in (first, second, *blocks)]
     every = parts[0]
     for p in parts[1:]:
