@@ -128,6 +128,18 @@ def _show_array(xs: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else [one(x) for x in v] for v in xs])
 
 
+@F.pandas_udf("array<string>")
+def show_rows(rows: pd.Series) -> pd.Series:
+    """Each array of numbers as show_number texts joined by commas."""
+
+    def one(x: float) -> str:
+        if x == int(x) and abs(x) < 1e15:
+            return str(int(x))
+        return f"{x:.{6 if abs(x) < 0.001 else 4}f}".rstrip("0").rstrip(".")
+
+    return pd.Series([None if r is None else [None if v is None else ", ".join(one(x) for x in v) for v in r] for r in rows])
+
+
 def show_answer(num: Column, word: Column, text: Column) -> Column:
     """A result as the annotator's text suggests: as a percentage if the text means 100 times it."""
     p = parse_answer(text)

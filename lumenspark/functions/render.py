@@ -55,21 +55,26 @@ def argument_text(a: Column, shown: Column) -> Column:
     )
 
 
-def response(steps: Column, shown: Column, shown_rows: Column, num: Column, word: Column, answer_text: Column) -> Column:
-    """Numbered calculation steps and the final answer. shown: each step's result as text; shown_rows: for table steps
-    the row's values as text, joined by commas."""
+def response(steps: Column, num: Column, word: Column, answer_text: Column) -> Column:
+    """Numbered calculation steps and the final answer.
 
-    def line(s: Column, i: Column) -> Column:
-        res, x, y = F.get(shown, i), argument_text(s["a1"], shown), argument_text(s["a2"], shown)
-        words, sign = (F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) for d in (TABLE_WORDS, SIGNS))
+    steps: array of struct(op, a1, a2, shown, row): each step's result as text and, for table steps, the row's values as
+    text. The fold carries the results so far, which arguments may refer to.
+    """
+    words, signs = (F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) for d in (TABLE_WORDS, SIGNS))
+    nothing = F.array().cast("array<string>")
+
+    def step(acc: Column, s: Column) -> Column:
+        x, y = argument_text(s["a1"], acc["shown"]), argument_text(s["a2"], acc["shown"])
         body = (
-            F.when(s["op"].startswith("table_"), F.concat(F.try_element_at(words, s["op"]), F.lit(" of the '"), rewrite(s["a1"]), F.lit("' row ("), F.get(shown_rows, i), F.lit(") = "), res))
-            .when(s["op"] == "greater", F.concat(F.lit("is "), x, F.lit(" greater than "), y, F.lit("? "), res))
-            .otherwise(F.concat(x, F.lit(" "), F.try_element_at(sign, s["op"]), F.lit(" "), y, F.lit(" = "), res))
+            F.when(s["op"].startswith("table_"), F.concat(F.try_element_at(words, s["op"]), F.lit(" of the '"), rewrite(s["a1"]), F.lit("' row ("), s["row"], F.lit(") = "), s["shown"]))
+            .when(s["op"] == "greater", F.concat(F.lit("is "), x, F.lit(" greater than "), y, F.lit("? "), s["shown"]))
+            .otherwise(F.concat(x, F.lit(" "), F.try_element_at(signs, s["op"]), F.lit(" "), y, F.lit(" = "), s["shown"]))
         )
-        return F.concat((i + 1).cast("string"), F.lit(". "), body)
+        line = F.concat((F.size(acc["lines"]) + 1).cast("string"), F.lit(". "), body)
+        return F.struct(F.concat(acc["shown"], F.array(s["shown"])).alias("shown"), F.concat(acc["lines"], F.array(line)).alias("lines"))
 
-    lines = F.array_join(F.transform(steps, line), "\n")
+    lines = F.aggregate(steps, F.struct(nothing.alias("shown"), nothing.alias("lines")), step, lambda acc: F.array_join(acc["lines"], "\n"))
     return F.concat(F.lit("Calculation:\n"), lines, F.lit("\n\nAnswer: "), show_answer(num, word, answer_text))
 
 

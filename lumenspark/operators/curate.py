@@ -222,15 +222,14 @@ def examples(df: DataFrame, split: str, system: str) -> DataFrame:
 
 
 def with_response(df: DataFrame, deep: bool = False) -> DataFrame:
-    """response: the executed calculation as text, null where the program can't be executed. Uses raw_table."""
+    """response: the executed calculation as text, null where the program can't be executed; and table_values, the row
+    that each table step reads. Uses raw_table."""
     steps = P.parse(F.col("program"), deep)
     out = df.withColumn("__steps", steps).withColumn("__res", P.execute_steps(F.col("__steps"), F.col("raw_table")))
-    texts = N.show_numbers(F.transform("__res", lambda r: r["num"]))
-    out = out.withColumn("__nums", texts).withColumn("__shown", F.transform(F.arrays_zip(F.col("__nums").alias("n"), F.col("__res").alias("r")), lambda z: F.coalesce(z["r"]["txt"], z["n"])))
-    sizes = F.transform("__steps", lambda s: F.when(s["op"].startswith("table_"), P.row_values(F.col("raw_table"), s["a1"])))
-    out = out.withColumn("__sizes", F.transform(sizes, lambda v: F.size(F.coalesce(v, F.array().cast("array<double>")))))
-    out = out.withColumn("__flat", N.show_numbers(F.flatten(F.transform(sizes, lambda v: F.coalesce(v, F.array().cast("array<double>"))))))
-    before = lambda i: F.aggregate(F.slice("__sizes", 1, i), F.lit(0), lambda a, x: a + x)
-    rows = F.transform("__sizes", lambda n, i: F.array_join(F.slice("__flat", before(i) + 1, n), ", "))
-    text = R.response(F.col("__steps"), F.col("__shown"), rows, F.col("exe_num"), F.col("exe_txt"), F.col("answer_text"))
-    return out.withColumn("response", F.when(F.col("__res").isNotNull(), text)).drop("__steps", "__res", "__nums", "__shown", "__sizes", "__flat")
+    values = F.transform("__steps", lambda s: F.when(s["op"].startswith("table_"), P.row_values(F.col("raw_table"), s["a1"])))
+    # the values stay in the result: an Arrow UDF can't take nested lambdas, so its argument must be a column
+    out = out.withColumn("table_values", values)
+    told = F.arrays_zip(F.col("__steps").alias("s"), F.col("__res").alias("r"), N.show_numbers(F.transform("__res", lambda r: r["num"])).alias("n"), N.show_rows(F.col("table_values")).alias("v"))
+    steps = F.transform(told, lambda z: F.struct(z["s"]["op"].alias("op"), z["s"]["a1"].alias("a1"), z["s"]["a2"].alias("a2"), F.coalesce(z["r"]["txt"], z["n"]).alias("shown"), z["v"].alias("row")))
+    text = R.response(steps, F.col("exe_num"), F.col("exe_txt"), F.col("answer_text"))
+    return out.withColumn("response", F.when(F.col("__res").isNotNull(), text)).drop("__steps", "__res")

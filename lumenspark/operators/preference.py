@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenspark.operators.split import shuffle_key
+from lumenspark.plans.ranking import with_position
 
 
 def distinct_outputs(samples: DataFrame) -> DataFrame:
@@ -48,8 +49,14 @@ def build_pairs(samples: DataFrame, prompts: DataFrame, target: int, seed: int)
         F.col("answer").alias("gold"),
         lined.alias("rejected_has_answer_line"),
     )
-    room = max(0, target - pairs.filter("i = 0").count())
-    return pairs.filter("i = 0").unionByName(pairs.filter("i = 1").orderBy("source_id").limit(room))
+    counts = pairs.groupBy("i").count()
+    n = {r["i"]: r["count"] for r in counts.collect()}
+    room = max(0, target - n.get(0, 0))
+    second = pairs.filter("i = 1")
+    if n.get(1, 0) > room:
+        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        second = with_position(second, ["source_id"], parts, "__place").filter(F.col("__place") < room).drop("__place")
+    return pairs.filter("i = 0").unionByName(second)
 
 
 def broken_pairs(pairs: DataFrame, chosen_right, rejected_right) -> DataFrame:

@@ -138,6 +138,18 @@ def stale(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("id").join(vectors.select("id"), "id", "left_anti").union(vectors.select("id").join(rows.select("id"), "id", "left_anti"))
 
 
+def blocks_of(rows: DataFrame, size: int) -> Iterator[list]:
+    """The rows in lists of `size`, fetched a partition at a time."""
+    held: list = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def embed(df: DataFrame, encoder, text: str = "text", dim: int = 64) -> DataFrame:
     """id and embedding from a pluggable encoder(list of texts) -> float array [n, dim], rows made unit vectors."""
     kind = df.schema["id"].dataType.simpleString()
