@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns that must find exactly these spellings of numbers.
 MENTION = r"\d[\d,]*(?:\.\d+)?|\.\d+"
@@ -94,7 +95,7 @@ def same_result(a_num: Column, a_word: Column, b_num: Column, b_word: Column, re
     return F.coalesce(F.when(a_word.isNotNull() | b_word.isNotNull(), words).otherwise(close), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def py_format(x: pd.Series, decimals: pd.Series) -> pd.Series:
     """Fixed decimals rounded from the exact binary value, which JVM formatting doesn't do."""
     return pd.Series([None if pd.isna(v) else f"{v:.{int(d)}f}" for v, d in zip(x, decimals, strict=True)])
@@ -115,7 +116,7 @@ def show_numbers(xs: Column) -> Column:
     return _show_array(xs)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _show_array(xs: pd.Series) -> pd.Series:
     def one(x: float | None) -> str | None:
         if x is None or x != x:
@@ -128,7 +129,7 @@ def _show_array(xs: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else [one(x) for x in v] for v in xs])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def show_rows(rows: pd.Series) -> pd.Series:
     """Each array of numbers as show_number texts joined by commas."""
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenspark.functions.numbers import safe_double, to_number
 
-STEPS = "array<struct<op:string,a1:string,a2:string>>"
+STEPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "a1", "a2")]))
 _STEP = r"([A-Za-z_]\w*)\(((?:[^()]|\([^()]*\))*)\)"
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NUM = r"\d[\d,]*\.?\d*"
 # The artefacts of a known text extraction, in the order in which they must be rewritten.
@@ -39,7 +40,7 @@ _FLAGS = "(?Ud)"
 _SPACE = r"\s\x1c-\x1f"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which Spark lacks."""
     return pd.Series([None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x) for x in s])
@@ -67,12 +68,12 @@ def clean_text(c: Column) -> Column:
     return rewrite(nfkc(c))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_array(s: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v] for v in s])
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _nfkc_table(s: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [[None if x is None else unicodedata.normalize("NFKC", x) for x in r] for r in t] for t in s])
 

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLE = T.ArrayType(T.ArrayType(T.StringType()))
-PROGRAM_RECORD = T.StructType.fromDDL(
+PROGRAM_RECORD = (
     "id string, filename string, pre_text array<string>, post_text array<string>, table array<array<string>>, qa struct<question:string,answer:string,program:string,program_re:string,exe_ans:string,gold_inds:map<string,string>>"
 )
-SPAN_RECORD = T.StructType.fromDDL(
+SPAN_RECORD = (
     "table struct<uid:string,table:array<array<string>>>, paragraphs array<struct<order:int,text:string>>, "
     "questions array<struct<uid:string,order:int,question:string,answer:string,answer_type:string,answer_from:string,derivation:string,scale:string>>"
 )
 SHEET = ["pair_id", "is_duplicate (1/0)", "a_question", "b_question", "a_answer", "b_answer", "a_evidence", "b_evidence", "a_report", "b_report"]
 
 
-def read_arrays(spark: SparkSession, paths: dict[str, str], schema: T.StructType, standardize) -> DataFrame:
+def read_arrays(spark: SparkSession, paths: dict[str, str], schema: T.StructType | str, standardize) -> DataFrame:
     """JSON-array files by split, each through `standardize(raw, split)`, united in the order given."""
     parts = [standardize(spark.read.schema(schema).option("multiLine", True).json(p), split) for split, p in paths.items()]
     out = parts[0]
@@ -94,4 +94,4 @@ REGISTRY = {"program_records": ("curation", "json array", PROGRAM_RECORD), "span
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, r, f, s.simpleString()) for k, (r, f, s) in REGISTRY.items()], "name string, role string, format string, schema string")
+    return spark.createDataFrame([(k, r, f, s) for k, (r, f, s) in REGISTRY.items()], "name string, role string, format string, schema string")
