@@ -12,12 +12,17 @@ MENTION = r"\d[\d,]*(?:\.\d+)?|\.\d+"
 ANSWER = r"^\(?(-?\$?\s*-?[\d,]*\.?\d+)\)?\s*(%|million|billion|thousand|m|b|k)?$"
 ANY = r"-?\d[\d,]*\.?\d*"
 STATED = r"-?\$?\s*\(?-?\d[\d,]*\.?\d*\)?\s*%?|-?\.\d+\s*%?"
-_DOUBLE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_DOUBLE = "0123456789.+-eE \t\n\r"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row; lambda bodies get no common-subexpression elimination."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def safe_double(c: Column) -> Column:
     """The double that a decimal spelling stands for, else null; no suffixes, infinities or digit separators."""
-    return F.when(c.rlike(_DOUBLE), F.trim(c).try_cast("double"))
+    return F.when(F.translate(c, _DOUBLE, "") == "", c.try_cast("double"))
 
 
 def numbers_in(c: Column) -> Column:
@@ -33,13 +38,14 @@ def lost_numbers(before: Column, after: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """A cell or program argument: thousands commas, a percent sign, const_N or const_m1."""
-    t = F.replace(c, F.lit(","), F.lit(""))
-    name = F.substring(t, 7, 1000)
-    return F.coalesce(
-        safe_double(t),
-        F.when(t.contains("%"), safe_double(F.replace(t, F.lit("%"), F.lit(""))) / 100),
-        F.when(t == "const_m1", F.lit(-1.0)).when(t.startswith("const_"), safe_double(name)),
-    )
+    def read(t: Column) -> Column:
+        return F.coalesce(
+            safe_double(t),
+            F.when(t.contains("%"), safe_double(F.replace(t, F.lit("%"), F.lit(""))) / 100),
+            F.when(t == "const_m1", F.lit(-1.0)).when(t.startswith("const_"), safe_double(F.substring(t, 7, 1000))),
+        )
+
+    return let(F.replace(c, F.lit(","), F.lit("")), read)
 
 
 def _decimals(num: Column) -> Column:

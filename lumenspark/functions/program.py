@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspark.functions.numbers import safe_double, to_number
+from lumenspark.functions.numbers import let, safe_double, to_number
 
 STEPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "a1", "a2")]))
 _STEP = r"([A-Za-z_]\w*)\(((?:[^()]|\([^()]*\))*)\)"
@@ -47,27 +47,28 @@ def parse(c: Column, deep: bool = False) -> Column:
     """Steps of a program, null if it isn't one. Parentheses nest once; with `deep` to any depth, by an Arrow UDF."""
     if deep:
         return _parse_slow(c)
-    t = F.trim(c)
-    found = F.regexp_extract_all(t, F.lit(_STEP), 0)
-    steps = F.transform(
-        found,
-        lambda s: F.struct(
-            F.regexp_extract(s, "(?s)^([A-Za-z_]\\w*)\\(", 1).alias("op"),
-            F.trim(F.regexp_extract(s, r"(?s)^\w+\((.*), (.*)\)$", 1)).alias("a1"),
-            F.trim(F.regexp_extract(s, r"(?s)^\w+\((.*), (.*)\)$", 2)).alias("a2"),
-        ),
-    )
-    whole = F.array_join(found, ", ") == F.regexp_replace(t, r"\)\s*,\s*(?=[A-Za-z_]\w*\()", "), ")
-    two = F.forall(found, lambda s: s.rlike(r"(?s)^\w+\(.*, .*\)$"))
-    return F.when((F.size(found) > 0) & whole & two, steps)
+
+    def step(text: Column) -> Column:
+        op = F.substring_index(text, "(", 1)
+        args = F.substr(text, F.length(op) + 2, F.length(text) - F.length(op) - 2)
+        last = F.substring_index(args, ", ", -1)
+        first = F.when(F.length(last) < F.length(args), F.substr(args, F.lit(1), F.length(args) - F.length(last) - 2))
+        return F.struct(op.alias("op"), F.trim(first).alias("a1"), F.trim(last).alias("a2"))
+
+    def read(found: Column) -> Column:
+        whole = F.array_join(found, ", ") == F.regexp_replace(F.trim(c), r"\)\s*,\s*(?=[A-Za-z_]\w*\()", "), ")
+        steps = F.transform(found, step)
+        return F.when((F.size(found) > 0) & whole, let(steps, lambda x: F.when(F.forall(x, lambda y: y["a1"].isNotNull()), x)))
+
+    return let(F.regexp_extract_all(F.trim(c), F.lit(_STEP), 0), read)
 
 
 def row_values(table: Column, name: Column) -> Column:
     """Numbers of the first row that `name` heads: a currency sign goes, a cell ends at a parenthesis; null if any isn't one."""
-    rows = F.filter(table, lambda r: F.trim(F.get(r, F.lit(0))) == F.trim(name))
-    cells = F.slice(F.get(rows, F.lit(0)), 2, 100_000)
-    values = F.transform(cells, lambda x: to_number(F.trim(F.split_part(F.replace(x, F.lit("$"), F.lit("")), F.lit("("), F.lit(1)))))
-    return F.when((F.size(values) > 0) & ~F.exists(values, lambda v: v.isNull()), values)
+    row = F.get(F.filter(table, lambda r: F.trim(F.get(r, F.lit(0))) == F.trim(name)), F.lit(0))
+    number = lambda x: to_number(F.trim(F.split_part(F.replace(x, F.lit("$"), F.lit("")), F.lit("("), F.lit(1))))
+    values = let(row, lambda r: F.transform(F.slice(r, 2, 100_000), number))
+    return let(values, lambda v: F.when((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), v))
 
 
 _RESULTS = "array<struct<num:double,txt:string>>"
@@ -81,25 +82,33 @@ def execute_steps(steps: Column, table: Column) -> Column:
         k = F.when(a.rlike(r"^#\d+$"), F.substring(a, 2, 9).try_cast("int"))
         return F.when(a.startswith("#"), F.get(res, k)["num"]).otherwise(to_number(a))
 
+    def result(op: Column, v: Column) -> Column:
+        total = lambda: F.aggregate(v["values"], F.lit(0.0), lambda a, b: a + b)
+        return (
+            F.when(op == "table_max", F.array_max(v["values"]))
+            .when(op == "table_min", F.array_min(v["values"]))
+            .when(op == "table_sum", total())
+            .when(op == "table_average", F.try_divide(total(), F.size(v["values"])))
+            .when(op == "add", v["x"] + v["y"])
+            .when(op == "subtract", v["x"] - v["y"])
+            .when(op == "multiply", v["x"] * v["y"])
+            .when(op == "divide", F.try_divide(v["x"], v["y"]))
+            .when(op == "exp", F.pow(v["x"], v["y"]))
+        )
+
+    def outcome(op: Column, v: Column) -> Column:
+        txt = F.when((op == "greater") & v["x"].isNotNull() & v["y"].isNotNull(), F.when(v["x"] > v["y"], "yes").otherwise("no"))
+        return let(result(op, v), lambda n: F.struct(F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n).alias("num"), txt.alias("txt")))
+
     def step(acc: Column, s: Column) -> Column:
-        values = row_values(table, s["a1"])
-        x, y = argument(s["a1"], acc["res"]), argument(s["a2"], acc["res"])
-        total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-        num = (
-            F.when(s["op"] == "table_max", F.array_max(values))
-            .when(s["op"] == "table_min", F.array_min(values))
-            .when(s["op"] == "table_sum", total)
-            .when(s["op"] == "table_average", F.try_divide(total, F.size(values)))
-            .when(s["op"] == "add", x + y)
-            .when(s["op"] == "subtract", x - y)
-            .when(s["op"] == "multiply", x * y)
-            .when(s["op"] == "divide", F.try_divide(x, y))
-            .when(s["op"] == "exp", F.pow(x, y))
+        on_table = s["op"].startswith("table_")
+        values = F.struct(
+            F.when(on_table, row_values(table, s["a1"])).alias("values"),
+            F.when(~on_table, argument(s["a1"], acc["res"])).alias("x"),
+            F.when(~on_table, argument(s["a2"], acc["res"])).alias("y"),
         )
-        num = F.when(~F.isnan(num) & (F.abs(num) < float("inf")), num)
-        txt = F.when((s["op"] == "greater") & x.isNotNull() & y.isNotNull(), F.when(x > y, "yes").otherwise("no"))
-        good = acc["ok"] & (num.isNotNull() | txt.isNotNull())
-        return F.struct(good.alias("ok"), F.concat(acc["res"], F.array(F.struct(num.alias("num"), txt.alias("txt")))).alias("res"))
+        done = let(values, lambda v: outcome(s["op"], v))
+        return let(done, lambda r: F.struct((acc["ok"] & (r["num"].isNotNull() | r["txt"].isNotNull())).alias("ok"), F.concat(acc["res"], F.array(r)).alias("res")))
 
     return F.aggregate(steps, ok, step, lambda acc: F.when(acc["ok"], acc["res"]))
 
