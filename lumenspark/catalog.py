@@ -140,9 +140,18 @@ def clean_text_rules(s, d):
     return rows.select("id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query()
+# Line items as reports word them; each kind sets off three or four rules once.
+_WORDED = [
+    ("rose 5 % ( 5.1 % ) to $ 12 ..", ["dup_percent", "dollar_space", "double_terminal_punct"]),
+    ("( 8 ) , they don 't or do n't", ["paren_inner_space", "space_before_punct", "possessive_space", "negation_space"]),
+    ("f0b7 a  b fell -3 ( 3 )", ["decode_bullet", "dup_negative", "multi_space"]),
+]
+
+
+@query("SELECT rule, count(*) AS n FROM lineitem JOIN (VALUES " + ", ".join(f"({i}, '{r}')" for i, (_, rules) in enumerate(_WORDED) for r in rules) + ") AS t(k, rule) ON k = l_linenumber % 3 GROUP BY rule")
 def rule_totals(s, d):
-    return curate.rule_totals(table(s, d, "documents"), "text")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _WORDED]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return curate.rule_totals(table(s, d, "lineitem").select(text.alias("text")), "text")
 
 
 @query()
@@ -550,9 +559,10 @@ def latest_pred_per_id(s, d):
     return evaluate.latest(table(s, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def resume_todo(s, d):
-    return evaluate.todo(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = table(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return evaluate.todo(table(s, d, "customer").select("c_custkey"), done, "c_custkey")
 
 
 def _place(q: float) -> str:

@@ -18,6 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What this driver has written and not yet deleted.
+_written: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -28,20 +32,35 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     checkpoint() would compute an uncached plan twice; a written table is computed once and survives lost executors.
     """
     path = new_path(df.sparkSession, name)
+    _written.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def drop(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; only call it when nothing that is still to run reads it."""
     path = getattr(df, "_scratch", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that materialize() has written for this driver, and say how many tables that were.
+
+    For the end of a job: results that read such tables must have been stored before.
+    """
+    paths = sorted(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 #: Plan nodes whose rows come in the same partitions and order whichever columns are read.
