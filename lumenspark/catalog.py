@@ -17,6 +17,7 @@ from lumenspark.functions import scoring as S
 from lumenspark.functions import text as X
 from lumenspark.functions import tokens as K
 from lumenspark.operators import curate, evaluate, preference, similar, split
+from lumenspark.plans.spread import spread
 from lumenspark.sources import files
 from lumenspark.streaming import log
 
@@ -35,8 +36,10 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def table(spark: SparkSession, d: str, name: str, heavy: bool = False) -> DataFrame:
+    """A whole table; `heavy` deals out small ones to all cores, for costly expressions."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
 # --- exact copies
@@ -46,7 +49,7 @@ _KEYS = r"WITH k AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ',
 
 def _keyed(s: SparkSession, d: str) -> DataFrame:
     """Copies are grouped by a 256-bit digest of the key, so that whole texts don't go through the shuffle."""
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), F.sha2(X.exact_key(F.col("text")), 256).alias("key"))
+    return table(s, d, "documents", heavy=True).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ordinal"), F.sha2(X.exact_key(F.col("text")), 256).alias("key"))
 
 
 @query(f"{_KEYS} SELECT min(doc_id) AS first_id, count(*) AS copies FROM k GROUP BY key HAVING count(*) > 1")
@@ -71,7 +74,7 @@ _NUMS = r"list_distinct(list_filter(list_transform(regexp_extract_all({0}, '\d[\
 
 @query(f"WITH n AS (SELECT doc_id, {_NUMS.format('text')} AS v FROM documents) SELECT doc_id, len(v)::INT AS n, list_max(v) AS largest, list_min(v) AS smallest FROM n")
 def numbers_in_docs(s, d):
-    n = table(s, d, "documents").select("doc_id", N.numbers_in(F.col("text")).alias("v"))
+    n = table(s, d, "documents", heavy=True).select("doc_id", N.numbers_in(F.col("text")).alias("v"))
     return n.select("doc_id", F.size("v").alias("n"), F.array_max("v").alias("largest"), F.array_min("v").alias("smallest"))
 
 
@@ -98,7 +101,7 @@ def token_lengths(s, d):
 FROM (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity / 7 AS x FROM lineitem)"""
 )
 def shown_numbers(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", N.show_number(F.col("l_extendedprice") / F.col("l_quantity") / 7).alias("shown"))
+    return table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", N.show_number(F.col("l_extendedprice") / F.col("l_quantity") / 7).alias("shown"))
 
 
 _ANSWER_TEXT = "CASE l_linenumber % 5 WHEN 0 THEN '(' || CAST(l_quantity AS BIGINT) || '.5)' WHEN 1 THEN '$ ' || CAST(l_quantity AS BIGINT) || '.25 million' WHEN 2 THEN CAST(l_quantity AS BIGINT) || '%' WHEN 3 THEN 'Yes.' ELSE 'n/a' END"
@@ -109,7 +112,7 @@ _ANSWER_TEXT = "CASE l_linenumber % 5 WHEN 0 THEN '(' || CAST(l_quantity AS BIGI
 FROM (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS k, floor(l_quantity) AS q FROM lineitem)"""
 )
 def parsed_answers(s, d):
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", N.parse_answer(F.expr(_ANSWER_TEXT)).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+    return table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", N.parse_answer(F.expr(_ANSWER_TEXT)).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
 
 @query(
@@ -119,7 +122,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS k, floor(l_quantity)
 def answer_agreement(s, d):
     q, k = F.floor("l_quantity").cast("double"), F.col("l_linenumber") % 5
     result = F.when(k == 0, -(q + 0.5)).when(k == 1, q + 9).otherwise(q / 100)
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(k < 3, N.answer_agrees(F.expr(_ANSWER_TEXT), result, F.lit(None).cast("string"))).alias("agrees"))
+    return table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", F.when(k < 3, N.answer_agrees(F.expr(_ANSWER_TEXT), result, F.lit(None).cast("string"))).alias("agrees"))
 
 
 _DIRTY = [
@@ -151,12 +154,12 @@ _WORDED = [
 @query("SELECT rule, count(*) AS n FROM lineitem JOIN (VALUES " + ", ".join(f"({i}, '{r}')" for i, (_, rules) in enumerate(_WORDED) for r in rules) + ") AS t(k, rule) ON k = l_linenumber % 3 GROUP BY rule")
 def rule_totals(s, d):
     text = F.element_at(F.array(*[F.lit(t) for t, _ in _WORDED]), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    return curate.rule_totals(table(s, d, "lineitem").select(text.alias("text")), "text")
+    return curate.rule_totals(table(s, d, "lineitem", heavy=True).select(text.alias("text")), "text")
 
 
 @query()
 def cleaned_documents(s, d):
-    docs = table(s, d, "documents")
+    docs = table(s, d, "documents", heavy=True)
     return docs.select("doc_id", F.sha2(X.clean_text(F.col("text")), 256).alias("cleaned_sha256"), F.sha2(X.comparable(F.col("text")), 256).alias("comparable_sha256"))
 
 
@@ -309,7 +312,7 @@ _LINE = "SELECT l_orderkey, l_linenumber, l_extendedprice AS p, l_quantity AS q,
 
 def _program(s, d):
     text = F.concat(F.lit("divide("), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(", "), F.col("l_quantity").cast("decimal(18,2)").cast("string"), F.lit("), multiply(#0, const_100), subtract(#1, 12.5%), greater(#2, "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(")"))
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("program"))
+    return table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", text.alias("program"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(p / q, 8) AS r0, round(p / q * 100 - 0.125, 8) AS r2, CASE WHEN p / q * 100 - 0.125 > p THEN 'yes' ELSE 'no' END AS r3 FROM ({_LINE})")
@@ -357,7 +360,7 @@ def _outputs(s, d):
     )
     gold = F.when(k == 0, q.cast("double")).when(k == 1, -q / 100).when(k == 2, q.cast("double")).otherwise(q.cast("double"))
     question = F.when(F.col("l_linenumber") % 2 == 0, "what is the difference?").otherwise("what is it?")
-    t = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", k.alias("k"), F.col("l_quantity"), output.alias("output"), gold.alias("gold"), question.alias("question"))
+    t = table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", k.alias("k"), F.col("l_quantity"), output.alias("output"), gold.alias("gold"), question.alias("question"))
     none = F.lit(None).cast("string")
     lenient = S.is_correct(F.col("output"), F.col("gold"), none, F.col("question"))
     strict = S.is_correct(F.col("output"), F.col("gold"), none, F.col("question"), strict_sign=True)
@@ -399,7 +402,7 @@ def score_spans(s, d):
     scale = F.when(k == 0, "million").otherwise("")
     items = F.when(k == 0, F.array(q.cast("string"))).when(k == 1, F.array(F.lit("The Net-Income"), F.lit("$1,200"))).otherwise(F.array(F.lit("cash flow")))
     output = F.when(k == 0, F.concat(F.lit("Answer: $ "), (q * 1_000_000).cast("string"))).when(k == 1, F.lit("answer: net-income, and 1200.0!")).otherwise(F.when(F.col("l_linenumber") % 2 == 0, "Cash, flow").otherwise("cash book"))
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.is_correct_spans(output, items, scale)["correct"].alias("correct"))
+    return table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", S.is_correct_spans(output, items, scale)["correct"].alias("correct"))
 
 
 @query(
@@ -476,7 +479,7 @@ def components_keep_one(s, d):
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def contamination_anti(s, d):
     """Documents that hold no benchmark text whole. Five inner words of an item find candidates by an equi-join."""
-    docs, items = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select(F.col("text").alias("item")).distinct()
+    docs, items = table(s, d, "documents", heavy=True).select("doc_id", "text"), table(s, d, "benchmark").select(F.col("text").alias("item")).distinct()
     words = F.split("item", r"\s+")
     keyed = items.filter(F.size(words) >= 7).select("item", F.xxhash64(F.array_join(F.slice(words, 2, 5), " ")).alias("key"))
     w = F.split("text", r"\s+")
@@ -499,7 +502,7 @@ def encoded_documents(s, d):
             out[i, codes] = n
         return out
 
-    return similar.embed(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), letters).select("id", F.size("embedding").alias("dim"))
+    return similar.embed(table(s, d, "documents", heavy=True).select(F.col("doc_id").alias("id"), "text"), letters).select("id", F.size("embedding").alias("dim"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

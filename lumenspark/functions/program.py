@@ -48,16 +48,24 @@ def parse(c: Column, deep: bool = False) -> Column:
     if deep:
         return _parse_slow(c)
 
-    def step(text: Column) -> Column:
-        op = F.substring_index(text, "(", 1)
-        args = F.substr(text, F.length(op) + 2, F.length(text) - F.length(op) - 2)
-        last = F.substring_index(args, ", ", -1)
-        first = F.when(F.length(last) < F.length(args), F.substr(args, F.lit(1), F.length(args) - F.length(last) - 2))
-        return F.struct(op.alias("op"), F.trim(first).alias("a1"), F.trim(last).alias("a2"))
+    # one transform per stage, so that no lambda computes a part twice
+    def named(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.substring_index(text, "(", 1).alias("op"))
+
+    def cut(s: Column) -> Column:
+        skip = F.length(s["op"]) + 1
+        return F.struct(s["op"].alias("op"), F.substr(s["text"], skip + 1, F.length(s["text"]) - skip - 1).alias("args"))
+
+    def ended(s: Column) -> Column:
+        return F.struct(s["op"].alias("op"), s["args"].alias("args"), F.substring_index(s["args"], ", ", -1).alias("last"), F.length(s["args"]).alias("n"))
+
+    def step(s: Column) -> Column:
+        first = F.when(F.length(s["last"]) < s["n"], F.substr(s["args"], F.lit(1), s["n"] - F.length(s["last"]) - 2))
+        return F.struct(s["op"].alias("op"), F.trim(first).alias("a1"), F.trim(s["last"]).alias("a2"))
 
     def read(found: Column) -> Column:
         whole = F.array_join(found, ", ") == F.regexp_replace(F.trim(c), r"\)\s*,\s*(?=[A-Za-z_]\w*\()", "), ")
-        steps = F.transform(found, step)
+        steps = F.transform(F.transform(F.transform(F.transform(found, named), cut), ended), step)
         return F.when((F.size(found) > 0) & whole, let(steps, lambda x: F.when(F.forall(x, lambda y: y["a1"].isNotNull()), x)))
 
     return let(F.regexp_extract_all(F.trim(c), F.lit(_STEP), 0), read)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.operators.split import shuffle_key
 from lumenspark.plans.ranking import with_position
+from lumenspark.plans.scratch import materialize
 
 
 def distinct_outputs(samples: DataFrame) -> DataFrame:
@@ -49,13 +50,13 @@ def build_pairs(samples: DataFrame, prompts: DataFrame, target: int, seed: int)
         F.col("answer").alias("gold"),
         lined.alias("rejected_has_answer_line"),
     )
-    counts = pairs.groupBy("i").count()
-    n = {r["i"]: r["count"] for r in counts.collect()}
+    pairs = materialize(pairs, "pairs")  # counted before it is used
+    n = {r["i"]: r["count"] for r in pairs.groupBy("i").count().collect()}
     room = max(0, target - n.get(0, 0))
-    second = pairs.filter("i = 1")
-    if n.get(1, 0) > room:
-        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        second = with_position(second, ["source_id"], parts, "__place").filter(F.col("__place") < room).drop("__place")
+    if n.get(1, 0) <= room:
+        return pairs
+    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    second = with_position(pairs.filter("i = 1"), ["source_id"], parts, "__place").filter(F.col("__place") < room).drop("__place")
     return pairs.filter("i = 0").unionByName(second)
 
 
