@@ -16,7 +16,8 @@ from lumenspark.functions import render as R
 from lumenspark.functions import scoring as S
 from lumenspark.functions import text as X
 from lumenspark.functions import tokens as K
-from lumenspark.operators import curate, evaluate, preference, similar, split
+from lumenspark.operators import curate, evaluate, labels, preference, similar, split
+from lumenspark.operators.generate import generate
 from lumenspark.plans.spread import spread
 from lumenspark.sources import files
 from lumenspark.streaming import log
@@ -734,3 +735,82 @@ def preference_pairs(s, d):
     samples = _samples(s, d)
     prompts = samples.select("id", F.lit("reference").alias("reference"), F.lit("1").alias("answer"))
     return preference.build_pairs(samples, prompts, 10**9, SEED).select("id", F.trim("rejected").alias("rejected"), F.trim("chosen").alias("chosen"), "chosen_source")
+
+
+# --- label sheets, split reports, hooks
+
+_DRAWN = (
+    _UNIT
+    + """, b AS (SELECT a, b, sim, CASE WHEN sim >= 0.4 THEN '0.40-1.00' WHEN sim >= 0.3 THEN '0.30-0.40' ELSE '0.20-0.30' END || CASE WHEN same THEN '|same' ELSE '|diff' END AS stratum, CASE WHEN sim >= 0.4 THEN 4 WHEN sim >= 0.3 THEN CASE WHEN same THEN 7 ELSE 3 END ELSE 5 END AS wanted, a || '-' || b AS k FROM n WHERE sim >= 0.2 AND sim < 1.0001),
+dr AS (SELECT a, b, sim, stratum, population, least(population, wanted) AS sampled, k FROM (SELECT *, count(*) OVER (PARTITION BY stratum) AS population, row_number() OVER (PARTITION BY stratum ORDER BY md5(k || '#11'), k) AS place FROM b) WHERE place <= wanted),
+nd AS (SELECT row_number() OVER (ORDER BY md5(k || '#12'), a, b) AS pair_id, * FROM dr)"""
+)
+_PLAN = [(0.2, 0.3, 5, 5), (0.3, 0.4, 7, 3), (0.4, 1.0001, 4, 4)]
+
+
+def _drawn(s, d):
+    return labels.draw(_pairs(s, d).withColumnRenamed("same", "same_answer"), SEED, _PLAN)
+
+
+@query(_DRAWN + " SELECT pair_id, a, b, stratum, population, sampled, round(population / sampled, 6) AS weight FROM nd")
+def label_draw(s, d):
+    return _drawn(s, d).select("pair_id", "a", "b", "stratum", "population", "sampled", F.round("weight", 6).alias("weight"))
+
+
+@query(_DRAWN + " SELECT pair_id, round(sim, 6) AS sim, (a % 4) = (b % 4) AS same_args, pair_id % 3 = 0 AS duplicate, round(population / sampled, 6) AS weight FROM nd WHERE a % 5 <> 0 AND b % 5 <> 0")
+def labelled_pairs(s, d):
+    drawn, v = _drawn(s, d), _vectors(s, d)
+    told = drawn.select("pair_id", (F.col("pair_id") % 3 == 0).alias("duplicate"))
+    records = v.filter("id % 5 <> 0").select("id", F.array((F.col("id") % 4).cast("double")).alias("args"))
+    return labels.labelled(told, drawn, records, v).select("pair_id", F.round("sim", 6).alias("sim"), "same_args", "duplicate", F.round("weight", 6).alias("weight"))
+
+
+def _examples(s, d):
+    return table(s, d, "orders").select(
+        F.col("o_orderstatus").alias("split"),
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("company"),
+        F.year("o_orderdate").alias("year"),
+        F.floor(F.col("o_totalprice") / 100).cast("long").alias("seq_tokens"),
+        F.when(F.col("o_orderkey") % 9 == 0, "yes").alias("word"),
+        F.concat(F.lit("add(1, 2)"), F.expr("repeat(', add(#0, 1)', cast(o_orderkey % 4 as int))")).alias("program"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT o_orderstatus AS split, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS c, year(o_orderdate) AS y, floor(o_totalprice / 100)::BIGINT AS t, o_orderkey % 9 = 0 AS yes FROM orders)
+SELECT split, count(*) AS examples, count(DISTINCT coalesce(c::VARCHAR, '-') || '/' || y) AS filings, count(DISTINCT coalesce(c::VARCHAR, '-')) AS companies, max(t) AS seq_tokens_max, count(*) FILTER (WHERE t > 2048) AS over_max_seq_len, count(*) FILTER (WHERE yes) AS yes_no, list_sort(list(t))[floor(count(*) / 2)::BIGINT + 1] AS seq_tokens_median FROM e GROUP BY split"""
+)
+def split_report(s, d):
+    return evaluate.split_report(_examples(s, d), 2048)
+
+
+@query("SELECT o_orderstatus AS split, (1 + o_orderkey % 4)::INT AS steps, count(*) AS n FROM orders GROUP BY ALL")
+def step_histogram(s, d):
+    return evaluate.step_histogram(_examples(s, d))
+
+
+@query("SELECT floor(event_id / 1000)::BIGINT AS interval, round(avg(value), 6) AS value FROM events GROUP BY 1")
+def interval_means(s, d):
+    return evaluate.interval_means(table(s, d, "events").select("event_id", "value"), "event_id", 1000).select("interval", F.round("value", 6).alias("value"))
+
+
+@query("WITH b AS (SELECT floor(doc_id / 16)::BIGINT AS batch, count(*) AS c, count(*) FILTER (WHERE quality = 1) AS r FROM labels GROUP BY 1) SELECT batch, (sum(c) OVER w)::BIGINT AS n, round((sum(r) OVER w) / (sum(c) OVER w), 4) AS accuracy FROM b WINDOW w AS (ORDER BY batch)")
+def running_accuracy(s, d):
+    rows = table(s, d, "labels").select(F.floor(F.col("doc_id") / 16).alias("batch"), (F.col("quality") == 1).alias("correct"))
+    return evaluate.running_accuracy(rows, "batch")
+
+
+@query(f"SELECT count(*) AS prompts, round(avg((c > 0 AND c < k)::INT), 4) AS mixed FROM (SELECT id, count(*) FILTER (WHERE correct) AS c, count(*) AS k FROM ({_SAMPLES}) GROUP BY id)")
+def mixed_share(s, d):
+    return evaluate.mixed_share(_samples(s, d))
+
+
+@query("SELECT count(*) AS rows, sum(c)::BIGINT AS tokens, max(c)::INT AS longest FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey)")
+def token_totals(s, d):
+    return evaluate.token_totals(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("ids")), "ids")
+
+
+@query("SELECT conv_id || '-' || turn AS id, 'Answer: ' || length(text) AS output FROM conversations WHERE role = 'user'")
+def generated_outputs(s, d):
+    asked = table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("prompt"))
+    return generate(asked, lambda prompts: [f"Answer: {len(p)}" for p in prompts])

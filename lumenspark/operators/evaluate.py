@@ -106,3 +106,48 @@ def compare_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
 def chunks(rows: DataFrame, order: str, size: int) -> DataFrame:
     """batch of rows with consecutive ordinals."""
     return rows.withColumn("batch", F.floor(F.col(order) / size))
+
+
+def split_report(examples: DataFrame, max_tokens: int) -> DataFrame:
+    """One row per split over split, company, year, seq_tokens and word (the result's text, null for a number).
+
+    A null company or year counts as a value of its own; the median is the upper one.
+    """
+    sums = examples.groupBy("split").agg(
+        F.count("*").alias("examples"),
+        F.count_distinct(F.struct("company", "year")).alias("filings"),
+        F.count_distinct(F.struct("company")).alias("companies"),
+        F.max("seq_tokens").alias("seq_tokens_max"),
+        F.count_if(F.col("seq_tokens") > max_tokens).alias("over_max_seq_len"),
+        F.count_if(F.col("word").isNotNull()).alias("yes_no"),
+    )
+    return sums.join(ranked_values(examples, "seq_tokens", ["split"], {"seq_tokens_median": F.floor(F.col("n") / 2)}), "split", "left")
+
+
+def step_histogram(examples: DataFrame) -> DataFrame:
+    """(split, steps, n): programs by their opening parentheses."""
+    return examples.groupBy("split", F.regexp_count("program", F.lit(r"\(")).alias("steps")).agg(F.count("*").alias("n"))
+
+
+def interval_means(stats: DataFrame, step: str, every: int) -> DataFrame:
+    """Mean of every other column over each logging interval of `every` steps."""
+    return stats.groupBy(F.floor(F.col(step) / every).alias("interval")).agg(*[F.avg(c).alias(c) for c in stats.columns if c != step])
+
+
+def running_accuracy(scored: DataFrame, batch: str) -> DataFrame:
+    """(batch, n, accuracy) up to and including each batch. Batches are summed up before the prefix sum runs over them."""
+    sums = scored.groupBy(batch).agg(F.count("*").alias("rows"), F.count_if("correct").alias("right"))
+    upto = W.orderBy(batch)
+    return sums.select(batch, F.sum("rows").over(upto).alias("n"), F.round(F.sum("right").over(upto) / F.sum("rows").over(upto), 4).alias("accuracy"))
+
+
+def mixed_share(samples: DataFrame) -> DataFrame:
+    """prompts, and the share of them with right and wrong samples. samples: id, samples."""
+    c = F.size(F.filter("samples", lambda s: s["correct"]))
+    return samples.agg(F.count("*").alias("prompts"), rate((c > 0) & (c < F.size("samples"))).alias("mixed"))
+
+
+def token_totals(rows: DataFrame, ids: str, seconds: float | None = None) -> DataFrame:
+    """Token total and longest row of an epoch, and tokens a second if its duration is given."""
+    out = [F.count("*").alias("rows"), F.sum(F.size(ids)).alias("tokens"), F.max(F.size(ids)).alias("longest")]
+    return rows.agg(*out, *([F.round(F.sum(F.size(ids)) / seconds, 1).alias("tokens_per_s")] if seconds else []))
