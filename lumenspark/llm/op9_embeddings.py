@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenspark.operators.graph import connected_components
 from lumenspark.plans.ranking import with_position
@@ -63,7 +64,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    element = vectors.schema["embedding"].dataType.elementType
+    width = "float" if isinstance(element, T.FloatType) else "double"  # floats are exact in double precision, and half the shuffle
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{width}>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("v").isNotNull()
     marked = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     usable = marked.filter("fine").select("vec_id", "label", "v")
@@ -77,7 +80,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
             flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                own = flat[(offsets[at][:, None] + np.arange(d))]
+                own = flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64)
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), p, np.int32)), b.column("label").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(hashes(own, p)), pa.array(cid[at])],
@@ -99,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
         windows = np.array(t.column("windows").to_pylist(), np.int64).reshape(len(cid), passes)
         for p, d in sorted(set(zip(number.tolist(), dims.tolist(), strict=True))):
             at = np.flatnonzero((number == p) & (dims == d))
-            own = flat[(offsets[at][:, None] + np.arange(d))]
+            own = flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64)
             own = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
             own = own / np.sqrt((own * own).sum(axis=1, keepdims=True))
             links, label = window_links(own, group[at], windows[at], p, mult[at], threshold)
