@@ -595,13 +595,20 @@ def training_throughput(s, d):
     return evaluate.throughput(steps, 3).select("run", F.round("tok_s", 6).alias("tok_s"), "median_s")
 
 
-@query()
+@query("WITH r AS (SELECT avg(value) FILTER (WHERE event_id % 2 = 0) AS ta, avg(value) FILTER (WHERE event_id % 2 <> 0) AS tb, max(value) FILTER (WHERE event_id % 2 = 0) AS ma, max(value) FILTER (WHERE event_id % 2 <> 0) AS mb FROM events) SELECT true AS comparable, round(tb / ta, 2) AS speed_up, round(100 * (1 - mb / ma), 1) AS memory_reduction FROM r")
 def backend_comparison(s, d):
     steps = table(s, d, "events").groupBy(F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("run")).agg(F.avg("value").alias("tok_s"), F.max("value").alias("memory"))
     return evaluate.compare_runs(steps.withColumns({"gpu": F.lit("t4"), "dtype": F.lit("fp16")}), "a", "b")
 
 
-@query()
+_PLACE = "[least(len({0}) - 1, floor({1}::DOUBLE * len({0})))::BIGINT + 1]"
+
+
+@query(
+    "WITH l AS (SELECT count(*) AS n, median(value) AS m, list_sort(list(value) FILTER (WHERE event_id % 7 <> 0 AND value > 0)) AS g, list_sort(list(value * 3)) AS w FROM events) SELECT n, m AS ttft_p50, round(n / 10.0::DOUBLE, 1) AS per_minute, "
+    + ", ".join(f"{c}{_PLACE.format(c, q)} AS {name}" for c, q, name in (("g", 0.1, "tok_s_p10"), ("g", 0.5, "tok_s_p50"), ("w", 0.5, "wall_p50"), ("w", 0.95, "wall_p95")))
+    + " FROM l"
+)
 def serving_report(s, d):
     rows = table(s, d, "events").select(F.col("value").alias("ttft_ms"), (F.col("value") * 3).alias("wall_ms"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("gen_tok_s"))
     return evaluate.serving(rows, 10.0)
