@@ -1,13 +1,13 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by exact comparison of blocks.
 
-Vectors that are equal within a label form one class, compared once. Each of PASSES passes orders the classes
-lexicographically by BITS concatenated random hyperplane hashes (within label and dimension), cuts the order into windows
-of WINDOW neighbours, and verifies the pairs of each window by their cosine in double precision. A pair that shared a
-window in an earlier pass is left to it, so links add up without being collected as pairs; each window returns link
-counts and the edges of a spanning forest, whose union over the passes gives the components.
+Vectors that are equal within a label form one class, compared once. The classes of a label and dimension are ordered by
+one sort key of BITS random hyperplane hashes, which brings neighbours together, and cut into blocks of WINDOW classes.
+A block has a centre and a radius (the largest angle to the centre). By the triangle inequality two blocks whose centres
+lie further apart than both radii and the threshold's angle hold no link, and two blocks whose angles add up to less than
+it hold every link; neither is compared. All other pairs of blocks are, each by its cosines in double precision, so every
+link is found. A pair of blocks returns link counts and the edges of a spanning forest; their union gives the components.
 
-The search is approximate: no link is false, and the recall is measured against brute force in the tests. WINDOW bounds
-what a task compares; it is not a cap on partners, for equal vectors are one class and every pass shifts the windows.
+The work is quadratic in the blocks of a label that the bounds can't tell apart: the price of finding every link.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links with
 nothing and is its own component; vectors of different lengths don't link; repeated rows are linked copies; a null
@@ -29,38 +29,52 @@ from lumenspark.plans.ranking import with_position
 from lumenspark.plans.scratch import materialize
 
 THRESHOLD = 0.93
-PASSES = 20
 BITS = 48
-WINDOW = 1024
+WINDOW = 8192
 SEED = 20
+_NUMBERS = 2_000_000  # components in a block at most, so that long vectors fit in memory
+_SAFE = 1e-6  # what rounding may add to an angle
 
 
-def hashes(vectors: np.ndarray, number: int) -> np.ndarray:
-    """One pass's sort keys: the signs of BITS random projections, the first in the highest bit."""
-    planes = np.random.default_rng([SEED, number, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS))
+def hashes(vectors: np.ndarray) -> np.ndarray:
+    """Sort keys: the signs of BITS random projections, the first in the highest bit."""
+    planes = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS))
     return (vectors @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def window_links(unit: np.ndarray, group: np.ndarray, windows: np.ndarray, number: int, mult: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Per class of a window: the vectors newly linked to it, and the least position it is connected to here."""
-    near = unit @ unit.T >= threshold
-    near &= group[:, None] == group[None, :]
-    np.fill_diagonal(near, False)
-    for q in range(number):
-        if not near.any():
-            break
-        near &= windows[:, q][:, None] != windows[:, q][None, :]
-    label = np.arange(len(unit))
-    if near.any():
-        while True:
-            best = np.minimum(label, np.where(near, label[None, :], len(unit)).min(axis=1))
-            if (best == label).all():
-                break
-            label = best
-    return near @ mult, label
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def units(v: pa.Array) -> np.ndarray:
+    """Lists of one length as unit vectors."""
+    own = v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
+    own = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return own / np.sqrt((own * own).sum(axis=1, keepdims=True))
+
+
+def block_links(left: np.ndarray, right: np.ndarray | None, mult: np.ndarray, threshold: float = THRESHOLD, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Per class of two blocks (or of one, without `right`): the vectors linked to it, and the least place it is connected to.
+
+    Places and `mult` go over the left block and then the right one.
+    """
+    other, shift = (left, 0) if right is None else (right, len(left))
+    links, label = np.zeros(len(mult), np.int64), np.arange(len(mult))
+    for begin in range(0, len(left), chunk):
+        near = left[begin : begin + chunk] @ other.T >= threshold
+        rows = np.arange(len(near))
+        if right is None:
+            near[rows, begin + rows] = False
+        else:
+            links[shift:] += mult[begin : begin + len(near)] @ near
+        links[begin : begin + len(near)] += near @ mult[shift:]
+        for x in np.flatnonzero(near.any(axis=1)).tolist():
+            met = label[shift:][near[x]]
+            least, most = min(met.min(), label[begin + x]), max(met.max(), label[begin + x])
+            if least < most:
+                joined = np.zeros(len(mult), bool)
+                joined[met] = joined[label[begin + x]] = True
+                label[joined[label]] = least
+    return links, label
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,38 +95,62 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 own = flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), p, np.int32)), b.column("label").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(hashes(own, p)), pa.array(cid[at])],
-                        names=["number", "label", "dim", "key", "cid"],
-                    )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("label").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(hashes(own)), pa.array(cid[at])],
+                    names=["label", "dim", "key", "cid"],
+                )
 
     kind = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("label", "dim", "v", "cid").mapInArrow(keys, f"number int, label {kind}, dim int, key long, cid long")
-    placed = with_position(keyed, ["number", "label", "dim", "key", "cid"], n_parts).select("cid", "number", F.floor(F.col("position") / window).alias("w"))
-    per_class = placed.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "w"))), lambda x: x["w"]).alias("windows"))
-    dealt = classes.join(per_class, "cid").select("cid", "mult", "dim", F.xxhash64("label", "dim").alias("grp"), "v", "windows", F.posexplode("windows").alias("number", "w"))
+    keyed = classes.select("label", "dim", "v", "cid").mapInArrow(keys, f"label {kind}, dim int, key long, cid long")
+    placed = with_position(keyed, ["label", "dim", "key", "cid"], n_parts).select("label", "dim", "cid", "position")
+    begins = placed.groupBy("label", "dim").agg(F.min("position").alias("begin"))
+    rows = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.lit(_NUMBERS) / F.col("dim"))))
+    block = (F.col("begin") + F.floor((F.col("position") - F.col("begin")) / rows) * rows).alias("block")  # the position of its first class
+    blocked = materialize(classes.join(placed.join(begins, ["label", "dim"]).select("cid", block), "cid").select("cid", "mult", "label", "dim", "v", "block"), "blocked")
+
+    def outline(t: pa.Table) -> pa.Table:
+        unit = units(t.column("v").combine_chunks())
+        centre = unit.mean(axis=0)
+        size = np.sqrt(centre @ centre)
+        centre = centre / size if size > 1e-3 else unit[0]
+        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+        cid, mult = t.column("cid").to_numpy(), t.column("mult").to_numpy()
+        return pa.table({"label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "block": t.column("block").slice(0, 1), "centre": pa.array([centre.tolist()]), "radius": [radius], "root": [int(cid.min())], "total": [int(mult.sum())]})
+
+    outlines = blocked.groupBy("block").applyInArrow(outline, f"label {kind}, dim int, block long, centre array<double>, radius double, root long, total long")
+    outlines = materialize(outlines, "outlines")
+    left, right = (outlines.select("label", "dim", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "centre", "radius", "root", "total")]) for x in "ab")
+    cosine = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    between = F.when(F.col("block_a") == F.col("block_b"), 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    both, reach = F.col("radius_a") + F.col("radius_b"), float(np.arccos(np.clip(threshold, -1, 1)))
+    pairs = left.join(right, ["label", "dim"]).filter("block_a <= block_b").withColumn("between", between).filter(F.col("between") - both <= reach + _SAFE)
+    pairs = pairs.select("block_a", "block_b", "root_a", "root_b", "total_a", "total_b", (F.col("between") + both < reach - _SAFE).alias("sure"))
+    pairs = materialize(pairs, "pairs")
+
+    compared = pairs.filter("not sure").select("block_a", "block_b")
+    members = compared.select(F.col("block_a").alias("block"), "block_a", "block_b").union(compared.filter("block_a < block_b").select(F.col("block_b"), "block_a", "block_b"))
+    dealt = blocked.select("cid", "mult", "v", "block").join(members, "block")
 
     def compare(t: pa.Table) -> pa.Table:
-        out = {"cid": [], "links": [], "root": []}
-        number, dims = t.column("number").to_numpy(), t.column("dim").to_numpy()
-        cid, mult, group = (t.column(c).to_numpy() for c in ("cid", "mult", "grp"))
-        v = t.column("v").combine_chunks()
-        flat, offsets = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
-        windows = np.array(t.column("windows").to_pylist(), np.int64).reshape(len(cid), passes)
-        for p, d in sorted(set(zip(number.tolist(), dims.tolist(), strict=True))):
-            at = np.flatnonzero((number == p) & (dims == d))
-            own = flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64)
-            own = own / np.abs(own).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-            own = own / np.sqrt((own * own).sum(axis=1, keepdims=True))
-            links, label = window_links(own, group[at], windows[at], p, mult[at], threshold)
-            got = links > 0
-            out["cid"].append(cid[at][got])
-            out["links"].append(links[got])
-            out["root"].append(cid[at][label[got]])
-        return pa.table({k: pa.array(np.concatenate(x).astype(np.int64)) for k, x in out.items()})
-
-    found = materialize(dealt.groupBy("w").applyInArrow(compare, "cid long, links long, root long"), "links")
+        first = t.column("block").to_numpy() == t.column("block_a").to_numpy()
+        order = np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)])
+        n = int(first.sum())
+        cid, mult = (t.column(c).to_numpy()[order] for c in ("cid", "mult"))
+        unit = units(t.column("v").combine_chunks())[order]
+        links, label = block_links(unit[:n], unit[n:] if n < len(unit) else None, mult, threshold)
+        got = links > 0
+        return pa.table({"cid": pa.array(cid[got]), "links": pa.array(links[got]), "root": pa.array(cid[label[got]])})
+
+    tested = dealt.groupBy("block_a", "block_b").applyInArrow(compare, "cid long, links long, root long")
+    # every class of a block links with every class of a sure partner
+    partners = pairs.filter("sure").select(F.col("block_a").alias("block"), F.col("root_b").alias("root"), F.col("total_b").alias("total"))
+    partners = partners.union(pairs.filter("sure and block_a < block_b").select("block_b", "root_a", "total_a"))
+    partners = partners.groupBy("block").agg(F.sum("total").alias("total"), F.min("root").alias("root"))
+    itself = pairs.filter("sure and block_a = block_b").select(F.col("block_a").alias("block"), F.lit(1).alias("itself"))
+    sure = blocked.select("cid", "mult", "block").join(partners, "block").join(itself, "block", "left")
+    sure = sure.select("cid", (F.col("total") - F.when(F.col("itself").isNotNull(), F.col("mult")).otherwise(0)).alias("links"), "root")
+    bridges = pairs.filter("sure and block_a < block_b").select(F.col("root_a").alias("cid"), F.lit(0).cast("long").alias("links"), F.col("root_b").alias("root"))
+    found = materialize(tested.unionByName(sure).unionByName(bridges), "links")
     comps = connected_components(found.select("cid", "root")).toDF("cid", "root")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = materialize(classes.select("cid", "label", "v", "first", "mult").join(comps, "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")

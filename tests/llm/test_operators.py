@@ -403,6 +403,24 @@ def test_embeddings_recall_with_small_windows(spark):
     assert all(got[i] <= want[i] for i in range(1800)) and sum(got.values()) >= 0.9 * want.sum() > 500
 
 
+@pytest.mark.parametrize("noise", [1e-4, 0.2])
+def test_embeddings_dense_group(spark, noise):
+    """One group of near copies in a label that is larger than many windows, against brute force: every link is found."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre + noise * rng.standard_normal((3000, 64)), rng.standard_normal((500, 64)), -centre + 0.27 * rng.standard_normal((500, 64))])
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: r for r in op9_embeddings.near_duplicates(df, window=100).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    want = near.sum(axis=1) - 1
+    assert want[:3000].min() > 2000 and [got[i]["n_links"] for i in range(4000)] == want.tolist()
+    least = np.arange(4000)
+    while (new := np.where(near, least[None, :], 4000).min(axis=1)).tolist() != least.tolist():
+        least = new
+    assert [got[i]["component_id"] for i in range(4000)] == least.tolist()
+
+
 # --- 10
 
 
