@@ -2,7 +2,9 @@
 
 The vocabulary is a trie with one root for pieces that begin a word and one for pieces that continue it. Every node has
 a failure link and the number of pieces popped on the way along it, computed once; matching a word then reads each
-character once, adds up popped counts and never builds a piece. A word that can't be matched counts as one unknown token.
+character once, adds up popped counts and never builds a piece. With the whole vocabulary, a word whose beginning no piece
+matches starts with the bare BEGIN piece, and a character outside the vocabulary counts its byte pieces. Without those
+pieces, a word that can't be matched counts as one unknown token.
 Words are runs of characters other than white space; their counts are cached.
 
 Cases: a null or empty text, or one of white space only, has no words and no tokens; repeated documents get equal counts;
@@ -24,9 +26,13 @@ CACHE = 600_000
 
 
 class LongestMatch:
-    """Counts greedy longest-match pieces. `pieces` that start with BEGIN begin words, all others continue them."""
+    """Counts greedy longest-match pieces. `pieces` that start with BEGIN begin words, all others continue them.
 
-    def __init__(self, pieces: Iterable[str]):
+    `bare`: BEGIN is a piece of its own, taken where no longer one matches. `with_bytes` (only with `bare`): the vocabulary
+    has all byte pieces.
+    """
+
+    def __init__(self, pieces: Iterable[str], bare: bool = False, with_bytes: bool = False):
         self.next: list[dict[str, int]] = [{}, {}]  # 0: root of beginnings, 1: root of continuations
         final = [False, False]
         for p in pieces:
@@ -40,6 +46,9 @@ class LongestMatch:
                     final.append(False)
             final[node] = True
         self.fail, self.popped = [-1] * len(self.next), [0] * len(self.next)
+        if bare:
+            self.fail[0], self.popped[0] = 1, 1
+        self.with_bytes = bare and with_bytes
         queue = deque([0, 1])
         while queue:
             u = queue.popleft()
@@ -53,6 +62,8 @@ class LongestMatch:
                         z = self.fail[z]
                     if z >= 0:
                         self.fail[v], self.popped[v] = self.next[z][c], n
+                    elif self.with_bytes:
+                        self.fail[v], self.popped[v] = 1, n + len(c.encode("utf-8", "replace"))
                 queue.append(v)
         self.cache: dict[str, int] = {}
 
@@ -62,7 +73,11 @@ class LongestMatch:
         for c in word:
             while (to := go[node].get(c)) is None:
                 if fail[node] < 0:
-                    return 0
+                    if not self.with_bytes:
+                        return 0
+                    n += len(c.encode("utf-8", "replace"))
+                    to = 1
+                    break
                 n += popped[node]
                 node = fail[node]
             node = to
@@ -98,18 +113,30 @@ def vocabulary(path: str) -> list[str]:
     return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
-_matchers: dict[str, LongestMatch] = {}
+def has_bytes(path: str) -> bool:
+    """Whether a sentencepiece model has a piece for each byte."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(m.is_byte(i) for i in range(m.get_piece_size())) == 256
 
 
-def matcher(path: str) -> LongestMatch:
-    if path not in _matchers:
-        _matchers[path] = LongestMatch(vocabulary(path))
-    return _matchers[path]
+_matchers: dict[tuple[str, bool], LongestMatch] = {}
+
+
+def matcher(path: str, whole: bool = False) -> LongestMatch:
+    if (path, whole) not in _matchers:
+        pieces = vocabulary(path)
+        _matchers[path, whole] = LongestMatch(pieces, whole and BEGIN in pieces, whole and has_bytes(path))
+    return _matchers[path, whole]
 
 
 FIELDS = [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown")]
 
 
-def count_tokens(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_words, n_tokens, n_unknown, one row per document."""
-    return map_texts(docs, ["doc_id"], "text", FIELDS, lambda texts: matcher(model).counts(texts))
+def count_tokens(docs: DataFrame, model: str, whole: bool = False) -> DataFrame:
+    """doc_id, n_words, n_tokens, n_unknown, one row per document.
+
+    `whole` takes the bare BEGIN piece and the byte pieces, too; else words that need them are unknown.
+    """
+    return map_texts(docs, ["doc_id"], "text", FIELDS, lambda texts: matcher(model, whole).counts(texts))

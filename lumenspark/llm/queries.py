@@ -25,7 +25,7 @@ QUERIES = {
     "op1_quality": lambda s, d: op1_quality.classify(_docs(s, d), _table(s, d, "labels")),
     "op2_arrow_ids": lambda s, d: op2_arrow_ids.round_trip(s, _docs(s, d), tokenizer("byte_bpe_50k.json")),
     "op3_line_dedup": lambda s, d: op3_line_dedup.report(_docs(s, d)),
-    "op4_token_counts": lambda s, d: op4_token_counts.count_tokens(_docs(s, d), tokenizer("piece_bpe_32k.model")),
+    "op4_token_counts": lambda s, d: op4_token_counts.count_tokens(_docs(s, d), tokenizer("piece_bpe_32k.model"), whole=True),
     "op5_pii": lambda s, d: op5_pii.report(_docs(s, d)),
     "op6_decontaminate": lambda s, d: op6_decontaminate.report(_docs(s, d), _table(s, d, "benchmark")),
     "op7_bpe": lambda s, d: op7_bpe.digest(_docs(s, d), tokenizer("word_bpe_49k.json")),

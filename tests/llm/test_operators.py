@@ -199,6 +199,42 @@ def test_longest_match_small_alphabet():
             assert m.word(w) == greedy(w, first, pieces), (w, first, pieces)
 
 
+def greedy_whole(word, begin, rest):
+    """The bare BEGIN piece where no piece begins the word, bytes for characters that no piece continues with."""
+    n, at = 1, next((k for k in range(min(len(word), 20), 0, -1) if word[:k] in begin), 0)
+    while at < len(word):
+        size = next((k for k in range(min(len(word) - at, 20), 0, -1) if word[at : at + k] in rest), 0)
+        n += 1 if size else len(word[at].encode("utf-8", "replace"))
+        at += size or 1
+    return n
+
+
+def test_token_counts_whole_vocabulary(spark, sf):
+    path = tokenizer("piece_bpe_32k.model")
+    pieces = op4_token_counts.vocabulary(path)
+    begin, rest = {p[1:] for p in pieces if p[0] == "▁" and len(p) > 1}, {p for p in pieces if p[0] != "▁"}
+    assert max(map(len, pieces)) <= 20 and "▁" in pieces
+    m = op4_token_counts.matcher(path, whole=True)
+    assert [m.word(w) for w in ("2024", "漢字", "x2", "𓀀")] == [5, 5, 2, 5]  # as sentencepiece splits them
+    rows = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_token_counts"](spark, sf).collect()}
+    docs = texts(docs_of(spark, sf))
+    for i, x in docs:
+        n = [greedy_whole(w, begin, rest) for w in (x or "").split()]
+        assert rows[i] == (len(n), sum(n), 0)
+    assert len(rows) == len(docs)
+
+
+def test_longest_match_bare_and_bytes():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pieces = {"".join(rng.choice(list("abé"), rng.integers(1, 5))) for _ in range(6)}
+        first = {"".join(rng.choice(list("abé"), rng.integers(1, 5))) for _ in range(4)}
+        m = op4_token_counts.LongestMatch(["▁", *("▁" + p for p in first), *sorted(pieces)], bare=True, with_bytes=True)
+        for _ in range(60):
+            w = "".join(rng.choice(list("abé漢"), rng.integers(1, 10), p=[0.4, 0.3, 0.2, 0.1]))
+            assert m.word(w) == greedy_whole(w, first, pieces), (w, first, pieces)
+
+
 # --- 5
 
 PATTERNS = [
