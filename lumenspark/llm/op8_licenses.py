@@ -60,9 +60,9 @@ def value_of(identifier: str) -> float:
     return next((v for family, v in _FAMILIES if low == family or low.startswith((family + "-", family + "+"))), UNKNOWN)
 
 
-def tokens_of(text: str) -> list[str]:
-    """Tokens up to the end of the line or the first thing that can't belong to an expression."""
-    out, at, depth, operand = [], 0, 0, False
+def tokens_of(text: str, at: int = 0) -> list[str]:
+    """Tokens from `at` up to the end of the line or the first thing that can't belong to an expression."""
+    out, depth, operand = [], 0, False
     while m := _TOKEN.match(text, at):
         t = m[1]
         low = t.lower()
@@ -113,19 +113,22 @@ def postfix(tokens: list[str]) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[list[str], float] | None:
-    """Identifiers (with their exceptions) and value of a licence expression; None without an identifier."""
-    stack: list[tuple[list[str], float]] = []
-    for t in postfix(tokens_of(expression)):
+def evaluate(text: str, at: int = 0) -> tuple[list[str], float] | None:
+    """Identifiers (with their exceptions) and value of the licence expression at `at`; None without an identifier."""
+    names: list[str] = []  # of all operands in order
+    stack: list[tuple[int, float]] = []  # where an operand's names begin, and its value
+    for t in postfix(tokens_of(text, at)):
         if t not in _RANK:
-            stack.append(([t.lower()], value_of(t)))
+            stack.append((len(names), value_of(t)))
+            names.append(t.lower())
             continue
         (right, rv), (left, lv) = stack.pop(), stack.pop()
         if t == "with":
-            stack.append(([*left[:-1], f"{left[-1]} with {right[0]}"], max(lv, 0.6) if lv >= 0.3 else lv))
+            names[right - 1 :] = [f"{names[right - 1]} with {names[right]}"]
+            stack.append((left, max(lv, 0.6) if lv >= 0.3 else lv))
         else:
-            stack.append((left + right, max(lv, rv) if t == "or" else min(lv, rv)))
-    return stack[-1] if stack else None
+            stack.append((left, max(lv, rv) if t == "or" else min(lv, rv)))
+    return (names[stack[-1][0] :], stack[-1][1]) if stack else None
 
 
 def _automaton():
@@ -161,7 +164,7 @@ def scan(text: str) -> tuple:
         values.append(VALUES[label])
     if tagged:
         for m in _TAG_TEXT.finditer(text):
-            if found := evaluate(text[m.end() : m.end() + 500]):
+            if found := evaluate(text, m.end()):
                 labels.update(f"spdx:{x}" for x in found[0])
                 values.append(found[1])
     where = [line.count(" ", 0, s) for s in (min(starts), max(starts))] if starts else [None, None]

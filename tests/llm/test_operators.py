@@ -393,6 +393,15 @@ def test_expressions(text, want):
     assert op8_licenses.evaluate(text) == want
 
 
+def test_long_expressions():
+    """A part behind the first 500 characters counts, and the identifier there stays whole."""
+    ids = [f"mit-variant-{i}" for i in range(60)] + ["proprietary-1.0"]
+    got = op8_licenses.scan("SPDX-License-Identifier: " + " AND ".join(ids) + "\nMIT License")
+    assert set(got[5].split(",")) == {"mit", *(f"spdx:{x}" for x in ids)} and got[6] == 0.1
+    many = " OR (".join(f"GPL-{i} WITH e-{i}" for i in range(20_000)) + ")" * 19_999
+    assert op8_licenses.evaluate(many) == ([f"gpl-{i} with e-{i}" for i in range(20_000)], 0.6)
+
+
 # --- 9
 
 
