@@ -5,12 +5,12 @@ leftmost and non-overlapping per kind; a match that fails its check is dropped w
 
 The values found are the protected entities. A term (a word of 4 letters or more, lower-cased) within REACH words of a
 value may reveal it. From the corpus come the documents of each entity n(e), of each term n(t), and of both together
-n(e, t). Its disclosure is PMI(e; t) / IC(e), that is 1 + log2(n(e, t) / n(t)) / log2(N / n(e)): 1 when the term never
-occurs without the entity. Terms that stand near an entity in SUPPORT different surroundings (copies of one passage are
-one) and reach THRESHOLD go: their occurrences near that entity become spans of kind `term`, which sanitise() removes;
+n(e, t). Its disclosure is PMI(e; t) / IC(e) = 1 + log2 p(e | t) / log2(N / n(e)), 1 when the term never occurs without
+the entity. p(e | t) is estimated as (n(e, t) + SMOOTHING p(e)) / (n(t) + SMOOTHING): few documents are weak evidence, no
+value is too rare to be scored, and the same passage in several documents counts in each. Terms that reach THRESHOLD go: their occurrences near that entity become spans of kind `term`, which sanitise() removes;
 base spans become their kind in brackets. Nothing is capped: co-occurrences meet by (entity, term), term counts by term.
 
-Cases: a null or empty text has no spans; repeated rows count as documents of their own, but as one surrounding; null
+Cases: a null or empty text has no spans; repeated rows count as documents of their own; null
 doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report().
 """
 
@@ -30,7 +30,7 @@ from lumenspark.llm.batches import slices, texts_of
 from lumenspark.plans.scratch import materialize, with_row_id
 
 REACH = 8
-SUPPORT = 3
+SMOOTHING = 1.0
 THRESHOLD = 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -191,26 +191,25 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.groupBy("t").agg(F.sum("n").alias("n_t")).join(wanted, "t", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int, threshold: float) -> DataFrame:
-    """(e, t): terms that reveal an entity. `near` has row, e, c and t."""
-    pairs = near.groupBy("e", "t", "c").agg(F.count_distinct("row").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("support")).filter(F.col("support") >= support)
-    pairs = materialize(pairs, "pairs")
+def disclosing_terms(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """(e, t): terms that reveal an entity. `near` has row, e and t."""
+    pairs = materialize(near.groupBy("e", "t").agg(F.count_distinct("row").alias("n_et")), "pairs")
     if pairs.isEmpty():
         return pairs.select("e", "t")
     total = docs.count()
     entities = near.groupBy("e").agg(F.count_distinct("row").alias("n_e"))
     both = pairs.join(term_counts(docs, pairs.select("t").distinct()), "t").join(entities, "e")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    disclosure = 1 + F.log2(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / content
+    disclosure = 1 + F.log2((F.col("n_et") + SMOOTHING * F.col("n_e") / F.lit(float(total))) / (F.col("n_t") + SMOOTHING)) / content
     return both.filter((content > 0) & (disclosure >= threshold)).select("e", "t")
 
 
-def report(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and terms) of every document."""
     numbered = with_row_id(docs.select("doc_id", "text"), "row")
     found = materialize(detect(numbered), "spans")
     near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    terms = disclosing_terms(docs, near, support, threshold)
+    terms = disclosing_terms(docs, near, threshold)
     more = near.join(terms, ["e", "t"]).select("row", "s", "z").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("terms"))
     own = [F.col(c) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")]
     base = F.filter(F.split("base", ","), lambda x: x != "")

@@ -295,6 +295,20 @@ def test_pii_terms(spark):
     assert not any(got[i] for i in range(6, 206))
 
 
+def pii_terms(spark, rows):
+    """The term spans of each text, and common texts around them."""
+    rows = rows + [f"common regards words of text number {i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in op5_pii.report(docs).collect()}
+    return [[rows[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"] for i in range(len(rows))]
+
+
+def test_pii_rare_values_and_signatures(spark):
+    """A name in the same signature line of all documents, and one beside a value that stands in one document."""
+    got = pii_terms(spark, ["regards quentin me@my.org common words"] * 4 + ["regards ottoline you@my.org common words"])
+    assert got[:5] == [["quentin"]] * 4 + [["ottoline"]] and not any(got[5:])
+
+
 # --- 6
 
 
