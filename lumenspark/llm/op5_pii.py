@@ -3,12 +3,13 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers (12 to 19 digits, Luhn) and phone numbers (9 to 15 digits),
 leftmost and non-overlapping per kind; a match that fails its check is dropped without a retry.
 
-The values found are the protected entities. A term (a word of 4 letters or more, lower-cased) within REACH words of a
-value may reveal it. From the corpus come the documents of each entity n(e), of each term n(t), and of both together
-n(e, t). Its disclosure is PMI(e; t) / IC(e) = 1 + log2 p(e | t) / log2(N / n(e)), 1 when the term never occurs without
+The values found are the protected entities. A term (a word of 2 letters or digits or more, lower-cased) anywhere in the
+documents that hold a value may reveal it. From the corpus come the documents of each entity n(e), of each term n(t), and
+of both together n(e, t). Its disclosure is PMI(e; t) / IC(e) = 1 + log2 p(e | t) / log2(N / n(e)), 1 when the term never occurs without
 the entity. p(e | t) is estimated as (n(e, t) + SMOOTHING p(e)) / (n(t) + SMOOTHING): few documents are weak evidence, no
-value is too rare to be scored, and the same passage in several documents counts in each. Terms that reach THRESHOLD go: their occurrences near that entity become spans of kind `term`, which sanitise() removes;
-base spans become their kind in brackets. Nothing is capped: co-occurrences meet by (entity, term), term counts by term.
+value is too rare to be scored, and the same passage in several documents counts in each. Terms that
+reach THRESHOLD go: all their occurrences outside values, in every document that holds the entity, become spans of kind
+`term`, which sanitise() removes; base spans become their kind in brackets. Nothing is capped: co-occurrences meet by (entity, term), term counts by term.
 
 Cases: a null or empty text has no spans; repeated rows count as documents of their own; null
 doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report().
@@ -29,7 +30,6 @@ from pyspark.sql import types as T
 from lumenspark.llm.batches import slices, texts_of
 from lumenspark.plans.scratch import materialize, with_row_id
 
-REACH = 8
 SMOOTHING = 1.0
 THRESHOLD = 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -39,7 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W_]{2,}")
 _BUCKETS = 1 << 22
 
 
@@ -89,43 +89,34 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes, str, int, int]]:
-    """(entity, surroundings, term, start, end) of the terms near each span and outside of all."""
-    out = []
-    for s, k, e in spans:
-        a, b = s, e
-        left, right = text[max(0, s - 40 * REACH) : s].split()[-REACH:], text[e : e + 40 * REACH].split()[:REACH]
-        entity = hashlib.blake2b(f"{KINDS[k]}:{text[s:e].lower()}".encode("utf-8", "replace"), digest_size=8).digest()
-        around = hashlib.blake2b(" ".join([*left, "|", *right]).encode("utf-8", "replace"), digest_size=8).digest()
-        for words, begin, stop in ((left, max(0, s - 40 * REACH), s), (right, e, min(len(text), e + 40 * REACH))):
-            if words:
-                a = text.rfind(words[0], begin, stop) if words is left and len(words) == 1 else begin
-                if words is left and len(words) > 1:  # go back over REACH words
-                    a = stop
-                    for w in reversed(words):
-                        a = text.rfind(w, begin, a)
-                b = stop
-                if words is right:
-                    b = begin
-                    for w in words:
-                        b = text.find(w, b, stop) + len(w)
-                for m in _TERM.finditer(text, a, b):
-                    if not any(x < m.end() and m.start() < y for x, _, y in spans):
-                        out.append((entity, around, m[0].lower(), m.start(), m.end()))
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    """The distinct values of a text as hashes."""
+    values = {f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in spans}
+    return [int.from_bytes(hashlib.blake2b(v.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for v in values]
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms outside of all spans, which come in order."""
+    out, at, covered = [], 0, 0
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            covered = max(covered, spans[at][2])
+            at += 1
+        if covered <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
 _BASE = T.StructType(
     [T.StructField("row", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_email", "n_ip", "n_card", "n_phone")], T.StructField("base_sha256", T.StringType()), T.StructField("base", T.StringType())]
-    + [T.StructField("near", T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("c", T.LongType()), T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("z", T.LongType())])))]
+    + [T.StructField("values", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("z", T.LongType())])))]
 )
 
 
 def detect(numbered: DataFrame) -> DataFrame:
-    """doc_id, row, the base columns and the terms near base spans, one row per document."""
+    """doc_id, row, the base columns, the values and, if there are any, the terms with their places, one row per document."""
     schema = T.StructType([numbered.schema["doc_id"], *_BASE.fields])
-    near_type = pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("t", pa.string()), ("s", pa.int64()), ("z", pa.int64())]))
-    number = lambda x: int.from_bytes(x, "little", signed=True)
+    held_type = pa.list_(pa.struct([("t", pa.string()), ("s", pa.int64()), ("z", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,7 +126,7 @@ def detect(numbered: DataFrame) -> DataFrame:
                 found = [base_spans(t) for t in texts]
                 counts = np.array([[sum(k == kind for _, k, _ in f) for kind in range(4)] for f in found], np.int64).reshape(-1, 4)
                 joined = [_joined(f) for f in found]
-                near = [[(number(e), number(c), t, s, z) for e, c, t, s, z in nearby(x, f)] if f else [] for x, f in zip(texts, found, strict=True)]
+                held = [terms_of(x, f) if f else [] for x, f in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -143,7 +134,8 @@ def detect(numbered: DataFrame) -> DataFrame:
                         *[pa.array(counts[:, k]) for k in range(4)],
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
                         pa.array(joined),
-                        pa.array([[dict(zip("ectsz", n, strict=True)) for n in x] for x in near], near_type),
+                        pa.array([entities_of(x, f) for x, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
+                        pa.array([[dict(zip("tsz", n, strict=True)) for n in x] for x in held], held_type),
                     ],
                     names=schema.names,
                 )
@@ -175,7 +167,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in texts_of(b.column("text")):
-                for w in set(_TERM.findall(text.lower())):
+                for w in {x.lower() for x in set(_TERM.findall(text))}:
                     if (may := known.get(w)) is None:
                         at = zlib.crc32(w.encode()) % _BUCKETS
                         may = known[w] = bool(bits[at >> 3] >> (at & 7) & 1)
@@ -191,13 +183,12 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.groupBy("t").agg(F.sum("n").alias("n_t")).join(wanted, "t", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """(e, t): terms that reveal an entity. `near` has row, e and t."""
-    pairs = materialize(near.groupBy("e", "t").agg(F.count_distinct("row").alias("n_et")), "pairs")
+def disclosing_terms(docs: DataFrame, met: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
+    """(e, t): terms that reveal an entity. `met` has e and t once per document that holds both, `entities` has e and n_e."""
+    pairs = materialize(met.groupBy("e", "t").agg(F.count("*").alias("n_et")), "pairs")
     if pairs.isEmpty():
         return pairs.select("e", "t")
     total = docs.count()
-    entities = near.groupBy("e").agg(F.count_distinct("row").alias("n_e"))
     both = pairs.join(term_counts(docs, pairs.select("t").distinct()), "t").join(entities, "e")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     disclosure = 1 + F.log2((F.col("n_et") + SMOOTHING * F.col("n_e") / F.lit(float(total))) / (F.col("n_t") + SMOOTHING)) / content
@@ -208,9 +199,12 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and terms) of every document."""
     numbered = with_row_id(docs.select("doc_id", "text"), "row")
     found = materialize(detect(numbered), "spans")
-    near = found.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    terms = disclosing_terms(docs, near, threshold)
-    more = near.join(terms, ["e", "t"]).select("row", "s", "z").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("terms"))
+    marked = found.filter(F.size("held") > 0)
+    met = marked.select("row", F.array_distinct("held.t").alias("ts"), F.explode("values").alias("e")).select("row", "e", F.explode("ts").alias("t"))
+    entities = found.select(F.explode("values").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    terms = materialize(disclosing_terms(docs, met.select("e", "t"), entities, threshold), "terms")
+    places = marked.select("row", F.explode("held").alias("x")).select("row", "x.*").join(met.join(terms, ["e", "t"], "left_semi").select("row", "t").distinct(), ["row", "t"])
+    more = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("terms"))
     own = [F.col(c) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")]
     base = F.filter(F.split("base", ","), lambda x: x != "")
     placed = F.transform(base, lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("x")))

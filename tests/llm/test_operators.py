@@ -309,6 +309,13 @@ def test_pii_rare_values_and_signatures(spark):
     assert got[:5] == [["quentin"]] * 4 + [["ottoline"]] and not any(got[5:])
 
 
+def test_pii_terms_of_whole_documents(spark):
+    """Names of any length and with digits, far from the value and repeated: marked wherever they stand in its documents."""
+    far = "common words of text " * 100
+    got = pii_terms(spark, [f"Quentin Ng kx42 {far} me@my.org {far} quentin"] * 5 + [f"common {far} you@my.org"])
+    assert got[:5] == [["Quentin", "Ng", "kx42", "quentin"]] * 5 and not any(got[5:])
+
+
 # --- 6
 
 
