@@ -23,25 +23,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspark.llm.batches import slices, texts_of
+from lumenspark.llm.batches import Recent, distinct_pieces, gather, slices
 from lumenspark.plans.scratch import materialize, new_path
 
 LENGTH = 2048
 END = 0
-CACHE = 400_000
-#: Where a text can be cut without changing its pre-tokens: a single space between two characters that aren't spaces.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+SLICE = 8_000_000
+_WHITE = r"\x09-\x0d\x20\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Odd texts have a space beside other white space or at an end, so that pre-tokens don't always begin at spaces (or they
+#: hold a special token).
+_ODD = f" [{_WHITE}]|[{_WHITE}] |^[{_WHITE}]|[{_WHITE}]$"
+#: A single line break between other characters is a pre-token of its own.
+_BREAK = rf"([^{_WHITE}])\n([^{_WHITE}])"
 
-
-#: Pre-tokens of a piece without inner white space whose characters are ASCII or Latin letters.
-_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u024f]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00c0-\u024f]+")
+#: Pieces of printable ASCII characters and Latin letters, perhaps behind a line break, and their pre-tokens.
+_PLAIN = re.compile("\n?[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ɏ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ɏ]+|\n")
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,10 +55,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes texts by cached pieces, cut before single spaces, where the pre-tokenizer always cuts too.
+    """Encodes texts by their distinct pieces, cut before single spaces and line breaks, where the pre-tokenizer cuts too.
 
-    Of a piece that isn't cached, plain ones are cut into pre-tokens here and go to the library's BPE model; all others
-    go through the whole library. The cache is emptied when it holds CACHE pieces.
+    Pieces and pre-tokens are looked up among recent ones. Of a piece that isn't known, plain ones are cut into
+    pre-tokens here and go to the library's BPE model; all others, and odd texts as a whole, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -66,49 +69,70 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([_ODD, *[re.sub(r"([^\w\s])", r"\\\1", t) for t in special]])
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            got = self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], self.width).tobytes()
-        return got
-
-    def miss(self, pieces: list[str]) -> None:
-        odd = []
-        for p in pieces:
-            if _PLAIN.fullmatch(p) and not any(x in p for x in self.special):
-                self.cache[p] = b"".join(map(self.word, _WORDS.findall(" " + p)))
-            else:
-                odd.append(p)
-        for i in range(0, len(odd), 20_000):
-            some = odd[i : i + 20_000]
-            self.cache.update(zip(some, self.library([" " + p for p in some]), strict=True))
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        return text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cut = [self.pieces(t) for t in texts]
-        firsts = [c[0] if c else "" for c in cut]
-        self.miss(list({p for c in cut for p in c[1:]}.difference(self.cache)))
-        get = self.cache.__getitem__
-        return [h + b"".join(map(get, c[1:])) for h, c in zip(self.library(firsts), cut, strict=True)]
+        self.pieces, self.words = Recent(), Recent(128_000_000)
+        self.end = np.array([END], self.width).tobytes()
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.model.tokenize, "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])))
+        data = np.array([t.id for x in found for t in x], self.width).tobytes()
+        ends = (np.cumsum(list(map(len, found))) * self.width.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _unknown(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces behind a space, or behind a line break where they begin with one."""
+        behind = [p if p[:1] == "\n" else " " + p for p in pieces]
+        plain = list(map(_PLAIN.fullmatch, pieces))
+        easy = [p for p, fine in zip(behind, plain, strict=True) if fine]
+        # one list of pre-tokens: only the first one of a piece begins with a space or a line break
+        flat = _WORDS.findall("".join(easy))
+        words = list(dict.fromkeys(flat))
+        at = {w: i for i, w in enumerate(words)}
+        data, ends = gather(self.words.find(words, self._words), np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)))
+        first = np.flatnonzero(np.fromiter((w[0] in " \n" for w in flat), bool, len(flat)))
+        bounds, data = [*np.concatenate([[0], ends])[first].tolist(), len(data)], data.tobytes()
+        values = [data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        if len(easy) == len(pieces):
+            return values
+        hard = iter(self.library([p for p, fine in zip(behind, plain, strict=True) if not fine]))
+        given = iter(values)
+        return [next(given if fine else hard) for fine in plain]
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, END after each one, and how many each has with it. Null texts are empty."""
+        text = pc.fill_null(text, "")
+        odd = pc.match_substring_regex(text, self.odd).to_numpy(zero_copy_only=False)
+        usual = pc.replace_substring_regex(pc.if_else(pa.array(odd), "", text), _BREAK, "\\1 \n\\2")
+        lists = pc.split_pattern(usual, " ")
+        pieces, places, ends = distinct_pieces(lists)
+        # the first piece of a text has no space before it; an odd text counts as one first piece
+        begins = np.concatenate([[0], ends[:-1]])
+        firsts = lists.flatten().take(pa.array(begins)).to_pylist()
+        for i in np.flatnonzero(odd).tolist():
+            firsts[i] = text[i].as_py()
+        inner = np.ones(len(places), bool)
+        inner[begins] = False
+        used = np.zeros(len(pieces), bool)
+        used[places[inner]] = True
+        known = np.flatnonzero(used).tolist()
+        moved = np.zeros(len(pieces), np.int64)
+        moved[known] = np.arange(len(known))
+        values = [*self.pieces.find([pieces[i] for i in known], self._unknown), *self.library(firsts), self.end]
+        places = moved[places]
+        places[begins] = len(known) + np.arange(len(firsts))
+        places = np.insert(places, ends, len(values) - 1)
+        data, upto = gather(values, places)
+        sizes = np.diff(upto[ends + np.arange(len(ends))], prepend=0) // self.width.itemsize
+        return data.view(self.width), sizes
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -142,15 +166,12 @@ class _Shard:
         self.writers = [pa.ipc.new_stream(f, s) for f, s in zip(self.files, self.schemas, strict=True)]
         self.ids, self.held, self.start = [], 0, 0
 
-    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
-        sizes = []
-        for e in encoded:
-            ids = np.frombuffer(e, self.width)
-            self.ids += [ids, np.array([END], self.width)]
-            self.held += len(ids) + 1
-            sizes.append(len(ids) + 1)
-        starts = self.start + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        self.start += sum(sizes)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents and the ids of all of them, with the number that each one has."""
+        starts = self.start + np.cumsum(sizes) - sizes
+        self.ids.append(ids)
+        self.held += len(ids)
+        self.start += len(ids)
         self.writers[1].write_batch(pa.record_batch([doc_ids, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=self.schemas[1]))
         if self.held >= 64 * self.length:
             self._sequences(False)
@@ -193,8 +214,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, pa
         for b in batches:
             if shard is None and b.num_rows:
                 shard = _Shard(folder, context.partitionId(), context.taskAttemptId(), length, id_type, enc.width)
-            for i, j in slices(b.column("text")):
-                shard.add(b.column("doc_id").slice(i, j - i), enc.encode(texts_of(b.column("text").slice(i, j - i))))
+            for i, j in slices(b.column("text"), SLICE):
+                shard.add(b.column("doc_id").slice(i, j - i), *enc.encode(b.column("text").slice(i, j - i)))
         if shard:
             shard.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([shard.start], pa.int64())], names=["shard", "tokens"])
