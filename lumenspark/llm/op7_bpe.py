@@ -4,7 +4,8 @@ Encoding merges with a priority queue of merge ranks over a doubly linked list o
 merge has made stale. Decoding concatenates vocabulary strings, with a space between tokens where the tokenizer file
 names no decoder, as the library's decode does. Normalising and pre-tokenizing are the file's own steps.
 
-Texts are cut at ASCII white space, which no token of this kind of vocabulary contains, and the pieces are cached.
+Texts are cut at ASCII white space, which no token of this kind of vocabulary contains. What recent pieces and words gave
+is kept, so that only unknown words are merged.
 
 Cases: a null text counts as empty and gives no ids; special tokens in a text are recognised as the library does;
 repeated rows give repeated rows; an empty table gives none; columns besides doc_id and text aren't read.
@@ -13,18 +14,21 @@ repeated rows give repeated rows; an empty table gives none; columns besides doc
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenspark.llm.batches import map_texts
+from lumenspark.llm.batches import Recent, distinct_pieces, gather, map_arrays
 from lumenspark.llm.op2_arrow_ids import byte_letters
 
-CACHE = 400_000
+SLICE = 8_000_000
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRE_TOKENIZER = {
@@ -36,35 +40,44 @@ _PRE_TOKENIZER = {
 }
 #: ASCII and Latin letters that NFC leaves alone and that lower-case to one letter; and what _PATTERN finds among them.
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-_SHORT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f\u2c65\u2c66]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f\u2c65\u2c66]+")
+_SHORT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏⱥⱦ]+|[0-9]| |[^ a-z0-9ß-öø-ɏⱥⱦ]+")
 
 
-def merge(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
     """Apply merges to symbols, lowest rank first, leftmost first among equals.
 
-    ranks: left << 32 | right to (rank, merged). The queue holds rank << 32 | position; an entry is stale if the pair
-    now at its position has another rank.
+    ranks: left << 32 | right to rank; merged: by rank. The queue holds rank << 32 | position; an entry is stale if the
+    pair that begins at its position has another rank by now.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    sym, left, right = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-    pair = ranks.get
-    queue = [r[0] << 32 | i for i in range(n - 1) if (r := pair(sym[i] << 32 | sym[i + 1])) is not None]
-    heapq.heapify(queue)
+    pair, sym, left, right = ranks.get, list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
+    now = [pair(a << 32 | b, -1) for a, b in zip(sym, sym[1:], strict=False)]
+    now.append(-1)
+    queue = [r << 32 | i for i, r in enumerate(now) if r >= 0]
+    heapify(queue)
     while queue:
-        top = heapq.heappop(queue)
-        i = top & 0xFFFFFFFF
-        j = right[i]
-        if j < 0 or sym[i] < 0 or (r := pair(sym[i] << 32 | sym[j])) is None or r[0] != top >> 32:
+        top = heappop(queue)
+        i, r = top & 0xFFFFFFFF, top >> 32
+        if now[i] != r:
             continue
-        sym[i], sym[j], right[i] = r[1], -1, (k := right[j])
-        if k >= 0:
+        j = right[i]
+        sym[i] = new = merged[r]
+        sym[j] = now[j] = -1
+        k = right[i] = right[j]
+        if k < n:
             left[k] = i
-            if (r := pair(sym[i] << 32 | sym[k])) is not None:
-                heapq.heappush(queue, r[0] << 32 | i)
-        if (h := left[i]) >= 0 and (r := pair(sym[h] << 32 | sym[i])) is not None:
-            heapq.heappush(queue, r[0] << 32 | h)
+            r = now[i] = pair(new << 32 | sym[k], -1)
+            if r >= 0:
+                heappush(queue, r << 32 | i)
+        else:
+            now[i] = -1
+        h = left[i]
+        if h >= 0:
+            r = now[h] = pair(sym[h] << 32 | new, -1)
+            if r >= 0:
+                heappush(queue, r << 32 | h)
     return [s for s in sym if s >= 0]
 
 
@@ -81,7 +94,8 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         v = self.vocab
-        self.ranks = {v[a] << 32 | v[b]: (i, v[a + b]) for i, (a, b) in reversed([*enumerate(pairs)])}
+        self.ranks = {v[a] << 32 | v[b]: i for i, (a, b) in reversed([*enumerate(pairs)])}
+        self.merged = [v[a + b] for a, b in pairs]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.string = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
@@ -89,80 +103,94 @@ class Bpe:
         self.normalizer, self.pre = library.normalizer, library.pre_tokenizer
         self.joint = "" if library.decoder is not None else " "
         self.library_decode = library.decoder.decode if library.decoder is not None else None
-        self.cache: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
-        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.pieces, self.words = Recent(), Recent(128_000_000)
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.shown = {i: (b" %d" % i, (self.joint + s).encode()) for i, s in self.string.items()}
         #: Pieces of these characters take the short way if the file's steps are the ones that _SHORT stands for.
-        self.short = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
-
-    def word(self, word: str) -> tuple[str, str]:
-        """Ids of a pre-token, and its decoded text, joined."""
-        got = self.words.get(word)
-        if got is None:
-            symbols = list(word)
-            symbols[-1] += self.suffix
-            ids = merge([self.vocab[s] for s in symbols if s in self.vocab], self.ranks)
-            got = self.words[word] = (" ".join(map(str, ids)), self.joint.join([self.string[i] for i in ids]))
-        return got
-
-    def piece(self, chunk: str) -> tuple[str, str]:
-        """The same of a text, one special token or pre-token after the other."""
-        if self.short and _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            low = chunk.lower()
-            words = _SHORT.findall(low)
-            if not low.isascii():
-                words = ["".join([self.letters[chr(b)] for b in w.encode()]) for w in words]
-            found = [self.word(w) for w in words]
-        else:
-            found = []
-            for part in self.split_special.split(chunk) if self.split_special else [chunk]:
-                if part in self.special:
-                    found.append((str(self.special[part]), part))
-                elif part:
-                    normal = self.normalizer.normalize_str(part) if self.normalizer is not None else part
-                    found += [self.word(w) for w, _ in self.pre.pre_tokenize_str(normal)]
-        found = [f for f in found if f[0]]
-        return " ".join([f[0] for f in found]), self.joint.join([f[1] for f in found])
+        self.short = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and all("<|" in x for x in self.special)
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a pre-token."""
+        symbols = list(word)
+        symbols[-1] += self.suffix
+        return merge([self.vocab[s] for s in symbols if s in self.vocab], self.ranks, self.merged)
+
+    def chunk(self, text: str) -> list[int]:
+        """Ids of a text by the file's own steps, one special token or pre-token after the other."""
+        out = []
+        for part in self.split_special.split(text) if self.split_special else [text]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                normal = self.normalizer.normalize_str(part) if self.normalizer is not None else part
+                for w, _ in self.pre.pre_tokenize_str(normal):
+                    out += self.word(w)
+        return out
+
+    def _show(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """The ids as digits and their strings, each behind its separator."""
+        got = [self.shown[i] for i in ids]
+        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+
+    def _words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        return [self._show(self.word(w)) for w in "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])]
+
+    def _unknown(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+        plain = [self.short and _PLAIN.fullmatch(p) is not None and "<|" not in p for p in pieces]
+        easy = [p for p, fine in zip(pieces, plain, strict=True) if fine]
+        values = []
+        if easy:
+            # one list of pre-tokens with a space behind each piece
+            flat = _SHORT.findall(" ".join([*easy, ""]).lower())
+            words = list(dict.fromkeys(flat))
+            words.remove(" ")
+            at = {w: i for i, w in enumerate(words)} | {" ": len(words)}
+            found = [*self.words.find(words, self._words, _size), (b"", b"")]
+            places = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
+            last = np.flatnonzero(places == len(words))
+            sides = []
+            for side in (0, 1):
+                data, ends = gather([f[side] for f in found], places)
+                data, bounds = data.tobytes(), [0, *ends[last].tolist()]
+                sides.append([data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)])
+            values = list(zip(*sides, strict=True))
+        if len(easy) == len(pieces):
+            return values
+        given = iter(values)
+        return [next(given) if fine else self._show(self.chunk(p)) for p, fine in zip(pieces, plain, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         tokens = [self.string[i] for i in ids if i in self.string]
         return self.library_decode(tokens) if self.library_decode else self.joint.join(tokens)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for chunk in _cut(text) for i in self.piece(chunk)[0].split()]
-
-    def digests(self, texts: list[str]) -> list[list]:
+    def encode(self, texts: pa.Array, decoded: bool = True) -> tuple[tuple[bytes, np.ndarray], ...]:
+        """The ids of all texts as digits behind spaces, and the decoded texts if wanted: bytes, and where each text ends."""
+        pieces, places, ends = distinct_pieces(_cut(texts))
+        found = self.pieces.find(pieces, self._unknown, _size)
+        out = []
+        for side in range(1 + decoded):
+            data, upto = gather([f[side] for f in found], places)
+            out.append((data.tobytes(), np.concatenate([[0], upto])[ends]))
+        return tuple(out)
+
+    def digests(self, texts: pa.Array) -> list[list]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        cut = [_cut(t) for t in texts]
-        for chunk in {p for c in cut for p in c}.difference(self.cache):
-            self.cache[chunk] = self.piece(chunk)
-        counts, ids_sha, text_sha = [], [], []
-        for c in cut:
-            got = [x for x in map(self.cache.__getitem__, c) if x[0]]
-            ids = " ".join([x[0] for x in got])
-            counts.append(ids.count(" ") + 1 if ids else 0)
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            if self.library_decode:
-                decoded = self.decode([int(i) for i in ids.split()])
-            else:
-                decoded = self.joint.join([x[1] for x in got])
-            text_sha.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
-        return [counts, ids_sha, text_sha]
-
-
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-
-
-def _cut(text: str) -> list[str]:
-    """Pieces between ASCII white space. str.split() also cuts at other characters, so it serves texts without them."""
-    if _OTHER_SPACE.search(text):
-        return [p for p in _ASCII_SPACE.split(text) if p]
-    return text.split()
+        sides = self.encode(texts, self.library_decode is None)
+        ids = [data[a + 1 : b] for data, ends in sides[:1] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        if self.library_decode is None:
+            shown = [data[min(a + len(self.joint), b) : b] for data, ends in sides[1:] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        else:
+            shown = [self.decode([int(i) for i in x.split()]).encode("utf-8", "replace") for x in ids]
+        return [[x.count(b" ") + 1 if x else 0 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in shown]]
+
+
+def _size(value: tuple[bytes, bytes]) -> int:
+    return 120 + len(value[0]) + len(value[1])
+
+
+def _cut(texts: pa.Array) -> pa.ListArray:
+    """Pieces between ASCII white space; empty ones, which encode to nothing, where some stands at an end."""
+    return pc.ascii_split_whitespace(pc.fill_null(texts, ""))
 
 
 _models: dict[str, Bpe] = {}
@@ -179,14 +207,14 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return map_texts(docs, ["doc_id"], "text", FIELDS, lambda texts: model(tokenizer).digests(texts))
+    return map_arrays(docs, ["doc_id"], "text", FIELDS, lambda texts: model(tokenizer).digests(texts), SLICE)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids, for writers of token files."""
 
-    def run(texts: list[str]) -> list[list]:
-        m = model(tokenizer)
-        return [[m.encode(t) for t in texts]]
+    def run(texts: pa.Array) -> list[list]:
+        (data, ends), = model(tokenizer).encode(texts, False)
+        return [[[int(i) for i in data[a:b].split()] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]]
 
-    return map_texts(docs, ["doc_id"], "text", [T.StructField("ids", T.ArrayType(T.IntegerType()))], run)
+    return map_arrays(docs, ["doc_id"], "text", [T.StructField("ids", T.ArrayType(T.IntegerType()))], run, SLICE)
