@@ -1,13 +1,20 @@
-"""Embedding near-dedup by exact comparison of blocks.
+"""Embedding near-dedup by sorted projection passes.
 
-Vectors that are equal within a label form one class, compared once. The classes of a label and dimension are ordered by
-one sort key of BITS random hyperplane hashes, which brings neighbours together, and cut into blocks of WINDOW classes.
-A block has a centre and a radius (the largest angle to the centre). By the triangle inequality two blocks whose centres
-lie further apart than both radii and the threshold's angle hold no link, and two blocks whose angles add up to less than
-it hold every link; neither is compared. All other pairs of blocks are, each by its cosines in double precision, so every
-link is found. A pair of blocks returns link counts and the edges of a spanning forest; their union gives the components.
+Vectors that are equal within a label form one class, compared once. A pass orders the classes of a label and dimension
+by a key of concatenated random hyperplane hashes (ties by a hash of their own per pass) and compares neighbours in
+windows of about SPAN classes, all pairs of a window by cosine in double precision; the links of all passes are united.
 
-The work is quadratic in the blocks of a label that the bounds can't tell apart: the price of finding every link.
+How many windows a label needs decides how many leading hashes, its depth, tell them apart. A window holds whole ranges
+of equal leading hashes, so two vectors at the threshold meet in a pass with probability (1 - angle / pi) ** depth at
+least, closer ones sooner, and a label gets as many passes as find a link at the threshold with probability RECALL. A
+label of SPAN classes or fewer is one window in one pass: all its links are found.
+
+No window is cut: a range that dense groups or repeated directions have made longer than SPAN is compared in full, block
+by block of WINDOW classes. Such blocks have a centre and a radius (the largest angle to the centre); by the triangle
+inequality pairs of blocks too far apart hold no link and pairs close enough hold every link, and neither is compared.
+Blocks of a window are cut along the windows that its members had in earlier passes, so that pairs of blocks which have
+met before are skipped as a whole. A pair of classes counts in the first pass in which they share a window, which the
+windows of both tell, so no pair list is needed: a pair of blocks returns link counts and the edges of a spanning forest.
 
 Cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links with
 nothing and is its own component; vectors of different lengths don't link; repeated rows are linked copies; a null
@@ -30,18 +37,26 @@ from lumenspark.plans.scratch import materialize
 
 THRESHOLD = 0.93
 BITS = 48
+SPAN = 8192
 WINDOW = 8192
+RECALL = 0.98
 SEED = 20
 _NUMBERS = 2_000_000  # components in a block at most, so that long vectors fit in memory
 _SAFE = 1e-6  # what rounding may add to an angle
 
 
-def hashes(vectors: np.ndarray) -> np.ndarray:
-    """Sort keys: the signs of BITS random projections, the first in the highest bit."""
-    planes = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS))
+def hashes(vectors: np.ndarray, number: int) -> np.ndarray:
+    """Sort keys of a pass: the signs of BITS random projections, the first in the highest bit."""
+    planes = np.random.default_rng([SEED, vectors.shape[1], number]).standard_normal((vectors.shape[1], BITS))
     return (vectors @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def passes_for(depth: F.Column, threshold: float, recall: float) -> F.Column:
+    """Passes that find a link at the threshold with probability `recall`."""
+    agree = F.pow(F.lit(1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi), depth)
+    return F.when(depth == 0, 1).otherwise(F.ceil(np.log(1 - recall) / F.log1p(-agree))).cast("int")
+
+
 def units(v: pa.Array) -> np.ndarray:
     """Lists of one length as unit vectors."""
     own = v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
@@ -49,10 +64,11 @@ def units(v: pa.Array) -> np.ndarray:
     return own / np.sqrt((own * own).sum(axis=1, keepdims=True))
 
 
-def block_links(left: np.ndarray, right: np.ndarray | None, mult: np.ndarray, threshold: float = THRESHOLD, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def block_links(left: np.ndarray, right: np.ndarray | None, mult: np.ndarray, threshold: float = THRESHOLD, met: np.ndarray | None = None, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Per class of two blocks (or of one, without `right`): the vectors linked to it, and the least place it is connected to.
 
-    Places and `mult` go over the left block and then the right one.
+    Places, `mult` and `met` go over the left block and then the right one. `met`: a row of earlier windows per class;
+    two classes that share one have been compared.
     """
     other, shift = (left, 0) if right is None else (right, len(left))
     links, label = np.zeros(len(mult), np.int64), np.arange(len(mult))
@@ -61,20 +77,80 @@ def block_links(left: np.ndarray, right: np.ndarray | None, mult: np.ndarray, th
         rows = np.arange(len(near))
         if right is None:
             near[rows, begin + rows] = False
-        else:
+        if met is not None and met.shape[1]:
+            r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            some = near[np.ix_(r, c)]
+            for mine, theirs in zip(met[begin + r].T, met[shift + c].T, strict=True):
+                some &= mine[:, None] != theirs[None, :]
+            near[np.ix_(r, c)] = some
+        if right is not None:
             links[shift:] += mult[begin : begin + len(near)] @ near
         links[begin : begin + len(near)] += near @ mult[shift:]
         for x in np.flatnonzero(near.any(axis=1)).tolist():
-            met = label[shift:][near[x]]
-            least, most = min(met.min(), label[begin + x]), max(met.max(), label[begin + x])
+            found = label[shift:][near[x]]
+            least, most = min(found.min(), label[begin + x]), max(found.max(), label[begin + x])
             if least < most:
                 joined = np.zeros(len(mult), bool)
-                joined[met] = joined[label[begin + x]] = True
+                joined[found] = joined[label[begin + x]] = True
                 label[joined[label]] = least
     return links, label
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+def _windows(classes: DataFrame, threshold: float, span: int, recall: float, n_parts: int) -> DataFrame:
+    """(cid, label, dim, pass, window, position): the window of every class in each pass. A window's number is unique."""
+    room = F.least(F.lit(span), F.greatest(F.lit(1), F.floor(F.lit(_NUMBERS) / F.col("dim")))).cast("long")
+    depth = F.least(F.lit(BITS), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / room)))).cast("int")
+    plans = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("room", room).withColumn("depth", depth)
+    plans = plans.select("label", "dim", "room", "depth", passes_for(F.col("depth"), threshold, recall).alias("passes"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, cid, depths, passes = (b.column(c).to_numpy() for c in ("dim", "cid", "depth", "passes"))
+            lists = b.column("v")
+            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for d in np.unique(dims).tolist():
+                for number in range(int(passes[dims == d].max())):
+                    at = np.flatnonzero((dims == d) & (passes > number))
+                    key = hashes(flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64), number)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("label").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(np.full(len(at), number, np.int32)), pa.array(key >> (BITS - depths[at])), pa.array(key), pa.array(cid[at])],
+                        names=["label", "dim", "pass", "lead", "key", "cid"],
+                    )
+
+    kind = classes.schema["label"].dataType.simpleString()
+    keyed = classes.join(plans, ["label", "dim"]).select("label", "dim", "v", "cid", "depth", "passes").mapInArrow(keys, f"label {kind}, dim int, pass int, lead long, key long, cid long")
+    tied = keyed.withColumn("tie", F.xxhash64("cid", "pass"))
+    placed = with_position(tied, ["label", "dim", "pass", "key", "tie"], n_parts).select("label", "dim", "pass", "lead", "cid", "position")
+    starts = placed.groupBy("label", "dim", "pass", "lead").agg(F.min("position").alias("start"))
+    begins = starts.groupBy("label", "dim", "pass").agg(F.min("start").alias("begin"))
+    window = F.col("begin") + F.floor((F.col("start") - F.col("begin")) / F.col("room")) * F.col("room")
+    ranges = starts.join(begins, ["label", "dim", "pass"]).join(plans, ["label", "dim"]).select("label", "dim", "pass", "lead", window.cast("long").alias("window"))
+    return placed.join(ranges, ["label", "dim", "pass", "lead"]).select("cid", "label", "dim", "pass", "window", "position")
+
+
+def _blocks(windows: DataFrame, window: int, n_parts: int) -> DataFrame:
+    """(cid, pass, window, block, met): a window's blocks of `window` classes, and a class's windows in the passes before.
+
+    The members of a window come in the order of their windows over all passes, so that a block's members mostly share them.
+    """
+    several = windows.filter("pass > 0")
+    if several.isEmpty():
+        placed = windows.withColumn("all", F.array("window"))
+    else:
+        every = windows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("pass", "window"))).alias("all"))
+        both = windows.join(every.select("cid", F.transform("all", lambda x: x["window"]).alias("all")), "cid").select("cid", "dim", "pass", "window", "all")
+        placed = with_position(both, ["window", "all", "cid"], n_parts)
+    begins = placed.groupBy("window").agg(F.min("position").alias("begin"))
+    rows = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.lit(_NUMBERS) / F.col("dim"))))
+    block = (F.col("begin") + F.floor((F.col("position") - F.col("begin")) / rows) * rows).cast("long")  # the position of its first class
+    return placed.join(begins, "window").select("cid", "pass", "window", block.alias("block"), F.slice("all", F.lit(1), F.col("pass")).alias("met"))
+
+
+def _met(t: pa.Table) -> np.ndarray:
+    return t.column("met").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, span: int = SPAN, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,50 +162,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     usable = marked.filter("fine").select("vec_id", "label", "v")
     classes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, cid = b.column("dim").to_numpy(), b.column("cid").to_numpy()
-            lists = b.column("v")
-            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                own = flat[(offsets[at][:, None] + np.arange(d))].astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("label").take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), pa.array(hashes(own)), pa.array(cid[at])],
-                    names=["label", "dim", "key", "cid"],
-                )
-
-    kind = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("label", "dim", "v", "cid").mapInArrow(keys, f"label {kind}, dim int, key long, cid long")
-    placed = with_position(keyed, ["label", "dim", "key", "cid"], n_parts).select("label", "dim", "cid", "position")
-    begins = placed.groupBy("label", "dim").agg(F.min("position").alias("begin"))
-    rows = F.least(F.lit(window), F.greatest(F.lit(1), F.floor(F.lit(_NUMBERS) / F.col("dim"))))
-    block = (F.col("begin") + F.floor((F.col("position") - F.col("begin")) / rows) * rows).alias("block")  # the position of its first class
-    blocked = materialize(classes.join(placed.join(begins, ["label", "dim"]).select("cid", block), "cid").select("cid", "mult", "label", "dim", "v", "block"), "blocked")
+    windows = materialize(_windows(classes, threshold, span, recall, n_parts), "windows")
+    blocks = materialize(_blocks(windows, window, n_parts), "blocks")  # without the vectors, which are fetched where they are compared
+    ends = blocks.groupBy("window").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    whole = ends.filter("low = high").select("window", F.col("low").alias("block_a"), F.col("low").alias("block_b"))
+    cut = blocks.join(ends.filter("low < high").select("window"), "window", "left_semi")
+    own = classes.select("cid", "mult", "v")
 
     def outline(t: pa.Table) -> pa.Table:
-        unit = units(t.column("v").combine_chunks())
+        unit, met = units(t.column("v").combine_chunks()), _met(t)
         centre = unit.mean(axis=0)
         size = np.sqrt(centre @ centre)
         centre = centre / size if size > 1e-3 else unit[0]
         radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
         cid, mult = t.column("cid").to_numpy(), t.column("mult").to_numpy()
-        return pa.table({"label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "block": t.column("block").slice(0, 1), "centre": pa.array([centre.tolist()]), "radius": [radius], "root": [int(cid.min())], "total": [int(mult.sum())]})
+        low, high = pa.array([met.min(axis=0).tolist()], pa.list_(pa.int64())), pa.array([met.max(axis=0).tolist()], pa.list_(pa.int64()))
+        return pa.table({"window": t.column("window").slice(0, 1), "block": t.column("block").slice(0, 1), "centre": pa.array([centre.tolist()]), "radius": [radius], "root": [int(cid.min())], "total": [int(mult.sum())], "low": low, "high": high})
 
-    outlines = blocked.groupBy("block").applyInArrow(outline, f"label {kind}, dim int, block long, centre array<double>, radius double, root long, total long")
+    outlines = cut.join(own, "cid").groupBy("block").applyInArrow(outline, "window long, block long, centre array<double>, radius double, root long, total long, low array<long>, high array<long>")
     outlines = materialize(outlines, "outlines")
-    left, right = (outlines.select("label", "dim", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "centre", "radius", "root", "total")]) for x in "ab")
+    left, right = (outlines.select("window", *[F.col(c).alias(f"{c}_{x}") for c in outlines.columns[1:]]) for x in "ab")
     cosine = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
     between = F.when(F.col("block_a") == F.col("block_b"), 0.0).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
     both, reach = F.col("radius_a") + F.col("radius_b"), float(np.arccos(np.clip(threshold, -1, 1)))
-    pairs = left.join(right, ["label", "dim"]).filter("block_a <= block_b").withColumn("between", between).filter(F.col("between") - both <= reach + _SAFE)
-    pairs = pairs.select("block_a", "block_b", "root_a", "root_b", "total_a", "total_b", (F.col("between") + both < reach - _SAFE).alias("sure"))
+    # earlier windows as (low, high) of the two blocks: one that all members share, or that no two of them can share
+    earlier = F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda x, y: F.struct(x["low_a"].alias("p"), x["high_a"].alias("q"), y["low_b"].alias("r"), y["high_b"].alias("s")))
+    shared = F.exists(earlier, lambda x: (x["p"] == x["q"]) & (x["q"] == x["r"]) & (x["r"] == x["s"]))
+    new = F.forall(earlier, lambda x: (x["q"] < x["r"]) | (x["s"] < x["p"]))
+    pairs = left.join(right, "window").filter("block_a <= block_b").withColumn("between", between).filter((F.col("between") - both <= reach + _SAFE) & ~shared)
+    pairs = pairs.select("block_a", "block_b", "root_a", "root_b", "total_a", "total_b", ((F.col("between") + both < reach - _SAFE) & new).alias("sure"))
     pairs = materialize(pairs, "pairs")
 
-    compared = pairs.filter("not sure").select("block_a", "block_b")
+    compared = pairs.filter("not sure").select("block_a", "block_b").union(whole.select("block_a", "block_b"))
     members = compared.select(F.col("block_a").alias("block"), "block_a", "block_b").union(compared.filter("block_a < block_b").select(F.col("block_b"), "block_a", "block_b"))
-    dealt = blocked.select("cid", "mult", "v", "block").join(members, "block")
+    dealt = blocks.select("cid", "met", "block").join(members, "block").join(own, "cid").select("cid", "mult", "v", "met", "block", "block_a", "block_b")
 
     def compare(t: pa.Table) -> pa.Table:
         first = t.column("block").to_numpy() == t.column("block_a").to_numpy()
@@ -137,7 +203,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
         n = int(first.sum())
         cid, mult = (t.column(c).to_numpy()[order] for c in ("cid", "mult"))
         unit = units(t.column("v").combine_chunks())[order]
-        links, label = block_links(unit[:n], unit[n:] if n < len(unit) else None, mult, threshold)
+        links, label = block_links(unit[:n], unit[n:] if n < len(unit) else None, mult, threshold, _met(t)[order])
         got = links > 0
         return pa.table({"cid": pa.array(cid[got]), "links": pa.array(links[got]), "root": pa.array(cid[label[got]])})
 
@@ -147,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     partners = partners.union(pairs.filter("sure and block_a < block_b").select("block_b", "root_a", "total_a"))
     partners = partners.groupBy("block").agg(F.sum("total").alias("total"), F.min("root").alias("root"))
     itself = pairs.filter("sure and block_a = block_b").select(F.col("block_a").alias("block"), F.lit(1).alias("itself"))
-    sure = blocked.select("cid", "mult", "block").join(partners, "block").join(itself, "block", "left")
+    sure = cut.select("cid", "block").join(partners, "block").join(itself, "block", "left").join(own.select("cid", "mult"), "cid")
     sure = sure.select("cid", (F.col("total") - F.when(F.col("itself").isNotNull(), F.col("mult")).otherwise(0)).alias("links"), "root")
     bridges = pairs.filter("sure and block_a < block_b").select(F.col("root_a").alias("cid"), F.lit(0).cast("long").alias("links"), F.col("root_b").alias("root"))
     found = materialize(tested.unionByName(sure).unionByName(bridges), "links")
