@@ -485,10 +485,9 @@ def contamination_anti(s, d):
     keyed = items.filter(F.size(words) >= 7).select("item", F.xxhash64(F.array_join(F.slice(words, 2, 5), " ")).alias("key"))
     w = F.split("text", r"\s+")
     grams = F.array_distinct(F.transform(F.when(F.size(w) >= 5, F.sequence(F.lit(1), F.size(w) - 4)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    found = docs.withColumn("w", w).select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").filter(F.contains("text", F.col("item"))).select("doc_id")
-    for block in similar.blocks_of(items.filter(F.size(words) < 7), 500):  # a stated query set against all rows, in blocks
-        few = F.array(*[F.lit(r["item"]) for r in block])
-        found = found.union(docs.filter(F.exists(few, lambda x: F.contains("text", x))).select("doc_id"))
+    near = docs.withColumn("w", w).select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "item").distinct()
+    found = near.join(docs, "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id")  # texts of candidates only
+    found = found.unionAll(similar.holding(docs, items.filter(F.size(words) < 7)))
     return docs.select("doc_id").join(found.distinct(), "doc_id", "left_anti")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenspark.functions.text import strip
+
 # Patterns that must find exactly these spellings of numbers.
 MENTION = r"\d[\d,]*(?:\.\d+)?|\.\d+"
 ANSWER = r"^\(?(-?\$?\s*-?[\d,]*\.?\d+)\)?\s*(%|million|billion|thousand|m|b|k)?$"
@@ -42,7 +44,7 @@ def to_number(c: Column) -> Column:
         return F.coalesce(
             safe_double(t),
             F.when(t.contains("%"), safe_double(F.replace(t, F.lit("%"), F.lit(""))) / 100),
-            F.when(t == "const_m1", F.lit(-1.0)).when(t.startswith("const_"), safe_double(F.substring(t, 7, 1000))),
+            F.when(t == "const_m1", F.lit(-1.0)).when(t.startswith("const_"), safe_double(F.substr(t, F.lit(7)))),
         )
 
     return let(F.replace(c, F.lit(","), F.lit("")), read)
@@ -54,7 +56,7 @@ def _decimals(num: Column) -> Column:
 
 def parse_answer(c: Column) -> Column:
     """struct(word, value, decimals, percent): word is yes or no; all null if the text is neither that nor one number."""
-    t = F.regexp_replace(F.lower(F.trim(c)), r"\.+$", "")
+    t = F.regexp_replace(F.lower(strip(c)), r"\.+$", "")
     squeezed = F.replace(t, F.lit(" "), F.lit(""))
     num = F.regexp_replace(F.regexp_extract(squeezed, "(?i)" + ANSWER, 1), "[$,]", "")
     value = safe_double(num)
@@ -79,14 +81,14 @@ def near(value: Column, decimals: Column, target: Column, rel: float | Column) -
 def answer_agrees(text: Column, num: Column, word: Column) -> Column:
     """Three-valued: does an annotator's text agree with a result (num or word)? Null: nothing to compare."""
     p = parse_answer(text)
-    none = (F.trim(text) == "") | text.isNull() | (num.isNull() & word.isNull())
+    none = (strip(text) == "") | text.isNull() | (num.isNull() & word.isNull())
     loose = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda x: F.replace(x, F.lit(","), F.lit("")))
     loose_hit = F.exists(loose, lambda n: near(safe_double(n), _decimals(n), num, 0.005))
     parsed = p["word"].isNotNull() | p["value"].isNotNull()
     shown = F.coalesce(p["word"], p["value"].cast("string"))
     return (
         F.when(none, F.lit(None).cast("boolean"))
-        .when(parsed & (p["word"].isNotNull() | word.isNotNull()), shown == F.lower(F.trim(F.coalesce(word, num.cast("string")))))
+        .when(parsed & (p["word"].isNotNull() | word.isNotNull()), shown == F.lower(strip(F.coalesce(word, num.cast("string")))))
         .when(word.isNotNull(), F.lit(None).cast("boolean"))
         .when(p["value"].isNotNull(), near(p["value"], p["decimals"], num, 0.005))
         .when(F.size(loose) == 0, F.lit(None).cast("boolean"))
@@ -96,7 +98,7 @@ def answer_agrees(text: Column, num: Column, word: Column) -> Column:
 
 def same_result(a_num: Column, a_word: Column, b_num: Column, b_word: Column, rel: float = 1e-4, tol: float = 1e-5) -> Column:
     """Results are the same: words without regard to case, numbers within a relative or absolute tolerance; null never."""
-    words = F.lower(F.trim(a_word)) == F.lower(F.trim(b_word))
+    words = F.lower(strip(a_word)) == F.lower(strip(b_word))
     close = F.abs(a_num - b_num) <= F.greatest(rel * F.greatest(F.abs(a_num), F.abs(b_num)), F.lit(tol))
     return F.coalesce(F.when(a_word.isNotNull() | b_word.isNotNull(), words).otherwise(close), F.lit(False))
 
@@ -117,34 +119,11 @@ def show_number(x: Column) -> Column:
     return F.when(whole, F.floor(x).cast("decimal(20,0)").cast("string")).otherwise(_trimmed(py_format(x, F.when(F.abs(x) < 0.001, 6).otherwise(4))))
 
 
-def show_numbers(xs: Column) -> Column:
-    """show_number over an array of doubles."""
-    return _show_array(xs)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _show_array(xs: pd.Series) -> pd.Series:
-    def one(x: float | None) -> str | None:
-        if x is None or x != x:
-            return None
-        if x == int(x) and abs(x) < 1e15:
-            return str(int(x))
-        text = f"{x:.{6 if abs(x) < 0.001 else 4}f}"
-        return text.rstrip("0").rstrip(".")
-
-    return pd.Series([None if v is None else [one(x) for x in v] for v in xs])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def show_rows(rows: pd.Series) -> pd.Series:
-    """Each array of numbers as show_number texts joined by commas."""
-
-    def one(x: float) -> str:
-        if x == int(x) and abs(x) < 1e15:
-            return str(int(x))
-        return f"{x:.{6 if abs(x) < 0.001 else 4}f}".rstrip("0").rstrip(".")
-
-    return pd.Series([None if r is None else [None if v is None else ", ".join(one(x) for x in v) for v in r] for r in rows])
+def shown(x: float) -> str:
+    """show_number() of one finite number."""
+    if x == int(x) and abs(x) < 1e15:
+        return str(int(x))
+    return f"{x:.{6 if abs(x) < 0.001 else 4}f}".rstrip("0").rstrip(".")
 
 
 def show_answer(num: Column, word: Column, text: Column) -> Column:

@@ -1,136 +1,181 @@
-"""A small program language: op(a, b) steps whose arguments may be earlier results (#k), constants or table rows."""
+"""A small program language: op(a, b) steps whose arguments may be earlier results (#k), constants or table rows.
+
+Parsing and execution run over Arrow batches: each distinct program and argument is read once a batch, and a step is
+computed for all rows of a batch at once.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import operator
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspark.functions.numbers import let, safe_double, to_number
+from lumenspark.functions.numbers import let, safe_double, shown, to_number
+from lumenspark.functions.text import strip
 
 STEPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "a1", "a2")]))
-_STEP = r"([A-Za-z_]\w*)\(((?:[^()]|\([^()]*\))*)\)"
-
-
-@F.pandas_udf(STEPS)
-def _parse_slow(programs: pd.Series) -> pd.Series:
-    """Any depth of parentheses: the closing one is the one that brings the depth back to zero."""
-
-    def one(text: str | None) -> list[dict] | None:
-        steps, at = [], 0
-        text = (text or "").strip()
-        while at < len(text):
-            opening = text.find("(", at)
-            name = text[at:opening].strip().strip(",").strip() if opening >= 0 else ""
-            if not name.isidentifier():
-                return None
-            depth, end = 0, None
-            for i in range(opening, len(text)):
-                depth += (text[i] == "(") - (text[i] == ")")
-                if depth == 0:
-                    end = i
-                    break
-            if end is None:
-                return None
-            first, comma, last = text[opening + 1 : end].rpartition(", ")
-            if not comma:
+RESULTS = T.ArrayType(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("txt", T.StringType())]))
+TOLD = T.ArrayType(T.StructType([T.StructField("shown", T.StringType()), T.StructField("row", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))]))
+_STEP_TYPE = pa.list_(pa.struct([(c, pa.string()) for c in ("op", "a1", "a2")]))
+_PAREN = re.compile(r"[()]")
+_ARITHMETIC = {"add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": operator.truediv, "exp": np.power}
+_OF_TABLE = {"table_max": max, "table_min": min, "table_sum": sum, "table_average": lambda v: sum(v) / len(v)}
+
+
+def _steps(text: str | None) -> list[dict] | None:
+    """The steps of one program. A step ends where the depth of parentheses is back at zero."""
+    steps, begin, depth, opened = [], 0, 0, 0
+    for m in _PAREN.finditer(text or ""):
+        depth += 1 if m[0] == "(" else -1
+        if depth < 0:
+            return None
+        if depth == 1 and m[0] == "(":
+            opened = m.start()
+        elif depth == 0:
+            name = text[begin:opened].lstrip(" ,").strip()
+            first, comma, last = text[opened + 1 : m.start()].rpartition(", ")
+            if not comma or not name.isidentifier():
                 return None
             steps.append({"op": name, "a1": first.strip(), "a2": last.strip()})
-            at = end + 1
-        return steps or None
-
-    return pd.Series([one(p) for p in programs])
+            begin = m.end()
+    return steps if steps and depth == 0 and not text[begin:].strip(" ,") else None
 
 
-def parse(c: Column, deep: bool = False) -> Column:
-    """Steps of a program, null if it isn't one. Parentheses nest once; with `deep` to any depth, by an Arrow UDF."""
-    if deep:
-        return _parse_slow(c)
-
-    # one transform per stage, so that no lambda computes a part twice
-    def named(text: Column) -> Column:
-        return F.struct(text.alias("text"), F.substring_index(text, "(", 1).alias("op"))
-
-    def cut(s: Column) -> Column:
-        skip = F.length(s["op"]) + 1
-        return F.struct(s["op"].alias("op"), F.substr(s["text"], skip + 1, F.length(s["text"]) - skip - 1).alias("args"))
-
-    def ended(s: Column) -> Column:
-        return F.struct(s["op"].alias("op"), s["args"].alias("args"), F.substring_index(s["args"], ", ", -1).alias("last"), F.length(s["args"]).alias("n"))
+@F.arrow_udf(STEPS)
+def _parse(programs: pa.Array) -> pa.Array:
+    known = programs.dictionary_encode()
+    return pa.array([_steps(p) for p in known.dictionary.to_pylist()], _STEP_TYPE).take(known.indices)
 
-    def step(s: Column) -> Column:
-        first = F.when(F.length(s["last"]) < s["n"], F.substr(s["args"], F.lit(1), s["n"] - F.length(s["last"]) - 2))
-        return F.struct(s["op"].alias("op"), F.trim(first).alias("a1"), F.trim(s["last"]).alias("a2"))
 
-    def read(found: Column) -> Column:
-        whole = F.array_join(found, ", ") == F.regexp_replace(F.trim(c), r"\)\s*,\s*(?=[A-Za-z_]\w*\()", "), ")
-        steps = F.transform(F.transform(F.transform(F.transform(found, named), cut), ended), step)
-        return F.when((F.size(found) > 0) & whole, let(steps, lambda x: F.when(F.forall(x, lambda y: y["a1"].isNotNull()), x)))
-
-    return let(F.regexp_extract_all(F.trim(c), F.lit(_STEP), 0), read)
+def parse(c: Column, deep: bool = False) -> Column:
+    """Steps of a program, null if it isn't one. Parentheses nest to any depth; `deep` makes no difference any more."""
+    return _parse(c)
 
 
 def row_values(table: Column, name: Column) -> Column:
     """Numbers of the first row that `name` heads: a currency sign goes, a cell ends at a parenthesis; null if any isn't one."""
-    row = F.get(F.filter(table, lambda r: F.trim(F.get(r, F.lit(0))) == F.trim(name)), F.lit(0))
-    number = lambda x: to_number(F.trim(F.split_part(F.replace(x, F.lit("$"), F.lit("")), F.lit("("), F.lit(1))))
-    values = let(row, lambda r: F.transform(F.slice(r, 2, 100_000), number))
+    row = F.get(F.filter(table, lambda r: strip(F.get(r, F.lit(0))) == strip(name)), F.lit(0))
+    number = lambda x: to_number(strip(F.split_part(F.replace(x, F.lit("$"), F.lit("")), F.lit("("), F.lit(1))))
+    values = let(row, lambda r: F.transform(F.when(F.size(r) > 1, F.slice(r, F.lit(2), F.size(r))), number))
     return let(values, lambda v: F.when((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull()), v))
 
 
-_RESULTS = "array<struct<num:double,txt:string>>"
+def _number(text: str) -> float:
+    """What numbers.to_number() reads, NaN for none."""
+    t = text.replace(",", "").strip()
+    for spelled, scale in ((t, 1), (t.replace("%", ""), 100 if "%" in t else 0), ("-1" if t == "const_m1" else t[6:], 1 if t.startswith("const_") else 0)):
+        if scale and spelled and not spelled.strip("0123456789.+-eE \t\n\r"):
+            try:
+                return float(spelled) / scale
+            except ValueError:
+                pass
+    return np.nan
+
+
+def _cells(table: list[list[str]] | None, name: str) -> list[float] | None:
+    row = next((r for r in table or [] if r and (r[0] or "").strip() == name), None)
+    values = [_number((x or "").replace("$", "").partition("(")[0]) for x in (row or [])[1:]]
+    return values if values and not np.isnan(values).any() else None
+
+
+def _arguments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each argument (NaN for none), and the step that it refers to (-1 for none, -2 for a bad one)."""
+    known = texts.dictionary_encode()
+    names = known.dictionary.to_pylist()
+    refers = [int(a[1:]) if a[1:].isdecimal() and len(a) < 10 else -2 if a[:1] == "#" else -1 for a in names]
+    at = known.indices.to_numpy()
+    return np.array([np.nan if a[:1] == "#" else _number(a) for a in names] + [np.nan])[at], np.array([r if a[:1] == "#" else -1 for r, a in zip(refers, names, strict=True)] + [-1])[at]
+
+
+def _run(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[float]]]:
+    """Steps of each program, which programs run, each step's number (NaN: none) and word (1: yes, 2: no), and the rows read."""
+    sizes = pc.fill_null(pc.list_value_length(steps), 0).to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    op, a1, a2 = steps.flatten().flatten()
+    num, word, fine = np.full(len(op), np.nan), np.zeros(len(op), np.int8), np.ones(len(sizes), bool)
+    read: dict[int, list[float]] = {}
+    names = op.dictionary_encode()
+    kinds, kind = names.dictionary.to_pylist(), names.indices.to_numpy()
+    sides = [_arguments(a) for a in (a1, a2)]
+    for k in range(sizes.max(initial=0)):
+        rows = np.flatnonzero(sizes > k)
+        at = starts[rows] + k
+        x, y = (np.where(to[at] == -1, value[at], np.where((to[at] >= 0) & (to[at] < k), num[starts[rows] + np.clip(to[at], 0, k)], np.nan)) for value, to in sides)
+        for i in np.unique(kind[at]).tolist():
+            name, here = kinds[i], np.flatnonzero(kind[at] == i)
+            if name in _ARITHMETIC:
+                with np.errstate(all="ignore"):
+                    num[at[here]] = _ARITHMETIC[name](x[here], y[here])
+            elif name == "greater":
+                known = here[~(np.isnan(x[here]) | np.isnan(y[here]))]
+                word[at[known]] = np.where(x[known] > y[known], 1, 2)
+            elif name in _OF_TABLE:
+                heads = a1.take(pa.array(at[here])).to_pylist()
+                for h, head in zip(here.tolist(), heads, strict=True):
+                    values = _cells(table[int(rows[h])].as_py(), head)
+                    if values:
+                        num[at[h]], read[int(at[h])] = _OF_TABLE[name](values), values
+        num[at] = np.where(np.isfinite(num[at]), num[at], np.nan)
+        fine[rows] &= ~np.isnan(num[at]) | (word[at] > 0)
+    return sizes, fine & steps.is_valid().to_numpy(zero_copy_only=False), num, word, read
+
+
+def _lists(sizes: np.ndarray, fine: np.ndarray, fields: dict[str, pa.Array]) -> pa.Array:
+    """Lists of structs, one per step of the programs that run, null for the others."""
+    offsets = np.concatenate([[0], np.cumsum(np.where(fine, sizes, 0))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)), mask=pa.array(~fine))
+
+
+_WORDS = np.array([None, "yes", "no"], object)
+
+
+@F.arrow_udf(RESULTS)
+def _execute(steps: pa.Array, table: pa.Array) -> pa.Array:
+    sizes, fine, num, word, _ = _run(steps, table)
+    keep = np.repeat(fine, sizes)
+    return _lists(sizes, fine, {"num": pa.array(num[keep], mask=np.isnan(num[keep])), "txt": pa.array(_WORDS[word[keep]], pa.string())})
+
+
+@F.arrow_udf(TOLD)
+def _tell(steps: pa.Array, table: pa.Array) -> pa.Array:
+    sizes, fine, num, word, read = _run(steps, table)
+    at = np.flatnonzero(np.repeat(fine, sizes)).tolist()
+    told = [_WORDS[word[i]] or shown(float(num[i])) for i in at]
+    rows = [", ".join(map(shown, read[i])) if i in read else None for i in at]
+    return _lists(sizes, fine, {"shown": pa.array(told, pa.string()), "row": pa.array(rows, pa.string()), "values": pa.array([read.get(i) for i in at], pa.list_(pa.float64()))})
+
+
+def _needed(steps: Column, table: Column) -> Column:
+    """Only programs with a table step need the table's cells."""
+    return F.when(F.exists(steps, lambda s: s["op"].startswith("table_")), table)
 
 
 def execute_steps(steps: Column, table: Column) -> Column:
     """Result of every step (num or txt), null if any step can't be executed."""
-    ok = F.struct(F.lit(True).alias("ok"), F.array().cast(_RESULTS).alias("res"))
-
-    def argument(a: Column, res: Column) -> Column:
-        k = F.when(a.rlike(r"^#\d+$"), F.substring(a, 2, 9).try_cast("int"))
-        return F.when(a.startswith("#"), F.get(res, k)["num"]).otherwise(to_number(a))
-
-    def result(op: Column, v: Column) -> Column:
-        total = lambda: F.aggregate(v["values"], F.lit(0.0), lambda a, b: a + b)
-        return (
-            F.when(op == "table_max", F.array_max(v["values"]))
-            .when(op == "table_min", F.array_min(v["values"]))
-            .when(op == "table_sum", total())
-            .when(op == "table_average", F.try_divide(total(), F.size(v["values"])))
-            .when(op == "add", v["x"] + v["y"])
-            .when(op == "subtract", v["x"] - v["y"])
-            .when(op == "multiply", v["x"] * v["y"])
-            .when(op == "divide", F.try_divide(v["x"], v["y"]))
-            .when(op == "exp", F.pow(v["x"], v["y"]))
-        )
-
-    def outcome(op: Column, v: Column) -> Column:
-        txt = F.when((op == "greater") & v["x"].isNotNull() & v["y"].isNotNull(), F.when(v["x"] > v["y"], "yes").otherwise("no"))
-        return let(result(op, v), lambda n: F.struct(F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n).alias("num"), txt.alias("txt")))
-
-    def step(acc: Column, s: Column) -> Column:
-        on_table = s["op"].startswith("table_")
-        values = F.struct(
-            F.when(on_table, row_values(table, s["a1"])).alias("values"),
-            F.when(~on_table, argument(s["a1"], acc["res"])).alias("x"),
-            F.when(~on_table, argument(s["a2"], acc["res"])).alias("y"),
-        )
-        done = let(values, lambda v: outcome(s["op"], v))
-        return let(done, lambda r: F.struct((acc["ok"] & (r["num"].isNotNull() | r["txt"].isNotNull())).alias("ok"), F.concat(acc["res"], F.array(r)).alias("res")))
-
-    return F.aggregate(steps, ok, step, lambda acc: F.when(acc["ok"], acc["res"]))
+    return _execute(steps, _needed(steps, table))
+
+
+def tell_steps(steps: Column, table: Column) -> Column:
+    """Result of every step as text, and the values of the table row that it reads, null if any step can't be executed."""
+    return _tell(steps, _needed(steps, table))
 
 
 def execute(program: Column, table: Column, deep: bool = False) -> Column:
     """struct(num, txt) of the last step, null if the program can't be executed."""
-    return F.try_element_at(execute_steps(parse(program, deep), table), F.lit(-1))
+    return F.try_element_at(_execute(parse(program), F.when(program.contains("table_"), table)), F.lit(-1))
 
 
 def literals(steps: Column) -> Column:
-    """Absolute values of the number arguments: no references, constants or row names."""
+    """Absolute values of the number arguments as written, without a percent sign: no references, constants or row names."""
     args = F.flatten(F.transform(steps, lambda s: F.array(s["a1"], s["a2"])))
     plain = F.filter(args, lambda a: ~(a.startswith("#") | a.startswith("const_") | (a == "none")))
-    return F.array_compact(F.transform(plain, lambda a: F.abs(to_number(a))))
+    return F.array_compact(F.transform(plain, lambda a: F.abs(safe_double(F.regexp_replace(F.replace(a, F.lit(","), F.lit("")), "%+$", "")))))
 
 
 def argument_set(steps: Column) -> Column:
@@ -143,4 +188,4 @@ def grounded(values: Column, available: Column) -> Column:
     return F.forall(values, lambda v: F.exists(available, lambda a: F.abs(v - a) <= 1e-9 + 1e-6 * a))
 
 
-__all__ = ["parse", "row_values", "execute_steps", "execute", "literals", "argument_set", "grounded", "safe_double"]
+__all__ = ["parse", "row_values", "execute_steps", "tell_steps", "execute", "literals", "argument_set", "grounded", "safe_double"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.functions.numbers import show_answer
 from lumenspark.functions.program import row_values
-from lumenspark.functions.text import rewrite
+from lumenspark.functions.text import rewrite, strip
 
 # How operations and table operations are worded.
 SIGNS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "exp": "^"}
@@ -21,11 +21,11 @@ def table_markdown(table: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.translate(c, "|", "/")), " | "), F.lit(" |"))
     lines = F.transform(table, line)
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- |"), width), ""))
-    return F.when(F.size(table) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n")).otherwise("")
+    return F.when(F.size(table) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).otherwise("")
 
 
 def _joined(parts: list[Column]) -> Column:
-    return F.array_join(F.filter(F.array(*parts), lambda p: F.trim(p) != ""), "\n\n")
+    return F.array_join(F.filter(F.array(*parts), lambda p: strip(p) != ""), "\n\n")
 
 
 def context(pre: Column, table: Column, post: Column) -> Column:
@@ -48,9 +48,9 @@ def display_answer(items: Column, scale: Column) -> Column:
 def argument_text(a: Column, shown: Column) -> Column:
     """`shown`: the results so far as text."""
     return (
-        F.when(a.startswith("#"), F.get(shown, F.substring(a, 2, 9).try_cast("int")))
+        F.when(a.startswith("#"), F.get(shown, F.substr(a, F.lit(2)).try_cast("int")))
         .when(a == "const_m1", "-1")
-        .when(a.startswith("const_"), F.substring(a, 7, 1000))
+        .when(a.startswith("const_"), F.substr(a, F.lit(7)))
         .otherwise(a)
     )
 
@@ -86,7 +86,7 @@ def chat(turns: Column) -> Column:
     """Chat text with the template's headers, its date pinned so that prompts don't change from day to day; no BOS."""
     head = lambda r: F.concat(F.lit("<|start_header_id|>"), r, F.lit("<|end_header_id|>\n\n"))
     date = F.lit(f"Cutting Knowledge Date: December 2023\nToday Date: {DATE}\n\n")
-    one = lambda m: F.concat(head(m["role"]), F.when(m["role"] == "system", date).otherwise(""), F.trim(m["content"]), F.lit("<|eot_id|>"))
+    one = lambda m: F.concat(head(m["role"]), F.when(m["role"] == "system", date).otherwise(""), strip(m["content"]), F.lit("<|eot_id|>"))
     return F.array_join(F.transform(turns, one), "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenspark.functions.numbers import STATED, near, safe_double
+from lumenspark.functions.numbers import STATED, let, near, safe_double
 from lumenspark.functions.text import comparable, strip
 
 # Tolerances, and words that state a decrease or leave the sign open.
@@ -46,7 +46,7 @@ def is_correct(output: Column, gold_num: Column, gold_word: Column, question: Co
     """struct(correct, extracted) of a numeric or yes/no question."""
     answer = extract_answer(output)
     words = F.regexp_extract_all(answer, F.lit(r"(?iU)\b(yes|no)\b"), 1)
-    by_word = F.coalesce(F.lower(F.try_element_at(words, F.lit(-1))) == F.lower(F.trim(gold_word)), F.lit(False))
+    by_word = F.coalesce(F.lower(F.try_element_at(words, F.lit(-1))) == F.lower(strip(gold_word)), F.lit(False))
     p = last_number(answer)
     v, d = p["value"], p["decimals"]
     hit = near(v, d, gold_num, rel)
@@ -59,7 +59,7 @@ def is_correct(output: Column, gold_num: Column, gold_word: Column, question: Co
 
 def plain_number(s: Column) -> Column:
     """The number that the whole text is, else null."""
-    t = F.trim(F.regexp_replace(F.trim(s), "[,$%]", ""))
+    t = strip(F.regexp_replace(strip(s), "[,$%]", ""))
     return safe_double(F.regexp_replace(t, r"^\((.*)\)$", "-$1"))
 
 
@@ -86,7 +86,10 @@ def score(dataset: Column, output: Column, gold_num: Column, gold_word: Column,
 
 def mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p-value of discordant counts, to 4 decimals."""
-    n, k = (b + c).cast("int"), F.least(b, c).cast("int")
-    log_fact = lambda m: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda a, i: a + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.log(F.lit(2.0))))
-    return F.round(F.least(F.lit(1.0), 2 * tail), 4)
+    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
+    # the log of each binomial term follows from the one before it
+    none = -n * F.log(F.lit(2.0))
+    first = F.struct(none.alias("log"), F.exp(none).alias("sum"))
+    step = lambda acc, i: let(acc["log"] + F.log((n - i + 1) / i), lambda x: F.struct(x.alias("log"), (acc["sum"] + F.exp(x)).alias("sum")))
+    terms = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    return F.round(F.least(F.lit(1.0), 2 * F.aggregate(terms, first, step)["sum"]), 4)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NUM = r"\d[\d,]*\.?\d*"
+# Fixed value: how a number is spelled in the rules below.
+_NUM = r"\d[\d,]*(?:\.\d+)?"
 # The artefacts of a known text extraction, in the order in which they must be rewritten.
 DECODE_RULES = [
     ("decode_curly_double_quote", r"\b201[cd](?=\d{4}\b|[a-z]|\s|$)", '"'),
@@ -87,13 +90,24 @@ def clean_table(c: Column) -> Column:
     return F.transform(_nfkc_table(c), lambda row: F.transform(row, rewrite))
 
 
+_COMPILED = [(re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", replacement).replace("\\$", "$")) for _, pattern, replacement in RULES]
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _rule_counts(texts: pa.Array) -> pa.Array:
+    counts = []
+    for t in texts.to_pylist():
+        t, row = unicodedata.normalize("NFKC", t or ""), []
+        for pattern, replacement in _COMPILED:
+            t, n = pattern.subn(replacement, t)
+            row.append(n)
+        counts.append(row)
+    return pa.array(counts, pa.list_(pa.int32()))
+
+
 def rule_hits(c: Column) -> Column:
-    """map of rule to how often it rewrites the text as its predecessors left it."""
-    pairs = []
-    for name, pattern, replacement in RULES:
-        pairs += [F.lit(name), F.regexp_count(c, F.lit(_FLAGS + pattern))]
-        c = F.regexp_replace(c, _FLAGS + pattern, replacement)
-    return F.create_map(*pairs)
+    """map of rule to how often it rewrites the text, in compatibility form, as its predecessors left it."""
+    return F.map_from_arrays(F.array(*[F.lit(name) for name, _, _ in RULES]), _rule_counts(c))
 
 
 def comparable(c: Column) -> Column:

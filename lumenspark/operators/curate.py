@@ -72,7 +72,7 @@ def standardize_span_records(raw: DataFrame, split: str) -> DataFrame:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True))
+    return F.coalesce(X.strip(c) == "", F.lit(True))
 
 
 def labels(conditions: dict[str, Column]) -> Column:
@@ -81,7 +81,7 @@ def labels(conditions: dict[str, Column]) -> Column:
 
 
 def structural_issues(source: str = "finqa") -> Column:
-    filled = F.exists("table", lambda r: F.exists(r, lambda c: F.trim(c) != ""))
+    filled = F.exists("table", lambda r: F.exists(r, lambda c: X.strip(c) != ""))
     widths = F.array_distinct(F.transform("table", lambda r: F.size(r)))
     found = {"empty_question": blank(F.col("question")), "empty_table": ~F.coalesce(filled, F.lit(False)), "ragged_table": F.size(widths) > 1}
     if source == "finqa":
@@ -119,13 +119,12 @@ def clean_records(df: DataFrame) -> DataFrame:
     )
 
 
-def run_checks(df: DataFrame, tokens=token_count, deep: bool = False, max_tokens: int = MAX_PROMPT_TOKENS) -> DataFrame:
+def run_checks(df: DataFrame, tokens=token_count, max_tokens: int = MAX_PROMPT_TOKENS) -> DataFrame:
     """failed_checks (all that fail), first_failed and keep; test rows are always kept."""
-    steps = P.parse(F.col("program"), deep)
+    steps = P.parse(F.col("program"))
     ran = df.withColumns({"__steps": steps}).withColumn("__run", F.try_element_at(P.execute_steps(F.col("__steps"), F.col("raw_table")), F.lit(-1)))
     clean_context = F.array_join(F.concat("pre_text", "post_text", F.flatten("table")), " ")
-    kept = F.array_union(N.numbers_in(clean_context), N.numbers_in(F.array_join(F.transform("gold_evidence", lambda e: e["value"]), " ")))
-    available = F.array_union(kept, N.numbers_in(F.col("question")))
+    available = F.array_union(N.numbers_in(clean_context), N.numbers_in(F.col("question")))
     ran = ran.withColumns({"lost": N.lost_numbers(F.col("raw_context"), clean_context), "agreement": N.answer_agrees(F.col("answer_text"), F.col("exe_num"), F.col("exe_txt")), "__available": available})
     ran = ran.withColumn("prompt_tokens", tokens(R.prompt(F.col("pre_text"), F.col("table"), F.col("post_text"), F.col("question"))))
     passes = {
@@ -161,7 +160,7 @@ def label_counts(df: DataFrame, column: str, *groups: str) -> DataFrame:
 
 def rule_totals(df: DataFrame, column: str) -> DataFrame:
     """(rule, n) of the rewriting rules over a text column, only those that fired, most frequent first."""
-    hits = df.select(X.rule_hits(F.coalesce(F.col(column), F.lit(""))).alias("h"))
+    hits = df.select(X.rule_hits(F.col(column)).alias("h"))
     one = hits.agg(*[F.sum(F.col("h")[name]).cast("long").alias(name) for name, _, _ in X.RULES])
     return one.unpivot([], one.columns, "rule", "n").filter("n > 0").orderBy(F.desc("n"), "rule")
 
@@ -221,15 +220,32 @@ def examples(df: DataFrame, split: str, system: str) -> DataFrame:
     )
 
 
-def with_response(df: DataFrame, deep: bool = False) -> DataFrame:
+def with_response(df: DataFrame) -> DataFrame:
     """response: the executed calculation as text, null where the program can't be executed; and table_values, the row
     that each table step reads. Uses raw_table."""
-    steps = P.parse(F.col("program"), deep)
-    out = df.withColumn("__steps", steps).withColumn("__res", P.execute_steps(F.col("__steps"), F.col("raw_table")))
-    values = F.transform("__steps", lambda s: F.when(s["op"].startswith("table_"), P.row_values(F.col("raw_table"), s["a1"])))
-    # the values stay in the result: an Arrow UDF can't take nested lambdas, so its argument must be a column
-    out = out.withColumn("table_values", values)
-    told = F.arrays_zip(F.col("__steps").alias("s"), F.col("__res").alias("r"), N.show_numbers(F.transform("__res", lambda r: r["num"])).alias("n"), N.show_rows(F.col("table_values")).alias("v"))
-    steps = F.transform(told, lambda z: F.struct(z["s"]["op"].alias("op"), z["s"]["a1"].alias("a1"), z["s"]["a2"].alias("a2"), F.coalesce(z["r"]["txt"], z["n"]).alias("shown"), z["v"].alias("row")))
+    steps = P.parse(F.col("program"))
+    out = df.withColumn("__steps", steps).withColumn("__told", P.tell_steps(F.col("__steps"), F.col("raw_table")))
+    told = F.arrays_zip(F.col("__steps").alias("s"), F.col("__told").alias("t"))
+    steps = F.transform(told, lambda z: F.struct(z["s"]["op"].alias("op"), z["s"]["a1"].alias("a1"), z["s"]["a2"].alias("a2"), z["t"]["shown"].alias("shown"), z["t"]["row"].alias("row")))
     text = R.response(steps, F.col("exe_num"), F.col("exe_txt"), F.col("answer_text"))
-    return out.withColumn("response", F.when(F.col("__res").isNotNull(), text)).drop("__steps", "__res")
+    out = out.withColumns({"response": F.when(F.col("__told").isNotNull(), text), "table_values": F.transform("__told", lambda t: t["values"])})
+    return out.drop("__steps", "__told")
+
+
+def with_raw_table(records: DataFrame, raw: DataFrame) -> DataFrame:
+    """records with raw_table, the table of the raw record of the same id; records without one go."""
+    return records.drop("raw_table").join(raw.select("id", F.col("table").alias("raw_table")), "id")
+
+
+def status_counts(df: DataFrame) -> DataFrame:
+    """(group, status, n): how many answers agree, disagree or are missing among test rows and the pool. Uses run_checks()."""
+    group = F.when(F.col("original_split") == "test", "test").otherwise("pool")
+    status = F.when(F.col("agreement").isNull(), "missing").when(F.col("agreement"), "agree").otherwise("disagree")
+    return df.groupBy(group.alias("group"), status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def sentence_totals(df: DataFrame, *columns: str) -> DataFrame:
+    """(rule, n) over array columns of sentences: rule_totals() and the sentences that go because only punctuation is left."""
+    lines = df.select(F.explode(F.concat(*columns)).alias("s"))
+    gone = lines.filter(X.clean_text(F.col("s")).rlike("(?U)" + X.PUNCTUATION_ONLY)).agg(F.count("*").alias("n"))
+    return rule_totals(lines, "s").unionByName(gone.filter("n > 0").select(F.lit("dropped_empty_sentence").alias("rule"), "n"))

@@ -42,7 +42,7 @@ def draw(pairs: DataFrame, seed: int, plan: list[tuple] = PLAN) -> DataFrame:
     key = F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))
     name, wanted = stratum(F.col("sim"), F.coalesce("same_answer", F.lit(False)), plan)
     inside = pairs.withColumns({"stratum": name, "wanted": wanted}).filter("stratum is not null")
-    picked = stratified(inside, "stratum", key, F.col("wanted"), seed).withColumn("order", shuffle_key(key, seed + 1))
+    picked = stratified(inside, "stratum", key, F.col("wanted"), seed, max(max(p[2:]) for p in plan)).withColumn("order", shuffle_key(key, seed + 1))
     numbered = with_position(picked, ["order", "a", "b"], parts)
     weight = F.col("population") / F.col("sampled")
     return numbered.select((F.col("position") + 1).alias("pair_id"), "a", "b", "sim", "same_answer", "stratum", "population", "sampled", weight.alias("weight"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenspark.functions.text import strip
 from lumenspark.operators.split import shuffle_key
 from lumenspark.plans.ranking import with_position
 from lumenspark.plans.scratch import materialize
@@ -13,7 +14,7 @@ from lumenspark.plans.scratch import materialize
 
 def distinct_outputs(samples: DataFrame) -> DataFrame:
     """One row per prompt and distinct stripped output, the first of each; blank ones go. samples: id, samples array."""
-    rows = samples.select("id", F.posexplode("samples").alias("pos", "s")).select("id", "pos", "s.*").withColumn("text", F.trim("output"))
+    rows = samples.select("id", F.posexplode("samples").alias("pos", "s")).select("id", "pos", "s.*").withColumn("text", strip(F.col("output")))
     first = W.partitionBy("id", "text").orderBy("pos")
     return rows.filter("text <> ''").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "text")
 

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenspark.operators.graph import connected_components
+from lumenspark.plans.ranking import with_position
 from lumenspark.plans.scratch import materialize
 
 # Detector rules in order of strictness, and the threshold grid.
 RULES = ["similarity", "similarity+same_answer", "similarity+same_answer+same_args"]
-BLOCK = 2048
+BLOCK = 8192
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,47 +28,69 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def neighbours(vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """(a, b, sim): the k most similar other rows b of every row a, ties by b.
+def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim, rank): the k most similar other rows b of every query row a, ties by b.
 
-    vectors: id, embedding, of unit length. Exact, as a stated set of rows against all rows in blocks: each pair of
-    blocks is one task's matrix product of bounded size, which keeps k rows per row; a window ranks what the blocks
-    keep. Rows are dealt to blocks by their id's hash, so blocks are even and the plan has no Cartesian product of rows.
+    vectors: id, embedding, of unit length; queries: the rows to ask for, all of them if it isn't given. Exact, as a
+    stated set of rows against all rows in blocks: `block` queries, a few MB, are broadcast at a time, every task keeps
+    their k best among its own rows, and a window ranks what the tasks keep. Vectors aren't shuffled; the work is
+    queries x rows, so ask for a part of very large tables. Each block's result is stored before the next one runs.
     """
-    blocks = blocks or max(1, -(-vectors.count() // BLOCK))
-    rows = vectors.select(F.col("id"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = rows.select("block", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    left = packed.select(F.col("block").alias("i"), F.col("other").alias("j"), "id", "v")
-    right = packed.select(F.col("other").alias("i"), F.col("block").alias("j"), "id", "v")
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = with_position((vectors if queries is None else queries).select("id", F.col("embedding").cast("array<double>").alias("v")), ["id"], parts, "place")
+    blocks = -(-asked.count() // block)
     kind = vectors.schema["id"].dataType.simpleString()
-
-    def best(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": one["id"][:0], "b": two["id"][:0], "sim": np.zeros(0)})
-        two = two.sort_values("id")
-        y, ids = np.stack(two["v"].to_numpy()), two["id"].to_numpy()
-        out = []
-        for begin in range(0, len(one), 512):
-            part = one.iloc[begin : begin + 512]
-            sims = np.stack(part["v"].to_numpy()) @ y.T
-            sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            n = min(k, len(ids))
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-            out.append(pd.DataFrame({"a": np.repeat(part["id"].to_numpy(), n), "b": ids[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()}))
-        found = pd.concat(out)
-        return found[found["sim"] > -np.inf]
-
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"a {kind}, b {kind}, sim double")
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
-
 
-def neighbour_pairs(vectors: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
+    def one(number: int) -> DataFrame:
+        got = asked.filter(F.floor(F.col("place") / block) == number).select("id", "v").toArrow()
+        shared = spark.sparkContext.broadcast((got.column("id").to_pylist(), got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            place = {q: i for i, q in enumerate(ids)}
+            sims, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            names: list = []  # ids of the rows that some query keeps
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column("id").to_pylist()
+                s = x @ b.column("v").flatten().to_numpy().reshape(b.num_rows, -1).T
+                for j, i in enumerate(own):
+                    if i in place:
+                        s[place[i], j] = -np.inf
+                order = sorted(range(len(names) + len(own)), key=(names + own).__getitem__)
+                rank_of = np.empty(len(order), np.int64)
+                rank_of[order] = np.arange(len(order))
+                every, at = np.concatenate([sims, s], axis=1), np.concatenate([found, np.broadcast_to(np.arange(len(names), len(names) + len(own)), s.shape)], axis=1)
+                top = np.lexsort((rank_of[at], -every), axis=1)[:, :k]
+                sims, at = np.take_along_axis(every, top, 1), np.take_along_axis(at, top, 1)
+                used, found = np.unique(at, return_inverse=True)
+                found, names = found.reshape(at.shape), [(names + own)[u] for u in used.tolist()]
+            real = sims > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.nonzero(real)[0].tolist()], id_type), pa.array([names[i] for i in found[real].tolist()], id_type), pa.array(sims[real])], names=["a", "b", "sim"])
+
+        near = rows.mapInArrow(best, f"a {kind}, b {kind}, sim double").withColumn("rank", rank).filter(F.col("rank") <= k)
+        if blocks == 1:
+            return near
+        stored = materialize(near, "neighbours")
+        shared.destroy()
+        return stored
+
+    id_type = to_arrow_type(vectors.schema["id"].dataType)
+    if not blocks:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, sim double, rank int")
+    return reduce(DataFrame.unionAll, [one(i) for i in range(blocks)])
+
+
+def neighbour_pairs(vectors: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(a, b, sim) with a < b, once each, of every row's k neighbours.
 
     vectors: id, embedding, is_test. Test rows compete for places; pairs of two test rows go after the ranking.
     """
-    near = neighbours(vectors.select("id", "embedding"), k, blocks)
+    near = neighbours(vectors.select("id", "embedding"), k, block=block)
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     test = vectors.select(F.col("id"), "is_test")
     both = pairs.join(test.toDF("a", "a_test"), "a").join(test.toDF("b", "b_test"), "b")
@@ -138,16 +165,36 @@ def stale(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("id").join(vectors.select("id"), "id", "left_anti").union(vectors.select("id").join(rows.select("id"), "id", "left_anti"))
 
 
-def blocks_of(rows: DataFrame, size: int) -> Iterator[list]:
-    """The rows in lists of `size`, fetched a partition at a time."""
-    held: list = []
-    for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> DataFrame:
+    """doc_id of the documents (doc_id, text) that hold the text of an item (item) whole, once each.
+
+    An automaton over a block of items, `max_bytes` of text at most, is broadcast at a time; one scan a block.
+    """
+    spark = docs.sparkSession
+    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // max_bytes))
+    kind = docs.schema["doc_id"]
+    found = []
+    for number in range(blocks):
+        some = [r["item"] for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()]
+        shared = spark.sparkContext.broadcast([x for x in some if x])
+        everything = "" in some
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, everything=everything) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for x in shared.value:
+                automaton.add_word(x)
+            automaton.make_automaton()
+            search = automaton.iter if shared.value else lambda text: iter(())
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                hit = [t is not None and (everything or next(search(t), None) is not None) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
+
+        found.append(docs.select("doc_id", "text").mapInArrow(scan, T.StructType([kind])))
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def embed(df: DataFrame, encoder, text: str = "text", dim: int = 64) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenspark.plans.ranking import with_position
+
 
 def shuffle_key(key: Column, seed: int) -> Column:
     """A fixed pseudo-random order of keys, the same in any engine that has MD5."""
@@ -43,11 +45,17 @@ def split_overlap(rows: DataFrame, split: str, keys: list[str]) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def stratified(rows: DataFrame, stratum: str, key: Column, n: int | Column, seed: int) -> DataFrame:
-    """n rows of every stratum in shuffled order, with population and sampled; Spark keeps n rows a partition and stratum."""
+def stratified(rows: DataFrame, stratum: str, key: Column, n: int | Column, seed: int, most: int | None = None) -> DataFrame:
+    """n rows of every stratum in shuffled order, with population and sampled.
+
+    `most`: what n is at most, if it is a column. The literal limit lets Spark drop all but so many rows of a stratum in
+    each partition before the shuffle, so that a hot stratum isn't sorted in one task.
+    """
+    most = n if isinstance(n, int) else most
     n = F.lit(n) if isinstance(n, int) else n
     order = W.partitionBy(stratum).orderBy(shuffle_key(key, seed), key)
-    picked = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    picked = rows.withColumn("place", F.row_number().over(order))
+    picked = (picked.filter(F.col("place") <= most) if most is not None else picked).filter(F.col("place") <= n)
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("population"))
     return picked.join(sizes, stratum).withColumn("sampled", F.least(F.col("population"), n))
 
@@ -58,15 +66,18 @@ def proportional(rows: DataFrame, stratum: str, key: str, total: int, seed: int)
     every = sizes.agg(F.sum("population")).first()[0] or 0
     wanted = sizes.withColumn("wanted", F.bround(F.lit(float(total)) * F.col("population") / F.lit(float(max(1, every)))).cast("int"))
     order = W.partitionBy(stratum).orderBy(shuffle_key(F.col(key), seed), key)
-    picked = rows.withColumn("place", F.row_number().over(order)).join(wanted.select(stratum, "wanted"), stratum).filter(F.col("place") <= F.col("wanted"))
+    few = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= total)  # a literal, pushed below the shuffle
+    picked = few.join(wanted.select(stratum, "wanted"), stratum).filter(F.col("place") <= F.col("wanted"))
     return picked.orderBy(stratum, "place").limit(total).drop("wanted")
 
 
 def source_split(pairs: DataFrame, source: str, fraction: float, seed: int) -> DataFrame:
     """side of every pair: val for max(1, int(share)) shuffled sources, train for the others."""
-    sources = pairs.select(source).distinct()
-    n = max(1, int(sources.count() * fraction))
-    chosen = sources.orderBy(shuffle_key(F.col(source), seed), source).limit(n).withColumn("side", F.lit("val"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sources = pairs.select(source).distinct().withColumn("__key", shuffle_key(F.col(source), seed))
+    placed = with_position(sources, ["__key", source], parts, "__place")
+    n = max(1, int(placed.count() * fraction))
+    chosen = placed.filter(F.col("__place") < n).select(source, F.lit("val").alias("side"))
     return pairs.join(chosen, source, "left").withColumn("side", F.coalesce("side", F.lit("train")))
 
 

@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 from lumenspark.plans.scratch import drop, materialize
 
 
-def with_position(df: DataFrame, keys: list[str], partitions: int, name: str = "position") -> DataFrame:
-    """Add `name`: the 0-based place of each row when all rows are sorted by `keys`.
+def with_position(df: DataFrame, keys: list[str], partitions: int, name: str = "position", weight: str | None = None) -> DataFrame:
+    """Add `name`: the 0-based place of each row when all rows are sorted by `keys`; with `weight`, a long column, the sum
+    of the weights of all rows before it.
 
     Rows are range-partitioned and sorted, numbered within their partition and shifted by the number of rows of the
-    earlier partitions. Only one count per partition reaches the driver. Ties in `keys` get distinct places.
+    earlier partitions. Only one sum per partition reaches the driver. Ties in `keys` get distinct places.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
 
@@ -26,16 +27,14 @@ def with_position(df: DataFrame, keys: list[str], partitions: int, name: str = "
 
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n, dtype=np.int64))],
-                names=[*b.schema.names, "_part", "_place"],
-            )
-            seen += n
+            own = np.ones(b.num_rows, np.int64) if weight is None else b.column(weight).to_numpy()
+            upto = seen + np.cumsum(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(upto - own)], names=[*b.schema.names, "_part", "_place"])
+            seen = int(upto[-1]) if len(upto) else seen
 
     ranged = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
     numbered = materialize(ranged.mapInArrow(number, schema), "sorted")
-    counts = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg((F.count("*") if weight is None else F.sum(weight)).alias("n")).collect()}
     before, offsets = 0, {}
     for part in sorted(counts):
         offsets[part] = before

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspark.functions.text import strip
+
 
 @dataclass
 class Step:
@@ -39,7 +41,7 @@ def run_steps(steps: list[Step], report: Callable[[dict[str, str]], object] = la
 
 def log_tail(lines: DataFrame, noise: list[str], n: int = 6, width: int = 200) -> DataFrame:
     """The last n lines (line, text) that are neither blank nor hold a noise word, their last `width` characters."""
-    told = lines.filter(F.length(F.trim("text")) > 0)
+    told = lines.filter(F.length(strip(F.col("text"))) > 0)
     for word in noise:
         told = told.filter(~F.contains("text", F.lit(word)))
     return told.orderBy(F.desc("line")).limit(n).select("line", F.right("text", F.lit(width)).alias("text"))

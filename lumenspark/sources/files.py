@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenspark.functions.text import strip
+
 TABLE = T.ArrayType(T.ArrayType(T.StringType()))
 PROGRAM_RECORD = (
     "id string, filename string, pre_text array<string>, post_text array<string>, table array<array<string>>, qa struct<question:string,answer:string,program:string,program_re:string,exe_ans:string,gold_inds:map<string,string>>"
@@ -17,6 +19,7 @@ SPAN_RECORD = (
     "table struct<uid:string,table:array<array<string>>>, paragraphs array<struct<order:int,text:string>>, "
     "questions array<struct<uid:string,order:int,question:string,answer:string,answer_type:string,answer_from:string,derivation:string,scale:string>>"
 )
+# The headers of a label sheet.
 SHEET = ["pair_id", "is_duplicate (1/0)", "a_question", "b_question", "a_answer", "b_answer", "a_evidence", "b_evidence", "a_report", "b_report"]
 
 
@@ -56,7 +59,7 @@ def write_sheet(pairs: DataFrame, path: str) -> None:
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """pair_id and duplicate; an error if any row's label is neither 0 nor 1."""
     raw = spark.read.option("header", True).option("multiLine", True).csv(path).toDF(*SHEET)
-    label = F.trim(F.col(f"`{SHEET[1]}`"))
+    label = strip(F.col(f"`{SHEET[1]}`"))
     checked = F.when(label.isin("0", "1"), label == "1").otherwise(F.raise_error(F.concat(F.lit("pair without a label: "), F.coalesce("pair_id", F.lit("?")))).cast("boolean"))
     return raw.select(F.col("pair_id").cast("long").alias("pair_id"), checked.alias("duplicate"))
 
