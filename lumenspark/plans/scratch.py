@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. Only a local master may do without: executors elsewhere don't see its files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lumen-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -63,6 +65,14 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes not to be one of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Plan nodes whose rows come in the same partitions and order whichever columns are read.
 _STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View", "Relation"}
 
