@@ -7,9 +7,13 @@ pairs of ranks (place, place + 2^k) give the next round's. Places whose prefix i
 
 A run of l lines is named exactly by the ranks of its first and last 2^k lines (2^k <= l). Each place has two shortest
 runs of MIN_WORDS words, one that begins there and one that ends there; every maximal repeated run of that many words is
-the union of such runs inside it. Runs of equal names form an interval; all but its first member, by (doc_id, row, line),
-are deleted. Since a line counts as one word at least, runs have MIN_WORDS lines at most and log2(MIN_WORDS) rounds do,
-whatever the length of the corpus or of its repeats. The first copy of every line of a run always stays.
+the union of such runs inside it. Runs of equal names are the interval of the suffix array whose longest common prefix is
+as long as the run or longer; all its members but the first, by (doc_id, row, line), are deleted.
+
+Doubling goes on to the longest such run, not to the longest repeat: a place belongs to an interval of a longer common
+prefix only if it belongs to the one of its shortest run, and the members of the longer one are deleted run by run. So the
+array ordered by MIN_WORDS lines (a line counts as one word at least) gives the same deletions as the whole one, in
+log2(MIN_WORDS) rounds whatever the length of the corpus or of its repeats. The first copy of every run always stays.
 
 Cases: a null text stays null and has no lines; an empty text is one empty line; null doc_ids come last in the order;
 repeated rows are copies, so the later lose their runs; a document can lose all its lines and then has an empty text; an
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 
 from lumenspark.llm.batches import runs, slices, texts_of, whole_groups
 from lumenspark.plans.ranking import with_position
-from lumenspark.plans.scratch import materialize, with_row_id
+from lumenspark.plans.scratch import free_name, materialize, with_row_id
 
 MIN_WORDS = 20
 
@@ -124,9 +128,13 @@ def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
     """(row, cuts): for each row that loses lines, the disjoint line ranges [first, last) that go."""
     lines = materialize(line_ids(numbered), "lines")
     found = materialize(shortest_runs(suffix_ranks(lines, min_words), min_words), "runs")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("line"))
-    firsts = found.groupBy("a", "b", "size").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = found.join(firsts, ["a", "b", "size"]).filter(order > F.col("first")).select("row", "line", "size")
+    # a line's place in the whole corpus is one number, so the first of a run is a plain minimum
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = lines.groupBy("row", "doc_id").agg(F.count("*").alias("n")).withColumn("none", F.col("doc_id").isNull())
+    begins = with_position(sizes, ["none", "doc_id", "row"], parts, "begin", weight="n").select("row", "begin")
+    found = found.join(begins, "row").select("row", "line", "size", "a", "b", (F.col("begin") + F.col("line")).alias("place"))
+    firsts = materialize(found.groupBy("a", "b", "size").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    later = found.join(firsts, ["a", "b", "size"]).filter("place > first").select("row", "line", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "row"):
@@ -146,20 +154,21 @@ def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
     return later.repartition("row").sortWithinPartitions("row", "line").mapInArrow(run, "row long, cuts array<long>")
 
 
-def _gone(i: F.Column) -> F.Column:
-    return F.exists(F.sequence(F.lit(0), F.size("__cuts") - 2, F.lit(2)), lambda k: (i >= F.get("__cuts", k)) & (i < F.get("__cuts", k + 1)))
+def _gone(i: F.Column, cuts: str) -> F.Column:
+    return F.exists(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: (i >= F.get(cuts, k)) & (i < F.get(cuts, k + 1)))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """docs with the later copies of repeated line runs cut out of text; with `counts` also n_lines and n_deleted."""
-    numbered = with_row_id(docs, "__row")
-    cuts = deletions(numbered.select(F.col("__row").alias("row"), "doc_id", "text"), min_words).toDF("__row", "__cuts")
-    both = numbered.join(cuts, "__row", "left")
+    row, cut = free_name(docs, "row"), free_name(docs, "cuts")
+    numbered = with_row_id(docs, row)
+    cuts = deletions(numbered.select(F.col(row).alias("row"), "doc_id", "text"), min_words).toDF(row, cut)
+    both = numbered.join(cuts, row, "left")
     lines = F.split("text", "\n", -1)
-    left = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~_gone(i)), "\n"))
+    left = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~_gone(i, cut)), "\n"))
     own = [left.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        deleted = F.aggregate(F.coalesce("__cuts", F.array().cast("array<long>")), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.struct((acc["n"] + x * acc["s"]).alias("n"), (-acc["s"]).alias("s")), lambda acc: acc["n"])
+        deleted = F.aggregate(F.coalesce(cut, F.array().cast("array<long>")), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.struct((acc["n"] + x * acc["s"]).alias("n"), (-acc["s"]).alias("s")), lambda acc: acc["n"])
         own += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), deleted.alias("n_deleted")]
     return both.select(*own)
 
