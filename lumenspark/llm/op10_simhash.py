@@ -6,7 +6,7 @@ XXH64 hashes (seed 42). No words: fingerprint 0, linked like any other.
 
 Search: equal fingerprints are one class. Classes at 2 or fewer differing bits agree in two of four 16-bit blocks, so
 each class goes to six buckets, one per pair of blocks; a bucket above SPLIT classes is dealt again by three parts of its
-other 32 bits, one of which must agree, which leaves 2^21 fingerprints in a group at most. In a group, fingerprints are
+other 32 bits, one of which must agree, which leaves 2^22 fingerprints in a group at most. In a group, fingerprints are
 sorted by Gray rank; runs of FANOUT neighbours become a node that holds the bits its members share, and so on upwards, so
 that each bit of a fingerprint is held once on its path. A query walks down adding the differences on each node's own
 bits, and drops a whole node when they exceed 2. Groups return a spanning forest, never all pairs.
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from lumenspark.llm.batches import map_texts, runs, whole_groups
 from lumenspark.operators.graph import connected_components
-from lumenspark.plans.scratch import materialize, with_row_id
+from lumenspark.plans.scratch import free_name, materialize, with_row_id
 
 RADIUS = 2
 SHINGLE = 3
@@ -193,9 +193,10 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (nulls last), the first of equal rows."""
-    numbered = with_row_id(docs, "__row")
-    prints = materialize(fingerprints(numbered, ["doc_id", "__row"]), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
+    row = free_name(docs, "row")
+    numbered = with_row_id(docs, row)
+    prints = materialize(fingerprints(numbered.select("doc_id", F.col(row).alias("row"), "text"), ["doc_id", "row"]), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     best = class_components(prints, F.min(order))
-    kept = best.select(F.col("first.__row").alias("__row")).distinct()
-    return numbered.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = best.select(F.col("first.row").alias(row)).distinct()
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
