@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspark.llm.batches import map_texts
+from lumenspark.plans.scratch import free_name, materialize
 
 BITS = 18
 SPACE = 1 << BITS
 THRESHOLD = 0.3
+MOST_POSITIONS = 40_000_000
 _CLASS = np.full(256, ord("a"), np.uint8)
 for _c in range(128):
     _ch = chr(_c)
@@ -148,20 +150,33 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | None:
-    """Fit on at most `max_rows` labelled training rows, half of each class, picked by a hash of doc_id.
+    """Fit on at most `max_rows` labelled training documents, half of each class, picked by a hash of doc_id.
 
-    The bound keeps what the driver collects (indicator positions only) constant whatever the corpus size.
+    Of a doc_id's labels the most frequent one counts, 0 if both are as frequent; of its rows the first text in order. What
+    the driver collects is bounded whatever the corpus size: one set of indicator positions a document, and of those at
+    most MOST_POSITIONS a class, in the order of the hash (very long texts make up to 1 MB each).
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    usable = usable.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality"))
     picked = [r for k in (0, 1) for r in usable.filter(F.col("quality") == k).orderBy(*by_hash).limit(max_rows // 2).collect()]
     label = {r["doc_id"]: r["quality"] for r in picked}
     if len(set(label.values())) < 2:
         return None
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in label], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])))  # max_rows ids at most
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
+    chosen_type = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in label], chosen_type))  # max_rows ids at most
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     found = map_texts(sample, ["doc_id"], "text", [T.StructField("found", T.BinaryType())], lambda texts: [[features(t).astype(np.uint32).tobytes() for t in texts]])
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["found"])))
+    stored = materialize(found.withColumn("n", F.length("found") / 4), "features")
+    place = {r["doc_id"]: i for i, r in enumerate(picked)}
+    fits, held = set(), {0: 0, 1: 0}
+    for r in sorted(stored.select("doc_id", "n").collect(), key=lambda r: place[r["doc_id"]]):
+        k = label[r["doc_id"]]
+        if held[k] + r["n"] <= MOST_POSITIONS or not held[k]:
+            fits.add(r["doc_id"])
+            held[k] += int(r["n"])
+    some = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fits], chosen_type)) if len(fits) < len(place) else None
+    rows = sorted((stored.join(some, "doc_id", "left_semi") if some is not None else stored).select("doc_id", "found").collect(), key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["found"], np.uint32).astype(np.int64) for r in rows], [label[r["doc_id"]] for r in rows])
 
 
@@ -187,5 +202,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFr
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    scored = scores(docs, train(docs, labels, max_rows), docs.columns, "__score")
-    return scored.filter(F.col("__score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs, "score")
+    scored = scores(docs, train(docs, labels, max_rows), docs.columns, score)
+    return scored.filter(F.col(score) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
