@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, with A-Z lower-cased. A window is 13
 consecutive words of a benchmark item; an item with fewer words, but not none, is one window. The windows' hashes are
-broadcast after a check of their size; each task scans the rolling hashes of its documents' words as arrays, verifies
+broadcast after a check of their size (MAX_ITEM_BYTES of text, whose index takes about eight times that); each task scans the rolling hashes of its documents' words as arrays, verifies
 every hit word for word, and marks the words inside occurrences. Benchmarks beyond the size limit are scanned in blocks
-of items that each fit it, and the marks of the blocks are united per document.
+of items that each fit it, one after the other: a block's marks are stored before the next block is read, and united per
+document in the end. Each block is one scan of the documents.
 
 Cases: a null or empty text has no words; null items count as empty; items with equal texts are all listed; repeated
 documents are judged alike; empty tables on either side give no rows or no hits; other columns aren't read by the scan
@@ -16,18 +17,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspark.llm.batches import map_texts
-from lumenspark.plans.scratch import with_row_id
+from lumenspark.plans.scratch import materialize, with_row_id
 
 WINDOW = 13
-MAX_ITEM_BYTES = 64_000_000
+MAX_ITEM_BYTES = 16_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1)
 _FILTER_BITS = 20
@@ -87,31 +90,59 @@ class Words:
 
 @dataclass
 class Index:
-    """The benchmark's windows: by length, sorted hashes and a bit filter; by words, the items."""
+    """The benchmark's windows: by their length, sorted hashes with the places where they begin, and a bit filter.
 
-    items: dict[bytes, list] = field(default_factory=dict)
+    A place is a word of `words`, the items' texts as one array of bytes, so a window takes 16 bytes besides its words,
+    of which each takes 12 and its text: about 8 bytes of memory a byte of text.
+    """
+
+    data: bytes = b""
+    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    end: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # each item's first word
+    ids: list = field(default_factory=list)
     hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    places: dict[int, np.ndarray] = field(default_factory=dict)
     filters: dict[int, np.ndarray] = field(default_factory=dict)
+    known: dict[tuple[int, int], dict[bytes, list]] = field(default_factory=dict)  # windows that were met
 
     @staticmethod
     def of(rows: list[tuple[object, str]]) -> Index:
-        out, by_length = Index(), {}
-        for item, text in rows:
-            w = Words([text or ""])
-            n = min(WINDOW, len(w.start))
+        w = Words([text or "" for _, text in rows])
+        out = Index(w.data, w.start.astype(np.uint32), w.end.astype(np.uint32), w.first, [item for item, _ in rows])
+        counts = np.diff(w.first)
+        for n in np.unique(np.minimum(counts, WINDOW)).tolist():
             if not n:
                 continue
-            for p in range(len(w.start) - n + 1):
-                known = out.items.setdefault(w.text(p, n), [])
-                if item not in known:
-                    known.append(item)
-            by_length.setdefault(n, []).append(w.windows(n))
-        for n, parts in by_length.items():
-            out.hashes[n] = np.unique(np.concatenate(parts))
+            which = np.flatnonzero(np.minimum(counts, WINDOW) == n)
+            sizes = counts[which] - n + 1
+            at = np.repeat(w.first[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            h = w.windows(n)[at]
+            order = np.argsort(h, kind="stable")
+            out.hashes[n], out.places[n] = h[order], at[order].astype(np.uint32)
             out.filters[n] = np.zeros(1 << _FILTER_BITS, bool)
-            out.filters[n][out.hashes[n] & np.uint64((1 << _FILTER_BITS) - 1)] = True
+            out.filters[n][h & np.uint64((1 << _FILTER_BITS) - 1)] = True
         return out
 
+    @property
+    def nbytes(self) -> int:
+        arrays = [self.start, self.end, self.first, *self.hashes.values(), *self.places.values(), *self.filters.values()]
+        return len(self.data) + sum(x.nbytes for x in arrays)
+
+    def items_of(self, n: int, h: np.uint64, text: bytes) -> list:
+        """The items with the window `text` of n words and hash h. Its hash's windows are read once, then remembered."""
+        key = (n, int(h))
+        if key not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            low, high = np.searchsorted(self.hashes[n], h, "left"), np.searchsorted(self.hashes[n], h, "right")
+            by_text: dict[bytes, dict] = {}
+            for p in self.places[n][low:high].tolist():
+                own = b" ".join(self.data[self.start[p] : self.end[p + n - 1]].split())
+                by_text.setdefault(own, {})[self.ids[int(np.searchsorted(self.first, p, side="right")) - 1]] = None
+            self.known[key] = {t: list(x) for t, x in by_text.items()}
+        return self.known[key].get(text, [])
+
     def scan(self, w: Words) -> tuple[np.ndarray, dict[int, set]]:
         """How many occurrences start or stop to cover each word, summed: over 0 is hit; and the items by document."""
         cover, found = np.zeros(len(w.start) + 1, np.int32), {}
@@ -124,18 +155,21 @@ class Index:
             may = may[hashes[np.minimum(at, len(hashes) - 1)] == h[may]]
             doc = np.searchsorted(w.first, may, side="right") - 1
             for p, d in zip(may.tolist(), doc.tolist(), strict=True):
-                if p + n <= w.first[d + 1] and (items := self.items.get(w.text(p, n))):
+                if p + n <= w.first[d + 1] and (items := self.items_of(n, h[p], w.text(p, n))):
                     cover[p] += 1
                     cover[p + n] -= 1
                     found.setdefault(d, set()).update(items)
         return np.cumsum(cover[:-1]), found
 
 
-def load_blocks(benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> Iterator[Index]:
-    """The benchmark as indexes of about max_bytes of text each, one index where the whole fits; read one at a time."""
+def block_count(benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> int:
+    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-int(total) // max_bytes))
+
+
+def load_blocks(benchmark: DataFrame, parts: int) -> Iterator[Index]:
+    """The benchmark as `parts` indexes, each read when it is asked for."""
     rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // max_bytes))
     for k in range(parts):
         block = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         yield Index.of([(r["item_id"], r["text"]) for r in block.collect()])
@@ -149,9 +183,11 @@ def _ranges(hit: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
-def spans(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
-    """`keep` columns, n_words, spans (first, end, first, end ... of hit words) and items (ids as text) per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def spans(docs: DataFrame, shared: Broadcast, keep: list[str]) -> DataFrame:
+    """`keep` columns, n_words, spans (first, end, first, end ... of hit words) and items (ids as text) per document.
+
+    shared: the broadcast index.
+    """
 
     def run(texts: list[str]) -> list[list]:
         w = Words(texts)
@@ -168,16 +204,19 @@ def spans(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
 
 def _united(docs: DataFrame, benchmark: DataFrame, keep: list[str], max_bytes: int) -> DataFrame:
     """Spans over all blocks of the benchmark. Several blocks meet per row id, each row's spans being few."""
-    blocks = load_blocks(benchmark, max_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is None:
-        return spans(docs, first, keep)
-    numbered = with_row_id(docs, "__row")
-    parts = [spans(numbered, b, ["__row"]) for b in (first, second, *blocks)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    context = docs.sparkSession.sparkContext
+    count = block_count(benchmark, max_bytes)
+    if count == 1:
+        return spans(docs, context.broadcast(next(load_blocks(benchmark, 1))), keep)
+    numbered, parts = with_row_id(docs, "__row"), []
+    for index in load_blocks(benchmark, count):
+        shared = context.broadcast(index)
+        del index
+        marks = spans(numbered, shared, ["__row"])
+        # all rows once, for their number of words; later blocks add those with hits
+        parts.append(materialize(marks.filter(F.size("spans") > 0) if parts else marks, "marks"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts)
     merged = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return numbered.select("__row", *[F.col(f"`{c}`") for c in keep]).join(merged, "__row").drop("__row").select(*[F.col(f"`{c}`") for c in keep], "n_words", "spans", "items")
 
