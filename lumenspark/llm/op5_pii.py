@@ -1,18 +1,22 @@
 """PII: pattern detection, then information-theoretic sanitisation of the terms around it.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (12 to 19 digits, Luhn) and phone numbers (9 to 15 digits),
-leftmost and non-overlapping per kind; a match that fails its check is dropped without a retry.
+leftmost and non-overlapping per kind; a match that fails its check is dropped without a retry. Values of 16 characters
+or more that are assigned to a name like token, secret or password are secrets: they tell all by themselves, so they are
+spans of kind `term`, too.
 
-The values found are the protected entities. A term (a word of 2 letters or digits or more, lower-cased) anywhere in the
+The base values found are the protected entities. A term (a word of 2 letters or digits or more, lower-cased) anywhere in the
 documents that hold a value may reveal it. From the corpus come the documents of each entity n(e), of each term n(t), and
 of both together n(e, t). Its disclosure is PMI(e; t) / IC(e) = 1 + log2 p(e | t) / log2(N / n(e)), 1 when the term never occurs without
 the entity. p(e | t) is estimated as (n(e, t) + SMOOTHING p(e)) / (n(t) + SMOOTHING): few documents are weak evidence, no
 value is too rare to be scored, and the same passage in several documents counts in each. Terms that
 reach THRESHOLD go: all their occurrences outside values, in every document that holds the entity, become spans of kind
-`term`, which sanitise() removes; base spans become their kind in brackets. Nothing is capped: co-occurrences meet by (entity, term), term counts by term.
+`term`, which sanitised() removes; all other spans become their kind in brackets. Nothing is capped: co-occurrences meet
+by (entity, term), term counts by term.
 
 Cases: a null or empty text has no spans; repeated rows count as documents of their own; null
-doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report().
+doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report() and kept as they
+are by sanitised().
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspark.llm.batches import slices, texts_of
-from lumenspark.plans.scratch import materialize, with_row_id
+from lumenspark.plans.scratch import free_name, materialize, with_row_id
 
 SMOOTHING = 1.0
 THRESHOLD = 0.9
@@ -41,6 +47,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W_]{2,}")
 _BUCKETS = 1 << 22
+_ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\s{0,3}[:=]"
+_SECRET = re.compile(_ASSIGNED + r"\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})", re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -85,6 +93,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Secrets that no base span overlaps."""
+    return [(s, 4, e) for m in _SECRET.finditer(text) for s, e in [m.span(1)] if not any(a < e and s < b for a, _, b in spans)]
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
 
@@ -108,14 +121,15 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
 
 
 _BASE = T.StructType(
-    [T.StructField("row", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_email", "n_ip", "n_card", "n_phone")], T.StructField("base_sha256", T.StringType()), T.StructField("base", T.StringType())]
-    + [T.StructField("values", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("z", T.LongType())])))]
+    [T.StructField("row", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_email", "n_ip", "n_card", "n_phone", "n_secret")], T.StructField("base_sha256", T.StringType()), T.StructField("base", T.StringType())]
+    + [T.StructField("values", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("z", T.LongType())]))), T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("z", T.LongType())])))]
 )
 
 
 def detect(numbered: DataFrame) -> DataFrame:
     """doc_id, row, the base columns, the values and, if there are any, the terms with their places, one row per document."""
     schema = T.StructType([numbered.schema["doc_id"], *_BASE.fields])
+    place_type = pa.list_(pa.struct([("s", pa.int64()), ("z", pa.int64())]))
     held_type = pa.list_(pa.struct([("t", pa.string()), ("s", pa.int64()), ("z", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +138,22 @@ def detect(numbered: DataFrame) -> DataFrame:
                 part = b.slice(i, j - i)
                 texts = texts_of(part.column("text"))
                 found = [base_spans(t) for t in texts]
-                counts = np.array([[sum(k == kind for _, k, _ in f) for kind in range(4)] for f in found], np.int64).reshape(-1, 4)
+                assigned = pc.fill_null(pc.match_substring_regex(part.column("text"), _ASSIGNED), False).to_pylist()
+                secrets = [secret_spans(x, f) if some else [] for x, f, some in zip(texts, found, assigned, strict=True)]
+                every = [sorted([*f, *s]) for f, s in zip(found, secrets, strict=True)]
+                counts = np.array([[sum(k == kind for _, k, _ in f) for kind in range(5)] for f in every], np.int64).reshape(-1, 5)
                 joined = [_joined(f) for f in found]
-                held = [terms_of(x, f) if f else [] for x, f in zip(texts, found, strict=True)]
+                held = [terms_of(x, e) if f else [] for x, f, e in zip(texts, found, every, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         part.column("row"),
-                        *[pa.array(counts[:, k]) for k in range(4)],
+                        *[pa.array(counts[:, k]) for k in range(5)],
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
                         pa.array(joined),
                         pa.array([entities_of(x, f) for x, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
                         pa.array([[dict(zip("tsz", n, strict=True)) for n in x] for x in held], held_type),
+                        pa.array([[{"s": s, "z": e} for s, _, e in x] for x in secrets], place_type),
                     ],
                     names=schema.names,
                 )
@@ -195,26 +213,31 @@ def disclosing_terms(docs: DataFrame, met: DataFrame, entities: DataFrame, thres
     return both.filter((content > 0) & (disclosure >= threshold)).select("e", "t")
 
 
-def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and terms) of every document."""
-    numbered = with_row_id(docs.select("doc_id", "text"), "row")
+def _found(numbered: DataFrame, threshold: float) -> DataFrame:
+    """row, doc_id, the counts, base_sha256 and spans of every document (row, doc_id, text)."""
     found = materialize(detect(numbered), "spans")
     marked = found.filter(F.size("held") > 0)
     met = marked.select("row", F.array_distinct("held.t").alias("ts"), F.explode("values").alias("e")).select("row", "e", F.explode("ts").alias("t"))
     entities = found.select(F.explode("values").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    terms = materialize(disclosing_terms(docs, met.select("e", "t"), entities, threshold), "terms")
+    terms = materialize(disclosing_terms(numbered, met.select("e", "t"), entities, threshold), "terms")
     places = marked.select("row", F.explode("held").alias("x")).select("row", "x.*").join(met.join(terms, ["e", "t"], "left_semi").select("row", "t").distinct(), ["row", "t"])
     more = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("terms"))
-    own = [F.col(c) for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")]
-    base = F.filter(F.split("base", ","), lambda x: x != "")
-    placed = F.transform(base, lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("x")))
-    extra = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:bigint,z:bigint>>")), lambda t: F.struct(t["s"].alias("s"), F.lit(5).cast("long").alias("k"), F.concat_ws(":", F.lit("term"), t["s"].cast("string"), t["z"].cast("string")).alias("x")))
+    placed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("x")))
+    gone = F.concat("secrets", F.coalesce("terms", F.array().cast("array<struct<s:bigint,z:bigint>>")))
+    extra = F.transform(gone, lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).cast("long").alias("k"), F.concat_ws(":", F.lit("term"), t["s"].cast("string"), t["z"].cast("string")).alias("x")))
     spans = F.array_join(F.transform(F.array_sort(F.concat(placed, extra)), lambda y: y["x"]), ",")
-    return found.join(more, "row", "left").select(*own, F.when(F.col("terms").isNull(), F.col("base")).otherwise(spans).alias("spans"))
+    kinds = ("n_email", "n_ip", "n_card", "n_phone")
+    n_found = sum((F.col(c) for c in (*kinds, "n_secret")), F.lit(0)).cast("long").alias("n_found")
+    return found.join(more, "row", "left").select("row", "doc_id", *kinds, "base_sha256", F.when(F.size(gone) == 0, F.col("base")).otherwise(spans).alias("spans"), "n_secret", n_found)
+
+
+def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base ones, secrets and terms), n_secret and n_found (all but terms)."""
+    return _found(with_row_id(docs.select("doc_id", "text"), "row"), threshold).drop("row")
 
 
 def sanitise(text: str, spans: str) -> str:
-    """text with base spans generalised to their kind and terms removed; of overlapping spans the first one counts."""
+    """text with spans generalised to their kind and terms removed; of overlapping spans the first one counts."""
     out, at = [], 0
     for x in filter(None, spans.split(",")):
         kind, s, e = x.split(":")
@@ -222,3 +245,17 @@ def sanitise(text: str, spans: str) -> str:
             out += [text[at : int(s)], "" if kind == "term" else f"[{kind}]"]
             at = int(e)
     return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _sanitise(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or not s else sanitise(t, s) for t, s in zip(text, spans, strict=True)])
+
+
+def sanitised(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with each text sanitised; null texts stay null and all other columns as they are."""
+    row, mark = free_name(docs, "row"), free_name(docs, "spans")
+    numbered = with_row_id(docs, row)
+    spans = _found(numbered.select(F.col(row).alias("row"), "doc_id", "text"), threshold).filter("spans <> ''").select(F.col("row").alias(row), F.col("spans").alias(mark))
+    both = numbered.join(spans, row, "left")
+    return both.select(*[(_sanitise(F.col("text"), F.coalesce(mark, F.lit(""))).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
