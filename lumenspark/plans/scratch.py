@@ -54,12 +54,17 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all that materialize() has written for this driver, and say how many tables that were.
+def written() -> set[str]:
+    """The tables that materialize() has written for this driver and that are still there."""
+    return set(_written)
 
-    For the end of a job: results that read such tables must have been stored before.
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> int:
+    """Delete all that materialize() has written for this driver but `keep`, and say how many tables that were.
+
+    For the end of a job or of a step: results that read such tables must have been stored before.
     """
-    paths = sorted(_written)
+    paths = sorted(_written - keep)
     for path in paths:
         _delete(spark, path)
     return len(paths)
