@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumenspark.plans.scratch import free_name
+
 SLICE_BYTES = 2_000_000
 
 
@@ -95,7 +97,7 @@ def map_arrays(df: DataFrame, keep: list[str], text: str, fields: list[T.StructF
     """
     names = [f.name for f in fields]
     keep = [c for c in keep if c not in names]
-    source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias("__text"))
+    source = df.select(*[df[f"`{c}`"] for c in keep], df[f"`{text}`"].cast("string").alias(free_name(df, "text_")))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     kinds = [_arrow(f.dataType) for f in fields]
 
