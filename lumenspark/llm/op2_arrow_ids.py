@@ -34,7 +34,7 @@ from lumenspark.plans.scratch import materialize, new_path
 
 LENGTH = 2048
 END = 0
-SLICE = 8_000_000
+SLICE = 4_000_000
 _WHITE = r"\x09-\x0d\x20\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Odd texts have a space beside other white space or at an end, so that pre-tokens don't always begin at spaces (or they
 #: hold a special token).
@@ -73,7 +73,7 @@ class PieceEncoder:
         self.odd = "|".join([_ODD, *[re.sub(r"([^\w\s])", r"\\\1", t) for t in special]])
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces, self.words = Recent(), Recent(128_000_000)
+        self.pieces, self.words = Recent(224_000_000), Recent(80_000_000)
         self.end = np.array([END], self.width).tobytes()
 
     def library(self, texts: list[str]) -> list[bytes]:
