@@ -5,7 +5,7 @@ a failure link and the number of pieces popped on the way along it, computed onc
 character once, adds up popped counts and never builds a piece. With the whole vocabulary, a word whose beginning no piece
 matches starts with the bare BEGIN piece, and a character outside the vocabulary counts its byte pieces. Without those
 pieces, a word that can't be matched counts as one unknown token.
-Words are runs of characters other than white space; their counts are cached.
+Words are runs of characters other than white space; the counts of recent ones are kept.
 
 Cases: a null or empty text, or one of white space only, has no words and no tokens; repeated documents get equal counts;
 an empty table gives no rows; columns besides doc_id and text aren't read.
@@ -16,13 +16,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenspark.llm.batches import map_texts
+from lumenspark.llm.batches import Recent, distinct_pieces, map_arrays
 
 BEGIN = "▁"
-CACHE = 600_000
+SLICE = 4_000_000
 
 
 class LongestMatch:
@@ -65,7 +68,7 @@ class LongestMatch:
                     elif self.with_bytes:
                         self.fail[v], self.popped[v] = 1, n + len(c.encode("utf-8", "replace"))
                 queue.append(v)
-        self.cache: dict[str, int] = {}
+        self.known = Recent(128_000_000)
 
     def word(self, word: str) -> int:
         """Number of pieces, 0 if the word can't be matched."""
@@ -88,21 +91,14 @@ class LongestMatch:
             node = fail[node]
         return n
 
-    def counts(self, texts: list[str]) -> list[list[int]]:
+    def counts(self, texts: pa.Array) -> list[np.ndarray]:
         """n_words, n_tokens and n_unknown of each text."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, words, tokens, unknown = self.cache, [], [], []
-        for t in texts:
-            w = t.split()
-            for x in set(w).difference(cache):
-                cache[x] = self.word(x)
-            got = [*map(cache.__getitem__, w)]
-            bad = got.count(0)
-            words.append(len(w))
-            tokens.append(sum(got) + bad)
-            unknown.append(bad)
-        return [words, tokens, unknown]
+        words, places, ends = distinct_pieces(pc.utf8_split_whitespace(pc.fill_null(texts, "")))
+        known = np.array(self.known.find(words, lambda some: [self.word(w) if w else -1 for w in some], lambda n: 32))
+        found = known[places]  # -1 stands for the empty strings at the ends of a text
+        begins = np.concatenate([[0], ends[:-1]])
+        unknown = np.add.reduceat(found == 0, begins, dtype=np.int64)
+        return [np.add.reduceat(found >= 0, begins, dtype=np.int64), np.add.reduceat(np.maximum(found, 0), begins, dtype=np.int64) + unknown, unknown]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -139,4 +135,4 @@ def count_tokens(docs: DataFrame, model: str, whole: bool = False) -> DataFrame:
 
     `whole` takes the bare BEGIN piece and the byte pieces, too; else words that need them are unknown.
     """
-    return map_texts(docs, ["doc_id"], "text", FIELDS, lambda texts: matcher(model, whole).counts(texts))
+    return map_arrays(docs, ["doc_id"], "text", FIELDS, lambda texts: matcher(model, whole).counts(texts), SLICE)
