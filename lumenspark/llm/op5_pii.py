@@ -12,7 +12,11 @@ the entity. p(e | t) is estimated as (n(e, t) + SMOOTHING p(e)) / (n(t) + SMOOTH
 value is too rare to be scored, and the same passage in several documents counts in each. Terms that
 reach THRESHOLD go: all their occurrences outside values, in every document that holds the entity, become spans of kind
 `term`, which sanitised() removes; all other spans become their kind in brackets. Nothing is capped: co-occurrences meet
-by (entity, term), term counts by term.
+by (entity, term), term counts by term. Terms are told apart by 64-bit hashes.
+
+As n(e, t) is n(e) at most, a term can only reach the threshold if n(t) <= (n(e) + SMOOTHING p(e)) (N / n(e)) ** (1 - THRESHOLD)
+- SMOOTHING. So terms of which more documents than that were counted already, in a bounded table of the most frequent
+ones, are left out before anything is shuffled, which changes no result.
 
 Cases: a null or empty text has no spans; repeated rows count as documents of their own; null
 doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report() and kept as they
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh3_64_intdigest
 
 from lumenspark.llm.batches import slices, texts_of
 from lumenspark.plans.scratch import free_name, materialize, with_row_id
@@ -47,6 +54,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W_]{2,}")
 _BUCKETS = 1 << 22
+OFTEN = 200_000
 _ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\s{0,3}[:=]"
 _SECRET = re.compile(_ASSIGNED + r"\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})", re.A)
 
@@ -120,30 +128,68 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
     return out
 
 
+_PLACES = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("s", "z")]))
 _BASE = T.StructType(
     [T.StructField("row", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_email", "n_ip", "n_card", "n_phone", "n_secret")], T.StructField("base_sha256", T.StringType()), T.StructField("base", T.StringType())]
-    + [T.StructField("values", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.LongType()), T.StructField("z", T.LongType())]))), T.StructField("secrets", T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("z", T.LongType())])))]
+    + [T.StructField("values", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("t", "s", "z")])))]
+    + [T.StructField("secrets", _PLACES), T.StructField("often", T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType())])))]
 )
 
 
+def term_hash(term: str) -> int:
+    h = xxh3_64_intdigest(term.encode("utf-8", "replace"))
+    return h - (h >> 63 << 64)
+
+
+def _structs(lists: list[list[tuple[int, ...]]], names: str) -> pa.Array:
+    """Lists of tuples of longs as lists of structs."""
+    flat = np.array([x for part in lists for x in part], np.int64).reshape(-1, len(names))
+    offsets = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(len(names))], names=list(names)))
+
+
+class Often:
+    """How many texts hold the most frequent terms: too low perhaps, never too high, in bounded memory."""
+
+    def __init__(self, most: int = 400_000):
+        self.counts, self.most = Counter(), most
+
+    def add(self, text: str) -> None:
+        self.counts.update({x.lower() for x in set(_TERM.findall(text))})
+        if len(self.counts) > self.most:
+            least = 1
+            while len(self.counts) > self.most // 2:
+                self.counts = Counter({t: n for t, n in self.counts.items() if n > least})
+                least *= 2
+
+    def top(self) -> list[tuple[int, int]]:
+        return [(term_hash(t), n) for t, n in self.counts.most_common(OFTEN // 4) if n > 1]
+
+
 def detect(numbered: DataFrame) -> DataFrame:
-    """doc_id, row, the base columns, the values and, if there are any, the terms with their places, one row per document."""
+    """doc_id, row, the base columns, the values and, if there are any, the terms with their places, one row per document.
+
+    A last row of each partition, with `often` only, holds its most frequent terms.
+    """
     schema = T.StructType([numbered.schema["doc_id"], *_BASE.fields])
-    place_type = pa.list_(pa.struct([("s", pa.int64()), ("z", pa.int64())]))
-    held_type = pa.list_(pa.struct([("t", pa.string()), ("s", pa.int64()), ("z", pa.int64())]))
+    id_type = to_arrow_type(numbered.schema["doc_id"].dataType)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = Often()
         for b in batches:
             for i, j in slices(b.column("text")):
                 part = b.slice(i, j - i)
                 texts = texts_of(part.column("text"))
                 found = [base_spans(t) for t in texts]
+                for t in texts:
+                    often.add(t)
                 assigned = pc.fill_null(pc.match_substring_regex(part.column("text"), _ASSIGNED), False).to_pylist()
                 secrets = [secret_spans(x, f) if some else [] for x, f, some in zip(texts, found, assigned, strict=True)]
                 every = [sorted([*f, *s]) for f, s in zip(found, secrets, strict=True)]
                 counts = np.array([[sum(k == kind for _, k, _ in f) for kind in range(5)] for f in every], np.int64).reshape(-1, 5)
                 joined = [_joined(f) for f in found]
-                held = [terms_of(x, e) if f else [] for x, f, e in zip(texts, found, every, strict=True)]
+                held = [[(term_hash(t), a, z) for t, a, z in terms_of(x, e)] if f else [] for x, f, e in zip(texts, found, every, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -152,11 +198,13 @@ def detect(numbered: DataFrame) -> DataFrame:
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined]),
                         pa.array(joined),
                         pa.array([entities_of(x, f) for x, f in zip(texts, found, strict=True)], pa.list_(pa.int64())),
-                        pa.array([[dict(zip("tsz", n, strict=True)) for n in x] for x in held], held_type),
-                        pa.array([[{"s": s, "z": e} for s, _, e in x] for x in secrets], place_type),
+                        _structs(held, "tsz").cast(kinds[-3]),
+                        _structs([[(a, z) for a, _, z in x] for x in secrets], "sz").cast(kinds[-2]),
+                        pa.nulls(len(texts), kinds[-1]),
                     ],
                     names=schema.names,
                 )
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *[pa.nulls(1, k) for k in kinds[1:-1]], _structs([often.top()], "tn").cast(kinds[-1])], names=schema.names)
 
     return numbered.select("doc_id", "row", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -166,7 +214,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bit per hash bucket of the wanted terms, 4 million at most whatever the corpus, keeps other words off the shuffle.
     """
-    bucket = F.pmod(F.crc32("t"), F.lit(_BUCKETS))
+    bucket = F.pmod("t", F.lit(_BUCKETS)).cast("int")
     bits = np.zeros(_BUCKETS // 8, np.uint8)
     for r in wanted.select(F.shiftright(bucket, 16).alias("hi"), bucket.alias("b")).groupBy("hi").agg(F.collect_set("b").alias("bs")).toLocalIterator():
         at = np.array(r["bs"], np.int64)
@@ -174,54 +222,99 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        bits, known, counts = shared.value, {}, {}
+        bits, known, counts = shared.value, {}, Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], names=["t", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array([*counts], pa.int64()), pa.array([*counts.values()], pa.int64())], names=["t", "n"])
             counts.clear()
             return out
 
+        def wanted_hash(term: str) -> int | None:
+            h = term_hash(term)
+            at = h % _BUCKETS
+            return h if bits[at >> 3] >> (at & 7) & 1 else None
+
         for b in batches:
             for text in texts_of(b.column("text")):
-                for w in {x.lower() for x in set(_TERM.findall(text))}:
-                    if (may := known.get(w)) is None:
-                        at = zlib.crc32(w.encode()) % _BUCKETS
-                        may = known[w] = bool(bits[at >> 3] >> (at & 7) & 1)
-                    if may:
-                        counts[w] = counts.get(w, 0) + 1
-            if len(known) > 500_000:
-                known.clear()
-            if len(counts) > 200_000:
-                yield flush()
+                words = {x.lower() for x in set(_TERM.findall(text))}
+                for w in words.difference(known):
+                    known[w] = wanted_hash(w)
+                counts.update({h for w in words if (h := known[w]) is not None})
+                if len(known) > 500_000:
+                    known.clear()
+                if len(counts) > 200_000:
+                    yield flush()
         yield flush()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(run, "t string, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(run, "t long, n long")
     return counted.groupBy("t").agg(F.sum("n").alias("n_t")).join(wanted, "t", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, met: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
+def candidates(marked: DataFrame, often: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(row, e, t) once for every value and term of a document that may reach the threshold. marked: row, held, and es, its values with n_e."""
+    top = often.groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(OFTEN).toPandas().sort_values("t")  # OFTEN rows
+    shared = marked.sparkSession.sparkContext.broadcast((top["t"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for b in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            for row, held, es in zip(b.column("row").to_pylist(), b.column("held"), b.column("es").to_pylist(), strict=True):
+                t = np.unique(held.values.field("t").to_numpy())
+                at = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
+                least = np.where(known[at] == t, counts[at], 0) if len(known) else np.zeros(len(t), np.int64)
+                for e in es:
+                    n = e["n_e"]
+                    if n < total:
+                        most = (n + SMOOTHING * n / total) * (total / n) ** (1 - threshold) - SMOOTHING
+                        some = t[least <= most * (1 + 1e-9) + 1e-9]
+                        for values, one in zip(out, (np.full(len(some), row), np.full(len(some), e["e"]), some), strict=True):
+                            values.append(one)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o]), pa.int64()) for o in out], names=["row", "e", "t"])
+
+    return marked.select("row", "held", "es").mapInArrow(run, "row long, e long, t long")
+
+
+def disclosing_terms(docs: DataFrame, met: DataFrame, entities: DataFrame, total: int, threshold: float) -> DataFrame:
     """(e, t): terms that reveal an entity. `met` has e and t once per document that holds both, `entities` has e and n_e."""
     pairs = materialize(met.groupBy("e", "t").agg(F.count("*").alias("n_et")), "pairs")
     if pairs.isEmpty():
         return pairs.select("e", "t")
-    total = docs.count()
     both = pairs.join(term_counts(docs, pairs.select("t").distinct()), "t").join(entities, "e")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     disclosure = 1 + F.log2((F.col("n_et") + SMOOTHING * F.col("n_e") / F.lit(float(total))) / (F.col("n_t") + SMOOTHING)) / content
     return both.filter((content > 0) & (disclosure >= threshold)).select("e", "t")
 
 
+def _places(marked: DataFrame, gone: DataFrame) -> DataFrame:
+    """(row, terms): where the terms that go stand. gone: row and ts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = []
+            for held, ts in zip(b.column("held"), b.column("ts").to_pylist(), strict=True):
+                own = held.values
+                at = np.isin(own.field("t").to_numpy(), np.array(ts, np.int64))
+                terms.append(list(zip(own.field("s").to_numpy()[at].tolist(), own.field("z").to_numpy()[at].tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), _structs(terms, "sz").cast(to_arrow_type(_PLACES))], names=["row", "terms"])
+
+    return marked.join(gone, "row").select("row", "held", "ts").mapInArrow(run, T.StructType([T.StructField("row", T.LongType()), T.StructField("terms", _PLACES)]))
+
+
 def _found(numbered: DataFrame, threshold: float) -> DataFrame:
     """row, doc_id, the counts, base_sha256 and spans of every document (row, doc_id, text)."""
-    found = materialize(detect(numbered), "spans")
-    marked = found.filter(F.size("held") > 0)
-    met = marked.select("row", F.array_distinct("held.t").alias("ts"), F.explode("values").alias("e")).select("row", "e", F.explode("ts").alias("t"))
-    entities = found.select(F.explode("values").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    terms = materialize(disclosing_terms(numbered, met.select("e", "t"), entities, threshold), "terms")
-    places = marked.select("row", F.explode("held").alias("x")).select("row", "x.*").join(met.join(terms, ["e", "t"], "left_semi").select("row", "t").distinct(), ["row", "t"])
-    more = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("terms"))
+    stored = materialize(detect(numbered), "spans")
+    found = stored.filter("row is not null")
+    total = found.count()
+    valued = found.select("row", F.explode("values").alias("e"))
+    entities = materialize(valued.groupBy("e").agg(F.count("*").alias("n_e")), "entities")
+    es = valued.join(entities, "e").groupBy("row").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))  # a document's own values
+    held = found.filter(F.size("held") > 0).select("row", "held")
+    often = stored.filter("row is null").select(F.explode("often").alias("x")).select("x.*")
+    met = materialize(candidates(held.join(es, "row"), often, total, threshold), "met")
+    terms = disclosing_terms(numbered, met.select("e", "t"), entities, total, threshold)
+    gone = met.join(terms, ["e", "t"], "left_semi").groupBy("row").agg(F.collect_set("t").alias("ts"))
+    more = _places(held, gone)
     placed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("x")))
     gone = F.concat("secrets", F.coalesce("terms", F.array().cast("array<struct<s:bigint,z:bigint>>")))
     extra = F.transform(gone, lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).cast("long").alias("k"), F.concat_ws(":", F.lit("term"), t["s"].cast("string"), t["z"].cast("string")).alias("x")))
