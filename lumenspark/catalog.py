@@ -18,6 +18,7 @@ from lumenspark.functions import text as X
 from lumenspark.functions import tokens as K
 from lumenspark.operators import curate, evaluate, labels, preference, similar, split
 from lumenspark.operators.generate import generate
+from lumenspark.operators.generate import request_issues as request_checks
 from lumenspark.plans.spread import spread
 from lumenspark.sources import files
 from lumenspark.streaming import log
@@ -266,6 +267,74 @@ def curation_funnel(s, d):
     return curate.funnel_report(checked, curate.CHECKS, F.col("original_split") == "test")
 
 
+def _harder(s, d):
+    """The records, of which some lose a number in cleaning and some have a question beyond the length limit."""
+    k = F.col("number")
+    pre = F.when(k % 23 == 0, F.array(F.lit("sales rose 5 % ( 66 % ) .")))
+    asked = F.when((k % 29 == 0) & (k % 17 != 0), F.concat(F.lit("what is "), F.repeat(F.lit("very "), F.lit(1800)), F.lit("large ?")))
+    return _records(s, d).withColumns({"pre_text": F.coalesce(pre, "pre_text"), "question": F.coalesce(asked, "question")})
+
+
+_HARD = _REC.replace("k % 19 = 0 AS f_ground FROM r)", "k % 19 = 0 AS f_ground, k % 23 = 0 AS f_lost, k % 29 = 0 AND k % 17 <> 0 AS f_long, k % 5 = 0 AS f_empty FROM r)")
+_HARD_FIRST = "CASE WHEN f_structural THEN 'structural' WHEN f_lost THEN 'number_preservation' WHEN f_runs THEN 'program_executes' WHEN f_agree THEN 'answer_agreement' WHEN f_ground THEN 'grounding' WHEN f_long THEN 'length' END"
+
+
+@query(
+    _HARD
+    + f", f AS (SELECT {_HARD_FIRST} AS x FROM c WHERE k % 11 <> 0) SELECT 'in' AS step, count(*) AS n FROM f"
+    + "".join(f" UNION ALL SELECT 'dropped_{c}', count(*) FILTER (WHERE x = '{c}') FROM f" for c in curate.CHECKS)
+    + " UNION ALL SELECT 'out', count(*) FILTER (WHERE x IS NULL) FROM f"
+)
+def curation_funnel_all_checks(s, d):
+    checked = curate.run_checks(curate.clean_records(_harder(s, d)))
+    return curate.funnel_report(checked, curate.CHECKS, F.col("original_split") == "test")
+
+
+@query(_HARD + """ SELECT CASE WHEN k % 11 = 0 THEN 'test' ELSE 'pool' END AS "group", CASE WHEN f_empty THEN 'missing' WHEN f_agree THEN 'disagree' ELSE 'agree' END AS status, count(*) AS n FROM c GROUP BY ALL""")
+def answer_statuses(s, d):
+    return curate.status_counts(curate.run_checks(curate.clean_records(_harder(s, d))))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE k % 23 <> 0) AS b, count(*) FILTER (WHERE k % 23 = 0) AS c FROM r)
+SELECT rule, n FROM (SELECT 'space_before_punct' AS rule, a + b + c AS n FROM n UNION ALL SELECT 'dup_percent', c FROM n UNION ALL SELECT 'dropped_empty_sentence', b FROM n) WHERE n > 0"""
+)
+def sentence_rules(s, d):
+    return curate.sentence_totals(_harder(s, d), "pre_text", "post_text")
+
+
+@query("SELECT l_orderkey AS number, (count(*) + 1)::INT AS width FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1")
+def raw_tables(s, d):
+    records = _records(s, d)
+    joined = curate.with_raw_table(records.drop("table"), records.filter("number % 3 <> 0"))
+    return joined.select("number", F.size(F.col("raw_table")[1]).alias("width"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS number, sum(floor(l_quantity))::BIGINT AS t FROM lineitem GROUP BY 1)
+SELECT number, 'Answer: ' || CASE WHEN number % 7 = 0 THEN t + 5 WHEN number % 19 = 0 THEN 0 ELSE t END AS answer FROM r"""
+)
+def rendered_answers(s, d):
+    out = curate.with_response(_records(s, d).withColumn("raw_table", F.col("table")))
+    return out.select("number", F.split_part("response", F.lit("\n\n"), F.lit(2)).alias("answer"))
+
+
+@query(
+    """SELECT l_orderkey || '-' || l_linenumber AS id, 'tatqa' AS dataset, '' AS program, floor(l_quantity)::BIGINT || CASE WHEN l_linenumber % 2 = 0 THEN '%' ELSE ' million' END AS answer,
+md5('| a/b |' || chr(10) || '| --- |' || chr(10) || chr(10) || 'paid ' || l_linenumber || chr(10) || chr(10) || 'Question: how much?') AS user_md5, 'Answer: ' || floor(l_quantity)::BIGINT || CASE WHEN l_linenumber % 2 = 0 THEN '%' ELSE ' million' END AS reply FROM lineitem"""
+)
+def span_examples(s, d):
+    rows = table(s, d, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.lit("how much?").alias("question"),
+        F.array(F.array(F.lit("a|b"))).alias("table"),
+        F.array(F.concat(F.lit("paid "), F.col("l_linenumber").cast("string"))).alias("paragraphs"),
+        F.array(F.floor("l_quantity").cast("string")).alias("answer"),
+        F.when(F.col("l_linenumber") % 2 == 0, "percent").otherwise("million").alias("scale"),
+    )
+    return curate.span_examples(rows, "Answer.").select("id", "dataset", "program", "answer", F.md5(F.col("messages")[1]["content"]).alias("user_md5"), F.col("messages")[2]["content"].alias("reply"))
+
+
 @query("WITH r AS (SELECT DISTINCT l_orderkey AS k FROM lineitem) SELECT label, n FROM (SELECT 'empty_question' AS label, count(*) FILTER (WHERE k % 17 = 0) AS n FROM r UNION ALL SELECT 'empty_answer_text', count(*) FILTER (WHERE k % 5 = 0) FROM r UNION ALL SELECT 'unparsed_report_id', count(*) FILTER (WHERE k % 13 = 0) FROM r) WHERE n > 0")
 def record_issues(s, d):
     return curate.label_counts(_records(s, d).withColumn("issues", curate.structural_issues()), "issues")
@@ -395,6 +464,35 @@ def rescore(s, d):
     return evaluate.rescore(rows.select("id", F.col("strict").alias("correct")), rows.select("id", "correct"), "id")
 
 
+@query(
+    """WITH o AS (SELECT l_orderkey % 4 AS k, l_linenumber % 2 = 0 AS yes, l_linenumber % 3 <> 0 AS fine FROM lineitem), x AS (SELECT k, fine, CASE k WHEN 1 THEN 0 WHEN 3 THEN yes::INT ELSE 1 END AS c, CASE k WHEN 0 THEN 1 WHEN 3 THEN yes::INT ELSE 0 END AS s, CASE k WHEN 3 THEN yes::INT ELSE 1 END AS l FROM o)
+SELECT count(*) AS n, round(avg(c), 4) AS accuracy, round(avg(s), 4) AS accuracy_strict_sign, round(avg(l), 4) AS accuracy_lenient, round(avg(c) FILTER (WHERE k = 3), 4) AS accuracy_yes_no, round(avg(c) FILTER (WHERE fine), 4) AS accuracy_label_consistent FROM x"""
+)
+def accuracy_report(s, d):
+    k = F.col("l_orderkey") % 4
+    rows = table(s, d, "lineitem", heavy=True).select(
+        F.when(k == 0, "Answer: 12").when(k == 1, "Answer: 1004").when(k == 2, "it declined 5").otherwise("Answer: Yes").alias("output"),
+        F.when(k == 0, 12.0).when(k == 1, 1000.0).when(k == 2, -5.0).alias("gold_num"),
+        F.when(k == 3, F.when(F.col("l_linenumber") % 2 == 0, "yes").otherwise("no")).alias("gold_word"),
+        F.lit("how much?").alias("question"),
+        (F.col("l_linenumber") % 3 != 0).alias("label_consistent"),
+    )
+    return evaluate.accuracy_report(rows)
+
+
+@query("SELECT coalesce(lang, '-') AS bucket, count(*) AS n, round(avg((quality = 1)::INT), 4) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def accuracy_by_type(s, d):
+    rows = table(s, d, "labels").select("doc_id", (F.col("quality") == 1).alias("correct")).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.accuracy_by(rows, F.coalesce("lang", F.lit("-")))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list_filter([CASE WHEN mx > 2 THEN 'max_tokens' END, CASE WHEN lst <> 'user' THEN 'last_turn_not_user' END], lambda x: x IS NOT NULL)), ',') AS issues FROM (SELECT conv_id, conv_id % 4 AS mx, arg_max(role, turn) AS lst FROM conversations GROUP BY conv_id)")
+def request_issues(s, d):
+    turns = table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    issues = request_checks(F.when(F.col("conv_id") % 4 > 2, 2000).otherwise(256), F.col("turns"))
+    return turns.select("conv_id", F.array_join(F.array_sort(issues), ",").alias("issues"))
+
+
 @query(
     """SELECT l_orderkey, l_linenumber, CASE l_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE l_linenumber % 2 = 0 END AS correct FROM lineitem"""
 )
@@ -479,16 +577,9 @@ def components_keep_one(s, d):
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def contamination_anti(s, d):
-    """Documents that hold no benchmark text whole. Five inner words of an item find candidates by an equi-join."""
+    """Documents that hold no benchmark text whole."""
     docs, items = table(s, d, "documents", heavy=True).select("doc_id", "text"), table(s, d, "benchmark").select(F.col("text").alias("item")).distinct()
-    words = F.split("item", r"\s+")
-    keyed = items.filter(F.size(words) >= 7).select("item", F.xxhash64(F.array_join(F.slice(words, 2, 5), " ")).alias("key"))
-    w = F.split("text", r"\s+")
-    grams = F.array_distinct(F.transform(F.when(F.size(w) >= 5, F.sequence(F.lit(1), F.size(w) - 4)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))
-    near = docs.withColumn("w", w).select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "item").distinct()
-    found = near.join(docs, "doc_id").filter(F.contains("text", F.col("item"))).select("doc_id")  # texts of candidates only
-    found = found.unionAll(similar.holding(docs, items.filter(F.size(words) < 7)))
-    return docs.select("doc_id").join(found.distinct(), "doc_id", "left_anti")
+    return docs.select("doc_id").join(similar.holding(docs, items), "doc_id", "left_anti")
 
 
 @query()
@@ -629,7 +720,16 @@ def event_windows(s, d):
 
 @query()
 def source_manifest(s, d):
-    return files.manifest(s, f"{d}/region.parquet").select("bytes", "sha256")
+    """Every file of the folder."""
+    return files.manifest(s, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+
+
+@query("SELECT (SELECT count(*) FROM conversations WHERE role = 'user') AS nested, (SELECT count(*) FROM documents) AS plain")
+def record_counts(s, d):
+    nested = files.count_records(table(s, d, "conversations").withColumn("questions", F.when(F.col("role") == "user", F.array("turn"))), "questions")
+    plain = files.count_records(table(s, d, "documents"))
+    sums = nested.select(F.col("records").alias("nested"), F.lit(0).cast("long").alias("plain")).unionByName(plain.select(F.lit(0).cast("long").alias("nested"), F.col("records").alias("plain")))
+    return sums.agg(F.sum("nested").alias("nested"), F.sum("plain").alias("plain"))
 
 
 @query()
@@ -637,6 +737,21 @@ def source_registry(s, d):
     return files.registry(s)
 
 
+@query(
+    "SELECT 'tile' AS section, 'documents' AS name, '' AS key, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'tile', 'labels', '', count(*)::DOUBLE FROM labels"
+    " UNION ALL SELECT 'funnel', 'labels', step, n::DOUBLE FROM (SELECT 'in' AS step, count(*) AS n FROM labels UNION ALL SELECT 'dropped_low_quality', count(*) FILTER (WHERE quality = 0) FROM labels UNION ALL SELECT 'out', count(*) FILTER (WHERE coalesce(quality, 1) <> 0) FROM labels)"
+    " UNION ALL SELECT 'series', source, '0.5', round(avg(n_chars), 3) FROM documents GROUP BY source"
+    " UNION ALL SELECT 'split', split, k, v FROM (SELECT o_orderstatus AS split, count(*)::DOUBLE AS examples, max(floor(o_totalprice / 100))::DOUBLE AS largest FROM orders GROUP BY 1) UNPIVOT (v FOR k IN (examples, largest))"
+)
+def report_roll_up(s, d):
+    docs, told = table(s, d, "documents"), table(s, d, "labels")
+    tiles = {"documents": docs.agg(F.count("*").alias("n")), "labels": told.agg(F.count("*").alias("n"))}
+    checked = curate.funnel(told, {"low_quality": F.coalesce(F.col("quality") == 0, F.lit(False))})
+    series = docs.groupBy(F.col("source").alias("rule")).agg(F.round(F.avg("n_chars"), 3).alias("f1")).withColumn("threshold", F.lit(0.5))
+    splits = table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("split")).agg(F.count("*").alias("examples"), F.max(F.floor(F.col("o_totalprice") / 100)).alias("largest"))
+    return evaluate.roll_up(tiles, {"labels": curate.funnel_report(checked, ["low_quality"])}, series, splits)
+
+
 # --- chats, tables and tokens
 
 _HEAD = "'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10)"
@@ -743,6 +858,65 @@ def preference_pairs(s, d):
     return preference.build_pairs(samples, prompts, 10**9, SEED).select("id", F.trim("rejected").alias("rejected"), F.trim("chosen").alias("chosen"), "chosen_source")
 
 
+_CAPPED = (
+    f"WITH {_UNIQUE}, wr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY NOT contains(lower(t), 'answer:'), md5(id || '#' || pos || '#11'), pos) - 1 AS i FROM u WHERE NOT correct QUALIFY i < 2),"
+    " room AS (SELECT greatest(0, (SELECT count(DISTINCT l_orderkey) FROM lineitem) - count(*) FILTER (WHERE i = 0)) AS n FROM wr),"
+    " pr AS (SELECT id, i, t, id IN (SELECT id FROM u WHERE correct) AS sampled FROM wr QUALIFY i = 0 OR row_number() OVER (PARTITION BY i ORDER BY id) <= (SELECT n FROM room))"
+)
+
+
+def _capped(s, d):
+    samples = _samples(s, d)
+    prompts = samples.select("id", F.lit("reference").alias("reference"), F.lit("1").alias("answer"))
+    return preference.build_pairs(samples, prompts, samples.count(), SEED)
+
+
+@query(_CAPPED + " SELECT id || '#' || i AS id, t AS rejected FROM pr")
+def preference_pairs_capped(s, d):
+    """A target that second pairs fill only in part."""
+    return _capped(s, d).select("id", F.trim("rejected").alias("rejected"))
+
+
+@query(_CAPPED + " SELECT count(*) AS pairs, count(DISTINCT id) AS prompts_with_pairs, count(*) FILTER (WHERE i > 0) AS second_pairs_used, count(*) FILTER (WHERE sampled) AS chosen_sampled, count(*) FILTER (WHERE NOT sampled) AS chosen_reference, count(*) FILTER (WHERE contains(lower(t), 'answer:')) AS rejected_has_answer_line, (SELECT count(DISTINCT l_orderkey) FROM lineitem) - (SELECT count(DISTINCT id) FROM wr) AS no_pair_all_correct FROM pr")
+def pair_report(s, d):
+    report, none = preference.pair_report(_capped(s, d)), preference.unpaired(_samples(s, d))
+    return report.withColumn("k", F.lit(1)).join(none.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
+
+
+_CODES = "list_transform(string_split({0}, ''), lambda x: ord(x))"
+_HEADER = "'<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)"
+
+
+def _letters(texts: list[str]) -> list[list[int]]:
+    return [[ord(c) for c in t] for t in texts]
+
+
+_MARK = [ord(c) for c in "<|start_header_id|>assistant<|end_header_id|>\n\n"]
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, {_HEADER} || 'first' || {_HEADER} AS h, 'Answer: ' || floor(l_quantity)::BIGINT AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, (length(h) + length(a))::INT AS n, array_to_string(list_concat(list_transform(range(length(h)), lambda x: -100), {_CODES.format('a')}), ',') AS labels FROM x"""
+)
+def tokenized_examples(s, d):
+    head = "<|start_header_id|>assistant<|end_header_id|>\n\n"
+    text = F.concat(F.lit(head + "first" + head), F.lit("Answer: "), F.floor("l_quantity").cast("string"))
+    out = K.tokenize_examples(table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", text.alias("text")), "text", K.encoder(_letters), _MARK)
+    return out.select("l_orderkey", "l_linenumber", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n"), F.array_join("labels", ",").alias("labels"))
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, '<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || 'why?<|eot_id|>' || {_HEADER} AS h, 'Answer: ' || floor(l_quantity)::BIGINT || '<|eot_id|>' AS c, 'no<|eot_id|>' AS r FROM lineitem)
+SELECT l_orderkey, l_linenumber, (length(h) + length(c))::INT AS n_chosen, array_to_string({_CODES.format('c')}, ',') AS chosen, (length(h) + length(r))::INT AS n_rejected FROM x"""
+)
+def tokenized_pairs(s, d):
+    turn = lambda role, c: F.array(F.struct(F.lit(role).alias("role"), c.alias("content")))
+    pairs = table(s, d, "lineitem", heavy=True).select("l_orderkey", "l_linenumber", turn("user", F.lit("why?")).alias("prompt"), turn("assistant", F.concat(F.lit("Answer: "), F.floor("l_quantity").cast("string"))).alias("chosen"), turn("assistant", F.lit("no ")).alias("rejected"))
+    out = K.tokenize_pairs(pairs, K.encoder(_letters), _MARK)
+    own = F.filter("chosen_labels", lambda x: x != K.IGNORE)
+    return out.select("l_orderkey", "l_linenumber", F.size("chosen_input_ids").alias("n_chosen"), F.array_join(own, ",").alias("chosen"), F.size("rejected_labels").alias("n_rejected"))
+
+
 # --- label sheets, split reports, hooks
 
 _DRAWN = (

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lumenspark.functions.render import chat
 
 IGNORE = -100
 
@@ -27,6 +33,35 @@ def response_labels(ids: Column, header: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(IGNORE), cut), F.slice(ids, cut + 1, F.size(ids)))
 
 
+def encoder(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
+    """A Column function from texts to token ids by encode(list of texts), over Arrow batches; null texts are empty."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.array(encode(["" if t is None else t for t in texts.to_pylist()]), pa.list_(pa.int32()))
+
+    return ids
+
+
+def tokenize_examples(df: DataFrame, text: str, ids: Callable[[Column], Column], header: list[int], response_only: bool = True) -> DataFrame:
+    """df with input_ids, attention_mask and labels of chat texts; only the last response has labels, or all of the text."""
+    out = df.withColumn("input_ids", ids(F.col(text)))
+    labels = response_labels(F.col("input_ids"), F.array(*map(F.lit, header))) if response_only else F.col("input_ids")
+    return out.withColumns({"attention_mask": F.transform("input_ids", lambda x: F.lit(1)), "labels": labels})
+
+
+def tokenize_pairs(pairs: DataFrame, ids: Callable[[Column], Column], header: list[int]) -> DataFrame:
+    """pairs with ids and labels of both sides, the prompt's turns and the response as one chat each.
+
+    pairs: prompt, chosen, rejected, arrays of struct(role, content).
+    """
+    out = pairs
+    for side in ("chosen", "rejected"):
+        out = out.withColumn(f"{side}_input_ids", ids(chat(F.concat("prompt", side))))
+        out = out.withColumn(f"{side}_labels", response_labels(F.col(f"{side}_input_ids"), F.array(*map(F.lit, header))))
+    return out
+
+
 def pad(ids: Column, width: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(width - F.size(ids), F.lit(0))))
 

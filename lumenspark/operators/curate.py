@@ -220,6 +220,22 @@ def examples(df: DataFrame, split: str, system: str) -> DataFrame:
     )
 
 
+def span_examples(df: DataFrame, system: str) -> DataFrame:
+    """The projection of records with answer spans: no program, the spans as result, the shown answer and messages."""
+    shown = R.display_answer(F.col("answer"), F.col("scale"))
+    user = R.paragraph_prompt(F.col("table"), F.col("paragraphs"), F.col("question"))
+    return df.select(
+        "id",
+        F.lit("tatqa").alias("dataset"),
+        "question",
+        F.lit("").alias("program"),
+        F.col("answer").alias("exe_ans"),
+        shown.alias("answer"),
+        *[c for c in ("answer_type", "answer_from", "scale") if c in df.columns],
+        R.messages(F.lit(system), user, F.concat(F.lit("Answer: "), shown)).alias("messages"),
+    )
+
+
 def with_response(df: DataFrame) -> DataFrame:
     """response: the executed calculation as text, null where the program can't be executed; and table_values, the row
     that each table step reads. Uses raw_table."""

@@ -176,6 +176,18 @@ def split_report(examples: DataFrame, max_tokens: int) -> DataFrame:
     return sums.join(ranked_values(examples, "seq_tokens", ["split"], {"seq_tokens_median": F.floor(F.col("n") / 2)}), "split", "left")
 
 
+def roll_up(tiles: dict[str, DataFrame], funnels: dict[str, DataFrame], series: DataFrame, splits: DataFrame) -> DataFrame:
+    """(section, name, key, value) of a dataset report: tiles (one-row counts n), funnel steps (step, n), detector series
+    (rule, threshold, f1) and split reports (split and numeric columns)."""
+    parts = [df.select(F.lit("tile").alias("section"), F.lit(n).alias("name"), F.lit("").alias("key"), F.col("n").cast("double").alias("value")) for n, df in tiles.items()]
+    parts += [df.select(F.lit("funnel").alias("section"), F.lit(n).alias("name"), F.col("step").alias("key"), F.col("n").cast("double").alias("value")) for n, df in funnels.items()]
+    parts.append(series.select(F.lit("series").alias("section"), F.col("rule").alias("name"), F.col("threshold").cast("string").alias("key"), F.col("f1").cast("double").alias("value")))
+    numbers = [c for c in splits.columns if c != "split"]
+    cells = splits.select("split", *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot("split", numbers, "key", "value")
+    parts.append(cells.select(F.lit("split").alias("section"), F.col("split").alias("name"), "key", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def step_histogram(examples: DataFrame) -> DataFrame:
     """(split, steps, n): programs by their opening parentheses."""
     return examples.groupBy("split", F.regexp_count("program", F.lit(r"\(")).alias("steps")).agg(F.count("*").alias("n"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def generate(prompts: DataFrame, generator: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
     """(id, output) of generator(list of prompts) for each row of id, prompt.
 
-    Longest prompts come first within a partition, so that a batch holds prompts of like length and one that doesn't
+    Longest prompts come first, over all partitions, so that a batch holds prompts of like length and one that doesn't
     fit into memory fails early. Null prompts are empty; an empty table gives no rows.
     """
     kind = prompts.schema["id"].dataType.simpleString()
@@ -27,4 +27,13 @@ def generate(prompts: DataFrame, generator: Callable[[list[str]], list[str]], ba
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "output": out})
 
     rows = prompts.select("id", F.coalesce("prompt", F.lit("")).alias("prompt"))
-    return rows.sortWithinPartitions(F.desc(F.length("prompt")), "id").mapInPandas(run, f"id {kind}, output string")
+    order = [F.desc(F.length("prompt")), F.col("id")]
+    parts = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, f"id {kind}, output string")
+
+
+def request_issues(max_tokens: Column, turns: Column) -> Column:
+    """What is wrong with a request, in order: max_tokens outside of 1 to 1024, or a last turn that isn't the user's."""
+    last = F.try_element_at(turns, F.lit(-1))["role"]
+    found = {"max_tokens": ~F.coalesce(max_tokens.between(1, 1024), F.lit(False)), "last_turn_not_user": F.coalesce(last != "user", F.lit(True))}
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))

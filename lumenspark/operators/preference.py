@@ -61,6 +61,24 @@ def build_pairs(samples: DataFrame, prompts: DataFrame, target: int, seed: int)
     return pairs.filter("i = 0").unionByName(second)
 
 
+def unpaired(samples: DataFrame) -> DataFrame:
+    """One row, no_pair_all_correct: prompts whose distinct outputs are all right, or that have none."""
+    wrong = distinct_outputs(samples).filter("not correct").select("id").distinct()
+    return samples.join(wrong, "id", "left_anti").agg(F.count("*").alias("no_pair_all_correct"))
+
+
+def pair_report(pairs: DataFrame) -> DataFrame:
+    """One row: pairs, prompts with pairs, second pairs, pairs by the source of the chosen side, rejected answer lines."""
+    return pairs.agg(
+        F.count("*").alias("pairs"),
+        F.count_distinct("source_id").alias("prompts_with_pairs"),
+        F.count_if(F.col("i") > 0).alias("second_pairs_used"),
+        F.count_if(F.col("chosen_source") == "sampled").alias("chosen_sampled"),
+        F.count_if(F.col("chosen_source") == "reference").alias("chosen_reference"),
+        F.count_if("rejected_has_answer_line").alias("rejected_has_answer_line"),
+    )
+
+
 def broken_pairs(pairs: DataFrame, chosen_right, rejected_right) -> DataFrame:
     """Pairs whose chosen side is scored wrong or whose rejected one is scored right; empty for a sound table."""
     return pairs.filter(~chosen_right | rejected_right)

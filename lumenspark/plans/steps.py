@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.functions.text import strip
@@ -39,6 +40,25 @@ def run_steps(steps: list[Step], report: Callable[[dict[str, str]], object] = la
     return status
 
 
+def has_lines(spark: SparkSession, path: str, n: int) -> bool:
+    """Whether a text file or folder is there and holds n lines: a step's completeness test."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) and spark.read.text(path).limit(n).count() >= n
+
+
+class Throttled:
+    """A report() for run_steps that calls `send` once in `every` seconds at most, and always when no step is pending."""
+
+    def __init__(self, send: Callable[[dict[str, str]], object], every: float = 300, clock: Callable[[], float] = time.monotonic):
+        self.send, self.every, self.clock, self.last = send, every, clock, None
+
+    def __call__(self, status: dict[str, str]) -> None:
+        now = self.clock()
+        if self.last is None or now - self.last >= self.every or "pending" not in status.values():
+            self.send(status)
+            self.last = now
+
+
 def log_tail(lines: DataFrame, noise: list[str], n: int = 6, width: int = 200) -> DataFrame:
     """The last n lines (line, text) that are neither blank nor hold a noise word, their last `width` characters."""
     told = lines.filter(F.length(strip(F.col("text"))) > 0)

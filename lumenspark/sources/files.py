@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,28 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def count_records(rows: DataFrame, nested: str | None = None) -> DataFrame:
+    """(path, records) of every file that rows come from; with `nested`, the elements of that array column count."""
+    one = F.count("*") if nested is None else F.coalesce(F.sum(F.coalesce(F.size(nested), F.lit(0))), F.lit(0))
+    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(one.cast("long").alias("records"))
+
+
+def source_manifest(spark: SparkSession, sources: dict[str, dict]) -> DataFrame:
+    """One row per source and split: what its registry entry says, url, path, bytes, sha256 and records.
+
+    sources: name to role, homepage, revision, licenses, citation, schema, nested (a column or None) and files, which maps
+    a split to (url, path). Files are small enough to be read whole, as JSON arrays are anyway.
+    """
+    parts = []
+    for name, x in sources.items():
+        told = [F.lit(name).alias("name"), *[F.lit(x[c]).alias(c) for c in ("role", "homepage", "revision", "citation")], F.array(*map(F.lit, x["licenses"])).alias("licenses")]
+        for split, (url, path) in x["files"].items():
+            raw = spark.read.schema(x["schema"]).option("multiLine", True).json(path)
+            both = manifest(spark, path).join(count_records(raw, x["nested"]).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left")
+            parts.append(both.select(*told, F.lit(split).alias("split"), F.lit(url).alias("url"), "path", "bytes", "sha256", F.coalesce("records", F.lit(0)).alias("records")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def write_sheet(pairs: DataFrame, path: str) -> None:
     """A label sheet as CSV with a byte-order mark in its first header, its named columns in order."""
     pairs.select(*[pairs[f"`{c}`"] for c in SHEET]).withColumnRenamed(SHEET[0], "﻿" + SHEET[0]).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
@@ -81,20 +105,43 @@ def load_runs(spark: SparkSession, path: str, phase: str | None = None) -> DataF
     return (runs.filter(F.col("phase") == phase) if phase else runs).orderBy("run_id")
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """Each row as one pretty-printed JSON text, non-ASCII kept. For reports of a few rows."""
+    df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("json")).coalesce(1).write.mode("overwrite").text(path)
+
+
+#: A page that shows the tables of a report: its data is an object of arrays of objects.
+TEMPLATE = """<!doctype html><meta charset="utf-8"><title>Dataset report</title><body><script type="application/json" id="data">__DATA__</script>
+<script>for (const [name, rows] of Object.entries(JSON.parse(document.getElementById("data").textContent))) {
+  const t = document.body.appendChild(document.createElement("table")); t.createCaption().textContent = name;
+  for (const r of rows) { const tr = t.insertRow(); for (const [k, v] of Object.entries(r)) tr.insertCell().textContent = k + ": " + v; }
+}</script>"""
+
+
 def html_report(template: str, data: str) -> str:
     """The template with the JSON put in for its placeholder; closing tags inside the data are escaped."""
     return template.replace("__DATA__", data.replace("</", "<\\/"))
 
 
+def report_page(sections: dict[str, DataFrame], template: str = TEMPLATE) -> str:
+    """A page of named aggregates of a few rows each."""
+    return html_report(template, json.dumps({name: [json.loads(r["json"]) for r in report_json(df).collect()] for name, df in sections.items()}, ensure_ascii=False))
+
+
 def calibration_text(rows: DataFrame, text: str, order: str, n: int = 200) -> DataFrame:
     """The first n texts as one, blank lines between them."""
     first = rows.orderBy(order).limit(n)
     return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-#: Sources by name: role, format and the schema to read them with.
-REGISTRY = {"program_records": ("curation", "json array", PROGRAM_RECORD), "span_records": ("evaluation", "json array", SPAN_RECORD)}
+#: Sources by name: role, format, licences and the schema to read them with. Addresses, revisions and files are the user's.
+REGISTRY = {
+    "program_records": ("training, preference pairs and evaluation", "json array", ["MIT", "CC-BY-4.0"], None, PROGRAM_RECORD),
+    "span_records": ("evaluation only", "json array", ["CC-BY-4.0"], "questions", SPAN_RECORD),
+}
 
 
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, r, f, s) for k, (r, f, s) in REGISTRY.items()], "name string, role string, format string, schema string")
+    """One row per kind of source: name, role, format, licenses, nested (the array whose elements are records) and schema."""
+    rows = [(name, *x) for name, x in REGISTRY.items()]
+    return spark.createDataFrame(rows, "name string, role string, format string, licenses array<string>, nested string, schema string")

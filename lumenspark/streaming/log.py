@@ -33,5 +33,20 @@ def event_windows(events: DataFrame, length: str = "1 hour", late: str = "10 min
     return events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def watch_checkpoints(spark: SparkSession, source: str, schema: T.StructType | str, checkpoint: str, act: Callable[[dict], object], every: str | None = None, fmt: str = "json"):
+    """A query that calls act(row) with the newest checkpoint of what arrives in `source` (it has a column step), once for
+    each that is newer than all before it. `every` polls at that interval; without it, what has arrived is read once."""
+    best: list[int] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        found = newest_checkpoint(rows).first()
+        if found and found["step"] is not None and (not best or found["step"] > best[-1]):
+            best.append(found["step"])
+            act(found.asDict())
+
+    stream = spark.readStream.schema(schema).format(fmt).load(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+
+
 def newest_checkpoint(steps: DataFrame) -> DataFrame:
     return steps.agg(F.max_by(F.struct(*steps.columns), "step").alias("x")).select("x.*")
