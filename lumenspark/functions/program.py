@@ -109,11 +109,11 @@ def _run(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
         x, y = (np.where(to[at] == -1, value[at], np.where((to[at] >= 0) & (to[at] < k), num[starts[rows] + np.clip(to[at], 0, k)], np.nan)) for value, to in sides)
         for i in np.unique(kind[at]).tolist():
             name, here = kinds[i], np.flatnonzero(kind[at] == i)
+            known = here[~(np.isnan(x[here]) | np.isnan(y[here]))]
             if name in _ARITHMETIC:
                 with np.errstate(all="ignore"):
-                    num[at[here]] = _ARITHMETIC[name](x[here], y[here])
+                    num[at[known]] = _ARITHMETIC[name](x[known], y[known])
             elif name == "greater":
-                known = here[~(np.isnan(x[here]) | np.isnan(y[here]))]
                 word[at[known]] = np.where(x[known] > y[known], 1, 2)
             elif name in _OF_TABLE:
                 heads = a1.take(pa.array(at[here])).to_pylist()
