@@ -312,7 +312,7 @@ def _found(numbered: DataFrame, threshold: float) -> DataFrame:
     held = found.filter(F.size("held") > 0).select("row", "held")
     often = stored.filter("row is null").select(F.explode("often").alias("x")).select("x.*")
     met = materialize(candidates(held.join(es, "row"), often, total, threshold), "met")
-    terms = disclosing_terms(numbered, met.select("e", "t"), entities, total, threshold)
+    terms = materialize(disclosing_terms(numbered, met.select("e", "t"), entities, total, threshold), "terms")
     gone = met.join(terms, ["e", "t"], "left_semi").groupBy("row").agg(F.collect_set("t").alias("ts"))
     more = _places(held, gone)
     placed = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("x")))
