@@ -82,9 +82,9 @@ def distinct_pieces(pieces: pa.ListArray) -> tuple[list[str], np.ndarray, np.nda
     return joined.split(" "), found.indices.to_numpy().astype(np.int64), ends
 
 
-def gather(values: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(values: list[bytes] | pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[places] in one buffer, and the ends of the single values in it."""
-    every = pa.array(values, pa.large_binary()).take(pa.array(places))
+    every = (values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())).take(pa.array(places))
     offsets = np.frombuffer(every.buffers()[1], np.int64)[every.offset : every.offset + len(every) + 1]
     data = np.frombuffer(every.buffers()[2], np.uint8) if every.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lumenspark.llm.batches import Recent, distinct_pieces, gather, map_arrays
 from lumenspark.llm.op2_arrow_ids import byte_letters
 
-SLICE = 8_000_000
+SLICE = 4_000_000
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PRE_TOKENIZER = {
@@ -103,9 +103,13 @@ class Bpe:
         self.normalizer, self.pre = library.normalizer, library.pre_tokenizer
         self.joint = "" if library.decoder is not None else " "
         self.library_decode = library.decoder.decode if library.decoder is not None else None
-        self.pieces, self.words = Recent(), Recent(128_000_000)
+        self.pieces, self.words = Recent(136_000_000), Recent(64_000_000)
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.shown = {i: (b" %d" % i, (self.joint + s).encode()) for i, s in self.string.items()}
+        n = max(self.string) + 1
+        self.width = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # each id as digits and as its string, behind a separator
+        self.digits = pa.array([b" %d" % i for i in range(n)], pa.large_binary())
+        self.strings = pa.array([(self.joint + self.string[i]).encode() if i in self.string else b"" for i in range(n)], pa.large_binary())
         #: Pieces of these characters take the short way if the file's steps are the ones that _SHORT stands for.
         self.short = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and all("<|" in x for x in self.special)
 
@@ -127,15 +131,10 @@ class Bpe:
                     out += self.word(w)
         return out
 
-    def _show(self, ids: list[int]) -> tuple[bytes, bytes]:
-        """The ids as digits and their strings, each behind its separator."""
-        got = [self.shown[i] for i in ids]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [np.array(self.word(w), self.width).tobytes() for w in "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])]
 
-    def _words(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        return [self._show(self.word(w)) for w in "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])]
-
-    def _unknown(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+    def _unknown(self, pieces: list[str]) -> list[bytes]:
         plain = [self.short and _PLAIN.fullmatch(p) is not None and "<|" not in p for p in pieces]
         easy = [p for p, fine in zip(pieces, plain, strict=True) if fine]
         values = []
@@ -145,47 +144,40 @@ class Bpe:
             words = list(dict.fromkeys(flat))
             words.remove(" ")
             at = {w: i for i, w in enumerate(words)} | {" ": len(words)}
-            found = [*self.words.find(words, self._words, _size), (b"", b"")]
             places = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-            last = np.flatnonzero(places == len(words))
-            sides = []
-            for side in (0, 1):
-                data, ends = gather([f[side] for f in found], places)
-                data, bounds = data.tobytes(), [0, *ends[last].tolist()]
-                sides.append([data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)])
-            values = list(zip(*sides, strict=True))
+            data, ends = gather([*self.words.find(words, self._words), b""], places)
+            data, bounds = data.tobytes(), [0, *ends[places == len(words)].tolist()]
+            values = [data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
         if len(easy) == len(pieces):
             return values
         given = iter(values)
-        return [next(given) if fine else self._show(self.chunk(p)) for p, fine in zip(pieces, plain, strict=True)]
+        return [next(given) if fine else np.array(self.chunk(p), self.width).tobytes() for p, fine in zip(pieces, plain, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         tokens = [self.string[i] for i in ids if i in self.string]
         return self.library_decode(tokens) if self.library_decode else self.joint.join(tokens)
 
-    def encode(self, texts: pa.Array, decoded: bool = True) -> tuple[tuple[bytes, np.ndarray], ...]:
-        """The ids of all texts as digits behind spaces, and the decoded texts if wanted: bytes, and where each text ends."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's end."""
         pieces, places, ends = distinct_pieces(_cut(texts))
-        found = self.pieces.find(pieces, self._unknown, _size)
-        out = []
-        for side in range(1 + decoded):
-            data, upto = gather([f[side] for f in found], places)
-            out.append((data.tobytes(), np.concatenate([[0], upto])[ends]))
-        return tuple(out)
+        data, upto = gather(self.pieces.find(pieces, self._unknown), places)
+        return data.view(self.width), np.concatenate([[0], upto])[ends] // self.width.itemsize
 
     def digests(self, texts: pa.Array) -> list[list]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
-        sides = self.encode(texts, self.library_decode is None)
-        ids = [data[a + 1 : b] for data, ends in sides[:1] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-        if self.library_decode is None:
-            shown = [data[min(a + len(self.joint), b) : b] for data, ends in sides[1:] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-        else:
-            shown = [self.decode([int(i) for i in x.split()]).encode("utf-8", "replace") for x in ids]
-        return [[x.count(b" ") + 1 if x else 0 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in shown]]
+        ids, ends = self.encode(texts)
+        sizes = np.diff(ends, prepend=0)
 
+        def parts(values: pa.Array, skip: int) -> list[bytes]:
+            data, upto = gather(values, ids)
+            bounds, data = np.concatenate([[0], upto])[np.concatenate([[0], ends])].tolist(), data.tobytes()
+            return [data[min(a + skip, b) : b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-def _size(value: tuple[bytes, bytes]) -> int:
-    return 120 + len(value[0]) + len(value[1])
+        if self.library_decode is None:
+            shown = parts(self.strings, len(self.joint))
+        else:
+            shown = [self.decode(x.tolist()).encode("utf-8", "replace") for x in np.split(ids, ends[:-1])]
+        return [sizes, [hashlib.sha256(x).hexdigest() for x in parts(self.digits, 1)], [hashlib.sha256(x).hexdigest() for x in shown]]
 
 
 def _cut(texts: pa.Array) -> pa.ListArray:
@@ -214,7 +206,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids, for writers of token files."""
 
     def run(texts: pa.Array) -> list[list]:
-        (data, ends), = model(tokenizer).encode(texts, False)
-        return [[[int(i) for i in data[a:b].split()] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]]
+        ids, ends = model(tokenizer).encode(texts)
+        return [[x.tolist() for x in np.split(ids, ends[:-1])]]
 
     return map_arrays(docs, ["doc_id"], "text", [T.StructField("ids", T.ArrayType(T.IntegerType()))], run, SLICE)
