@@ -28,12 +28,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder, or to `path`, and read it back.
 
     checkpoint() would compute an uncached plan twice; a written table is computed once and survives lost executors.
     """
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     _written.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
