@@ -6,14 +6,18 @@ first 2^k lines: equal ranks are the intervals of the suffix array whose common
 pairs of ranks (place, place + 2^k) give the next round's. Places whose prefix is unique leave the sort.
 
 A run of l lines is named exactly by the ranks of its first and last 2^k lines (2^k <= l). Each place has two shortest
-runs of MIN_WORDS words, one that begins there and one that ends there; every maximal repeated run of that many words is
-the union of such runs inside it. Runs of equal names are the interval of the suffix array whose longest common prefix is
-as long as the run or longer; all its members but the first, by (doc_id, row, line), are deleted.
-
-Doubling goes on to the longest such run, not to the longest repeat: a place belongs to an interval of a longer common
-prefix only if it belongs to the one of its shortest run, and the members of the longer one are deleted run by run. So the
-array ordered by MIN_WORDS lines (a line counts as one word at least) gives the same deletions as the whole one, in
-log2(MIN_WORDS) rounds whatever the length of the corpus or of its repeats. The first copy of every run always stays.
+runs of MIN_WORDS words, one that begins there and one that ends there. The runs of one name are the interval of the suffix
+array whose longest common prefix is as long as the run or longer: its first member by (doc_id, row, line) is the kept copy,
+all others are later copies. A line goes if it stands in a later copy and in no kept copy of any run. So the kept copy of
+every shortest run stays whole at its place, whatever overlaps it, and every passage of MIN_WORDS words that stood in several
+places still stands in one. A longer repeated run loses its later copies through the shortest runs inside it; its own first copy
+stays whole too, but for stretches whose shortest runs all stood somewhere before: those are kept there. A run that overlaps
+its own first copy, as equal lines do, is cut behind that copy's end.
+
+Doubling goes on to the longest shortest run, not to the longest repeat: whether a line goes depends on the intervals of
+the shortest runs alone, and the members of an interval of a longer common prefix are among theirs. So the array ordered by
+MIN_WORDS lines (a line counts as one word at least) decides as the whole one would, in log2(MIN_WORDS) rounds whatever the
+length of the corpus or of its repeats.
 
 Cases: a null text stays null and has no lines; an empty text is one empty line; null doc_ids come last in the order;
 repeated rows are copies, so the later lose their runs; a document can lose all its lines and then has an empty text; an
@@ -124,9 +128,8 @@ def shortest_runs(ranked: DataFrame, min_words: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
-    """(row, cuts): for each row that loses lines, the disjoint line ranges [first, last) that go."""
-    lines = materialize(line_ids(numbered), "lines")
+def copies(lines: DataFrame, min_words: int) -> DataFrame:
+    """(row, line, size, kept): the members of every shortest run that repeats; `kept` marks the first by place."""
     found = materialize(shortest_runs(suffix_ranks(lines, min_words), min_words), "runs")
     # a line's place in the whole corpus is one number, so the first of a run is a plain minimum
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,24 +137,38 @@ def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
     begins = with_position(sizes, ["none", "doc_id", "row"], parts, "begin", weight="n").select("row", "begin")
     found = found.join(begins, "row").select("row", "line", "size", "a", "b", (F.col("begin") + F.col("line")).alias("place"))
     firsts = materialize(found.groupBy("a", "b", "size").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    later = found.join(firsts, ["a", "b", "size"]).filter("place > first").select("row", "line", "size")
+    return found.join(firsts, ["a", "b", "size"]).select("row", "line", "size", (F.col("place") == F.col("first")).alias("kept"))
+
+
+def _covered(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which of n lines stand in one of the runs."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, begin, 1)
+    np.add.at(steps, begin + size, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
+    """(row, cuts): for each row that loses lines, the disjoint line ranges [first, last) that go."""
+    found = copies(materialize(line_ids(numbered), "lines"), min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "row"):
             row, line, size = (t.column(c).to_numpy() for c in ("row", "line", "size"))
+            kept = t.column("kept").to_numpy()
             at = runs(row)
-            cuts = []
+            own, cuts = [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                merged: list[list[int]] = []
-                for a, n in zip(line[i:j].tolist(), size[i:j].tolist(), strict=True):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], a + n)
-                    else:
-                        merged.append([a, a + n])
-                cuts.append([x for m in merged for x in m])
-            yield pa.RecordBatch.from_arrays([pa.array(row[at[:-1]]), pa.array(cuts, pa.list_(pa.int64()))], names=["row", "cuts"])
+                low, n = int(line[i:j].min()), int((line[i:j] + size[i:j]).max())
+                first, later = kept[i:j], ~kept[i:j]
+                gone = _covered(line[i:j][later] - low, size[i:j][later], n - low) & ~_covered(line[i:j][first] - low, size[i:j][first], n - low)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) + low
+                if len(edges):
+                    own.append(row[i])
+                    cuts.append(edges.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(cuts, pa.list_(pa.int64()))], names=["row", "cuts"])
 
-    return later.repartition("row").sortWithinPartitions("row", "line").mapInArrow(run, "row long, cuts array<long>")
+    return found.repartition("row").sortWithinPartitions("row", "line").mapInArrow(run, "row long, cuts array<long>")
 
 
 def _gone(i: F.Column, cuts: str) -> F.Column:
@@ -159,7 +176,7 @@ def _gone(i: F.Column, cuts: str) -> F.Column:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """docs with the later copies of repeated line runs cut out of text; with `counts` also n_lines and n_deleted."""
+    """docs without the lines of later copies that stand in no kept copy; with `counts` also n_lines and n_deleted."""
     row, cut = free_name(docs, "row"), free_name(docs, "cuts")
     numbered = with_row_id(docs, row)
     cuts = deletions(numbered.select(F.col(row).alias("row"), "doc_id", "text"), min_words).toDF(row, cut)

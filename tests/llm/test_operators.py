@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -114,22 +114,47 @@ def test_arrow_empty(spark):
 
 
 def brute_lines(rows, min_words):
-    """rows in order; every pair of places is extended as far as it goes."""
+    """rows in order; all shortest runs of min_words words by their lines. A line in a later copy goes, but for lines in a first one."""
     cut = [[x.strip() for x in t.split("\n")] for t in rows]
-    places = [(d, i) for d, c in enumerate(cut) for i in range(len(c))]
-    by_line, gone = defaultdict(list), [set() for _ in cut]
-    for d, i in places:
-        by_line[cut[d][i]].append((d, i))
-    for d, i in places:
-        for e, j in by_line[cut[d][i]]:
-            if (e, j) >= (d, i):
-                break
-            n = 0
-            while i + n < len(cut[d]) and j + n < len(cut[e]) and cut[d][i + n] == cut[e][j + n]:
-                n += 1
-            if sum(max(1, len(x.split())) for x in cut[d][i : i + n]) >= min_words:
-                gone[d].update(range(i, i + n))
-    return ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in enumerate(rows)]
+    places, later, kept = defaultdict(list), [set() for _ in cut], [set() for _ in cut]
+    for d, c in enumerate(cut):
+        words = [max(1, len(x.split())) for x in c]
+        found = set()
+        for i in range(len(c)):
+            found |= {next(((i, j) for j in range(i + 1, len(c) + 1) if sum(words[i:j]) >= min_words), None), next(((j, i + 1) for j in range(i, -1, -1) if sum(words[j : i + 1]) >= min_words), None)}
+        for i, j in sorted(found - {None}):
+            places[tuple(c[i:j])].append((d, i, j))
+    for at in places.values():
+        for k, (d, i, j) in enumerate(sorted(at) if len(at) > 1 else []):
+            (later if k else kept)[d].update(range(i, j))
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in later[d] - kept[d]) for d, t in enumerate(rows)]
+
+
+def test_first_copies_stay(spark):
+    """Equal lines shrink to one run; a passage whose copies overlap another's stands whole once."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(10)) for x in "abcde")
+    rows = ["x y\n" * 39 + "x y", "\n".join([c, d, e]), "\n".join([a, b, c, d, e]), "\n".join([a, b, c])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = [r["text"] for r in op3_line_dedup.dedup(docs).orderBy("doc_id").collect()]
+    assert got == ["x y\n" * 9 + "x y", rows[1], rows[3], ""] and got == brute_lines(rows, 20)
+
+
+def test_every_passage_stays(spark):
+    """Over small alphabets, with overlaps of all kinds: each shortest run that stood in several places stands in one still."""
+    rng = np.random.default_rng(8)
+    rows = ["\n".join(rng.choice(["a", "b b", "c c c"], rng.integers(0, 25))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for m in (2, 4, 7):
+        left = [r["text"] for r in op3_line_dedup.dedup(docs, m).orderBy("doc_id").collect()]
+        assert left == brute_lines(rows, m) and sum(map(len, left)) < 0.8 * sum(map(len, rows))
+
+        seen = Counter()
+        for t in rows:
+            c = t.split("\n")
+            for i in range(len(c)):
+                n = next((j for j in range(i + 1, len(c) + 1) if sum(max(1, len(x.split())) for x in c[i:j]) >= m), None)
+                seen.update(["\n".join(c[i:n])] if n else [])
+        assert all(any(f"\n{x}\n" in f"\n{t}\n" for t in left) for x, n in seen.items() if n > 1)
 
 
 def test_lines_brute_force(spark):
