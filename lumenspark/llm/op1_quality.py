@@ -26,6 +26,7 @@ BITS = 18
 SPACE = 1 << BITS
 THRESHOLD = 0.3
 MOST_POSITIONS = 40_000_000
+BLOCK = 1 << 16
 _CLASS = np.full(256, ord("a"), np.uint8)
 for _c in range(128):
     _ch = chr(_c)
@@ -37,41 +38,48 @@ def _hash(grams: np.ndarray, salt: int) -> np.ndarray:
     return (((grams + np.uint64(salt << 56)) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(text: str, scratch: np.ndarray | None = None) -> np.ndarray:
-    """Distinct indicator positions of one text, in no order."""
+def _mark(stream: np.ndarray, orders: range, salt: int, marks: np.ndarray) -> None:
+    g = stream.astype(np.uint64)
+    first = g
+    for n in range(1, orders.stop):
+        if n > 1:
+            if len(first) < n:
+                return
+            g = (g[:-1] << np.uint64(8)) | first[n - 1 :]
+        if n >= orders.start:
+            marks[_hash(g, salt + n)] = True
+
+
+def features(text: str, block: int = BLOCK) -> np.ndarray:
+    """Distinct indicator positions of one text, ascending.
+
+    They are marked in a map of all positions, `block` bytes at a time; each stream hands the elements that a gram may
+    still begin with to the next block, where grams inside them are marked again. So a text of any length takes, besides
+    itself, as much memory as one block and two maps.
+    """
     data = text.encode("utf-8", "replace")
-    if not data:
-        return np.zeros(0, np.int64)
-    b = np.frombuffer(data, np.uint8)
-    found = []
-
-    def grams(stream: np.ndarray, orders: range, salt: int) -> None:
-        g = stream.astype(np.uint64)
-        first = g
-        for n in range(1, orders.stop):
-            if n > 1:
-                if len(first) < n:
-                    return
-                g = (g[:-1] << np.uint64(8)) | first[n - 1 :]
-            if n >= orders.start:
-                found.append(_hash(g, salt + n))
-
-    grams(b, range(2, 5), 0)
-    kinds = _CLASS[b]
-    keep = np.ones(len(kinds), bool)
-    keep[1:] = kinds[1:] != kinds[:-1]
-    grams(kinds[keep], range(2, 7), 16)
-    words = data.split()
-    if len(words) > 1:
-        same = np.fromiter((x == y for x, y in zip(words, words[1:], strict=False)), np.uint8, len(words) - 1)
-        if same.any():
-            grams(same, range(1, 6), 32)
-    every = np.concatenate(found) if found else np.zeros(0, np.int64)
-    if scratch is None:
-        return np.unique(every)
-    order = np.arange(len(every))  # the last writer of a position stands for it
-    scratch[every] = order
-    return every[scratch[every] == order]
+    marks, repeats = np.zeros(SPACE, bool), np.zeros(SPACE, bool)
+    b, classes, same = np.frombuffer(data, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    rest, before, any_same = b"", None, False
+    for begin in range(0, len(b), block):
+        piece = b[max(0, begin - 3) : begin + block]
+        _mark(piece, range(2, 5), 0, marks)
+        kinds = _CLASS[b[max(0, begin - 1) : begin + block]]
+        new = kinds[1:][kinds[1:] != kinds[:-1]] if begin else kinds[np.concatenate([[True], kinds[1:] != kinds[:-1]])]
+        classes = np.concatenate([classes[-5:], new])
+        _mark(classes, range(2, 7), 16, marks)
+        chunk = rest + data[begin : begin + block]
+        words = chunk.split()
+        rest = b""
+        if begin + block < len(b) and words and not chunk[-1:].isspace():
+            rest = words.pop()
+        if words:
+            pairs = words if before is None else [before, *words]
+            new = np.fromiter((x == y for x, y in zip(pairs, pairs[1:], strict=False)), np.uint8, len(pairs) - 1)
+            any_same |= bool(new.any())
+            same, before = np.concatenate([same[-4:], new]), words[-1]
+            _mark(same, range(1, 6), 32, repeats)
+    return np.flatnonzero(marks | repeats if any_same else marks)
 
 
 @dataclass
@@ -149,16 +157,18 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_positions: int = MOST_POSITIONS) -> Model | None:
     """Fit on at most `max_rows` labelled training documents, half of each class, picked by a hash of doc_id.
 
-    Of a doc_id's labels the most frequent one counts, 0 if both are as frequent; of its rows the first text in order. What
-    the driver collects is bounded whatever the corpus size: one set of indicator positions a document, and of those at
-    most MOST_POSITIONS a class, in the order of the hash (very long texts make up to 1 MB each).
+    Labels of documents that aren't there don't count. Of a doc_id's labels the most frequent one counts, 0 if both are as
+    frequent; of its rows the first text in order. What the driver collects is bounded whatever the corpus size: one set of
+    indicator positions a document, and of those at most `max_positions` a class: the documents of a class are taken in the
+    order of the hash up to the first that doesn't fit any more, the first one always.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    usable = usable.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality"))
+    usable = usable.groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    usable = materialize(usable, "labels")
     picked = [r for k in (0, 1) for r in usable.filter(F.col("quality") == k).orderBy(*by_hash).limit(max_rows // 2).collect()]
     label = {r["doc_id"]: r["quality"] for r in picked}
     if len(set(label.values())) < 2:
@@ -169,12 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model | N
     found = map_texts(sample, ["doc_id"], "text", [T.StructField("found", T.BinaryType())], lambda texts: [[features(t).astype(np.uint32).tobytes() for t in texts]])
     stored = materialize(found.withColumn("n", F.length("found") / 4), "features")
     place = {r["doc_id"]: i for i, r in enumerate(picked)}
-    fits, held = set(), {0: 0, 1: 0}
+    fits, held, full = set(), {0: 0, 1: 0}, set()
     for r in sorted(stored.select("doc_id", "n").collect(), key=lambda r: place[r["doc_id"]]):
         k = label[r["doc_id"]]
-        if held[k] + r["n"] <= MOST_POSITIONS or not held[k]:
+        if k not in full and (held[k] + r["n"] <= max_positions or not held[k]):
             fits.add(r["doc_id"])
             held[k] += int(r["n"])
+        else:
+            full.add(k)
     some = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in fits], chosen_type)) if len(fits) < len(place) else None
     rows = sorted((stored.join(some, "doc_id", "left_semi") if some is not None else stored).select("doc_id", "found").collect(), key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["found"], np.uint32).astype(np.int64) for r in rows], [label[r["doc_id"]] for r in rows])
@@ -188,8 +200,7 @@ def scores(docs: DataFrame, model: Model | None, keep: list[str], name: str = "s
         m = shared.value
         if m is None:
             return [[1.0] * len(texts)]
-        scratch = np.zeros(SPACE, np.int64)
-        return [[m.score(m.margin(features(t, scratch))) for t in texts]]
+        return [[m.score(m.margin(features(t))) for t in texts]]
 
     return map_texts(docs, keep, "text", [T.StructField(name, T.DoubleType())], run)
 
