@@ -111,7 +111,9 @@ def count_grams(texts: list[str], size: int = PIECE) -> tuple[np.ndarray, np.nda
     done: list[tuple] = []
     for piece in pieces(texts, size):
         new = _count(*piece)
-        if len(new[0]) and len(owner) and owner[-1] == new[0][0]:  # a long text goes on
+        if not len(new[0]):
+            continue
+        if len(owner) and owner[-1] == new[0][0]:  # a long text goes on
             owner, gram, n = (np.concatenate(x) for x in zip((owner, gram, n), new, strict=True))
             order = np.lexsort((gram, owner))
             owner, gram, n = owner[order], gram[order], n[order]
