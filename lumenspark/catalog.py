@@ -994,3 +994,7 @@ def token_totals(s, d):
 def generated_outputs(s, d):
     asked = table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("prompt"))
     return generate(asked, lambda prompts: [f"Answer: {len(p)}" for p in prompts])
+
+
+# the further queries register themselves
+from lumenspark import catalog_io  # noqa: E402, F401

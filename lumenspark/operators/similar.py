@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lumenspark.operators import nearest
 from lumenspark.operators.graph import connected_components
-from lumenspark.plans.ranking import with_position
+from lumenspark.plans.ranking import running_sums, with_position
 from lumenspark.plans.scratch import materialize
 
 # Detector rules in order of strictness, and the threshold grid.
@@ -85,12 +86,17 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blo
     return reduce(DataFrame.unionAll, [one(i) for i in range(blocks)])
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, k: int = 5, block: int = BLOCK, indexed: bool = False) -> DataFrame:
     """(a, b, sim) with a < b, once each, of every row's k neighbours.
 
-    vectors: id, embedding, is_test. Test rows compete for places; pairs of two test rows go after the ranking.
+    vectors: id, embedding, is_test. Test rows compete for places; pairs of two test rows go after the ranking. Small tables
+    are compared in blocks; with `indexed`, an index rules out most pairs of large ones whose rows have near neighbours.
     """
-    near = neighbours(vectors.select("id", "embedding"), k, block=block)
+    if indexed:
+        rows = vectors.select("id", "embedding")
+        near = nearest.search(nearest.build(rows), rows, k)
+    else:
+        near = neighbours(vectors.select("id", "embedding"), k, block=block)
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     test = vectors.select(F.col("id"), "is_test")
     both = pairs.join(test.toDF("a", "a_test"), "a").join(test.toDF("b", "b_test"), "b")
@@ -102,25 +108,56 @@ def rule_fires(rule: Column, sim: Column, threshold: Column, same_answer: Column
     return (sim >= threshold) & enough
 
 
+def _rule_weights(labels: DataFrame) -> list[Column]:
+    """For each rule, the weights of the duplicates (hit) and of the others (miss) that it may fire on."""
+    same = [F.lit(True), F.coalesce("same_answer", F.lit(False)), F.coalesce("same_answer", F.lit(False)) & F.coalesce("same_args", F.lit(False))]
+    return [F.sum(F.when(rule & (F.col("duplicate") == dup), F.col("weight")).otherwise(0.0)).alias(f"{name}{i}") for i, rule in enumerate(same) for name, dup in (("hit", True), ("miss", False))]
+
+
+def _ratios(tp: Column, fp: Column, positives: Column, digits: int) -> list[Column]:
+    p = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
+    r = F.coalesce(F.try_divide(tp, positives), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return [F.round(p, digits).alias("precision"), F.round(r, digits).alias("recall"), F.round(f1, digits).alias("f1")]
+
+
+def _by_rule(sums: DataFrame, positives: DataFrame, digits: int) -> DataFrame:
+    rules = F.array(*[F.struct(F.lit(i).alias("rule_index"), F.lit(r).alias("rule"), F.col(f"hit{i}").alias("tp"), F.col(f"miss{i}").alias("fp")) for i, r in enumerate(RULES)])
+    rows = sums.select("threshold", F.inline(rules)).crossJoin(positives)  # one row
+    return rows.select("rule_index", "rule", "threshold", *_ratios(F.col("tp"), F.col("fp"), F.col("positives"), digits))
+
+
+def _positives(labels: DataFrame) -> DataFrame:
+    return labels.agg(F.coalesce(F.sum(F.when(F.col("duplicate"), F.col("weight"))), F.lit(0.0)).alias("positives"))
+
+
+def threshold_sweep(labels: DataFrame, digits: int = 6) -> DataFrame:
+    """rule_index, rule, threshold, precision, recall, f1 of every rule at every similarity that occurs, as its threshold.
+
+    labels: sim, same_answer, same_args, weight, duplicate. Labels are summed up by similarity, and running sums from the
+    highest down give all thresholds at once: one sort of the distinct similarities, however many there are. Labels without
+    a similarity are never hit, but count for recall; a null rule condition doesn't hold.
+    """
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_sim = labels.filter("sim is not null").groupBy(F.col("sim").cast("double").alias("threshold")).agg(*_rule_weights(labels))
+    names = [f"{n}{i}" for i in range(len(RULES)) for n in ("hit", "miss")]
+    return _by_rule(running_sums(by_sim, [F.desc("threshold")], names, parts), _positives(labels), digits)
+
+
 def detector_grid(labels: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Weighted precision, recall and F1 of every rule and threshold.
+    """Weighted precision, recall and F1 of every rule at each of a few thresholds.
 
-    labels: sim, same_answer, same_args, weight, duplicate. The grid has a few dozen rows.
+    labels: sim, same_answer, same_args, weight, duplicate. Each label is summed up once, in the band between two
+    thresholds; what lies at or above a threshold is then the sum of a few bands.
     """
-    spark = labels.sparkSession
-    grid = spark.createDataFrame([(i, r, float(t)) for i, r in enumerate(RULES) for t in thresholds], "rule_index int, rule string, threshold double")
-    hit = rule_fires(F.col("rule"), F.col("sim"), F.col("threshold"), F.col("same_answer"), F.col("same_args"))
-    cells = labels.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("rule_index"), F.lit(r).alias("rule"), F.lit(float(t)).alias("threshold")) for i, r in enumerate(RULES) for t in thresholds])).alias("g")).select("*", "g.*").withColumn("hit", hit)
-    sums = cells.groupBy("rule_index", "rule", "threshold").agg(
-        F.sum(F.when(F.col("hit") & F.col("duplicate"), F.col("weight")).otherwise(0.0)).alias("tp"),
-        F.sum(F.when(F.col("hit") & ~F.col("duplicate"), F.col("weight")).otherwise(0.0)).alias("fp"),
-        F.sum(F.when(~F.col("hit") & F.col("duplicate"), F.col("weight")).otherwise(0.0)).alias("fn"),
-    )
-    all_cells = grid.join(sums, ["rule_index", "rule", "threshold"], "left").fillna(0.0)
-    p = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
-    r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return all_cells.select("rule_index", "rule", "threshold", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f1, 3).alias("f1"))
+    levels = sorted({float(t) for t in thresholds})
+    reached = F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col("sim").cast("double")))
+    bands = labels.filter("sim is not null").groupBy(reached.alias("band")).agg(*_rule_weights(labels))
+    grid = labels.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "level int, threshold double")
+    names = [f"{n}{i}" for i in range(len(RULES)) for n in ("hit", "miss")]
+    met = grid.join(F.broadcast(bands), F.col("band") >= F.col("level"), "left")  # one row a threshold at most
+    sums = met.groupBy("threshold").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
+    return _by_rule(sums, _positives(labels), 3)
 
 
 def best_detector(grid: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Global positions in a sorted order without a single-task window."""
+"""Global positions and running sums in a sorted order without a single-task window."""
 
 from __future__ import annotations
 
@@ -45,4 +45,37 @@ def with_position(df: DataFrame, keys: list[str], partitions: int, name: str = "
     return numbered.join(F.broadcast(pairs), "_part").select(*df.columns, (F.col("_place") + F.col("_offset")).alias(name))
 
 
-__all__ = ["with_position", "drop"]
+def running_sums(df: DataFrame, keys: list, values: list[str], partitions: int) -> DataFrame:
+    """df with each of `values`, as a double, replaced by its sum over all rows up to and with this one in the order of `keys`.
+
+    As with_position(): range partitions, sums within each, and the last sums of each partition shift those behind it. Rows
+    with equal keys count one after the other: group them first where they shall count together. Nulls count as 0.
+    """
+    others = [c for c in df.columns if c not in values]
+    source = df.select(*[df[f"`{c}`"] for c in others], *[F.coalesce(df[f"`{v}`"].cast("double"), F.lit(0.0)).alias(v) for v in values])
+    schema = T.StructType([*source.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, upto, seen = TaskContext.get().partitionId(), np.zeros(len(values)), 0
+        for b in batches:
+            if b.num_rows:
+                sums = upto + np.cumsum(np.stack([b.column(v).to_numpy() for v in values], axis=1), axis=0)
+                rows = np.arange(seen, seen + b.num_rows)
+                upto, seen = sums[-1], seen + b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *[pa.array(sums[:, i]) for i in range(len(values))], pa.array(np.full(b.num_rows, part, np.int32)), pa.array(rows)], names=schema.names)
+
+    summed = materialize(source.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(add, schema), "sums")
+    ends = summed.groupBy("_part").agg(F.max_by(F.struct(*values), "_row").alias("x")).orderBy("_part").collect()
+    before, shift = [0.0] * len(values), []
+    for r in ends:
+        shift.append((r["_part"], *before))
+        before = [x + y for x, y in zip(before, r["x"], strict=True)]
+    if not shift:
+        return summed.drop("_part", "_row")
+    moved = df.sparkSession.createDataFrame(shift, "_part int, " + ", ".join(f"_before{i} double" for i in range(len(values))))
+    return summed.join(F.broadcast(moved), "_part").select(*[F.col(f"`{c}`") for c in others], *[(F.col(f"`{v}`") + F.col(f"_before{i}")).alias(v) for i, v in enumerate(values)])
+
+
+__all__ = ["with_position", "running_sums", "drop"]

@@ -105,6 +105,22 @@ def load_runs(spark: SparkSession, path: str, phase: str | None = None) -> DataF
     return (runs.filter(F.col("phase") == phase) if phase else runs).orderBy("run_id")
 
 
+def typed_runs(runs: DataFrame) -> DataFrame:
+    """runs with config and metrics as VARIANT, which keeps records of any shape; a text that isn't JSON becomes null."""
+    return runs.withColumns({c: F.try_parse_json(c) for c in ("config", "metrics")})
+
+
+def runs_where(runs: DataFrame, column: str, path: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Runs, and as `found` the number at a JSON path of their config or metrics, where it lies from low to high.
+
+    Runs without such a path, or with something else than a number there, go.
+    """
+    found = typed_runs(runs).withColumn("found", F.try_variant_get(column, path, "double")).filter("found is not null")
+    for bound, keep in ((low, lambda x: F.col("found") >= x), (high, lambda x: F.col("found") <= x)):
+        found = found if bound is None else found.filter(keep(bound))
+    return found
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Each row as one pretty-printed JSON text, non-ASCII kept. For reports of a few rows."""
     df.select(F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("json")).coalesce(1).write.mode("overwrite").text(path)
