@@ -10,10 +10,11 @@ from lumenspark.catalog import ORACLES, query, table
 from lumenspark.functions import program as P
 from lumenspark.functions import scoring as S
 from lumenspark.functions import text as X
-from lumenspark.operators import curate, evaluate, graph, nearest, preference, similar
+from lumenspark.operators import curate, evaluate, graph, labels, nearest, preference, similar
+from lumenspark.operators.generate import generate
 from lumenspark.plans import scratch
 from lumenspark.sources import files, npz
-from lumenspark.streaming import state
+from lumenspark.streaming import log, state
 
 # --- similarity
 
@@ -253,6 +254,126 @@ def executed_programs(s, d):
     return run.filter("res is not null").select("l_orderkey", "l_linenumber", F.round("res.num", 8).alias("num"), F.col("res.txt").alias("txt"))
 
 
+# --- files out and in
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def lines_round_trip(s, d):
+    """The table as JSON lines, read with its schema; the first thousand by their ordinal."""
+    path = scratch.new_path(s, "lines")
+    rows = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    files.write_lines(rows, path)
+    return files.head(files.read_lines(s, path, rows.schema), "o_orderkey", 1000)
+
+
+def _arrays(s, d, split: str, k: int, path: str) -> str:
+    """Customers as files that each hold one JSON array of at most 500 raw records; a pattern of their names."""
+    nothing = F.lit(None).cast("string")
+    qa = F.struct(F.concat(F.lit("how much is "), "c_name", F.lit(" ?")).alias("question"), F.col("c_acctbal").cast("string").alias("answer"), F.lit("add(1, 2)").alias("program"), nothing.alias("program_re"), F.col("c_custkey").cast("string").alias("exe_ans"), F.create_map(F.lit("text_1"), F.col("c_mktsegment")).alias("gold_inds"))
+    record = F.struct(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("CO/"), (2000 + F.col("c_nationkey")).cast("string"), F.lit("/page_1.pdf")).alias("filename"), F.array(F.lit("pre")).alias("pre_text"), F.array(F.lit("post")).alias("post_text"), F.array(F.array("c_mktsegment")).alias("table"), qa.alias("qa"))
+    some = table(s, d, "customer").filter(F.col("c_custkey") % 2 == k).select(F.floor(F.col("c_custkey") / 1000).alias("bucket"), record.alias("r"))
+    some.groupBy("bucket").agg(F.to_json(F.collect_list("r")).alias("text")).write.partitionBy("bucket").text(f"{path}/{split}")
+    return f"{path}/{split}/*"
+
+
+@query("SELECT 'r' || c_custkey AS id, CASE c_custkey % 2 WHEN 0 THEN 'train' ELSE 'dev' END AS split, 'CO' AS company, (2000 + c_nationkey)::INT AS year, 'how much is ' || c_name || ' ?' AS question, c_custkey::DOUBLE AS exe_num FROM customer")
+def arrays_round_trip(s, d):
+    """Raw records from JSON arrays of two splits, standardised and united."""
+    path = scratch.new_path(s, "arrays")
+    rows = files.read_arrays(s, {split: _arrays(s, d, split, k, path) for k, split in enumerate(("train", "dev"))}, files.PROGRAM_RECORD, curate.standardize_program_records)
+    return rows.select("id", F.col("original_split").alias("split"), "company", "year", "question", "exe_num")
+
+
+@query(ORACLES["labelled_pairs"])
+def sheet_round_trip(s, d):
+    """The label loop: drawn pairs, their sheet as a file, labels filled in, read, and joined with the pairs."""
+    path = scratch.new_path(s, "sheets")
+    drawn, v = scratch.materialize(C._drawn(s, d), "drawn"), C._vectors(s, d)
+    text = lambda c: F.concat(F.lit(f'a "{c}", '), F.col("id").cast("string"))
+    told = v.select("id", text("q").alias("question"), text("a").alias("answer_text"), F.array(F.struct(text("e").alias("value"))).alias("gold_evidence"), text("r").alias("report_id"))
+    blank = labels.sheet(drawn, told)
+    files.write_sheet(blank.withColumn(files.SHEET[1], (F.col("pair_id") % 3 == 0).cast("int").cast("string")), path)
+    records = v.filter("id % 5 <> 0").select("id", F.array((F.col("id") % 4).cast("double")).alias("args"))
+    out = labels.labelled(files.read_labels(s, path), drawn, records, v)
+    return out.select("pair_id", F.round("sim", 6).alias("sim"), "same_args", "duplicate", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT event_type AS phase, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def run_log_round_trip(s, d):
+    """One run record per phase appended to the log, each with an id of its own, and read back."""
+    path = scratch.new_path(s, "runs")
+    sums = table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    names = {files.log_run(s, r["event_type"], "{}", files.report_json(sums.filter(F.col("event_type") == r["event_type"])).first()["json"], path) for r in sums.select("event_type").collect()}
+    runs = files.typed_runs(files.load_runs(s, path))
+    if {r["run_id"] for r in runs.select("run_id").collect()} != names:
+        raise ValueError("the log lacks a run")
+    value = lambda c: F.try_variant_get("metrics", f"$.{c}", "double")
+    return runs.select("phase", value("n").alias("n"), F.round(value("mean"), 6).alias("mean"))
+
+
+@query("SELECT count(*) AS documents, max(n_chars) AS largest, 'é' AS mark FROM documents")
+def report_round_trip(s, d):
+    """A report of one row as pretty-printed JSON, read back."""
+    path = scratch.new_path(s, "report")
+    files.write_report(table(s, d, "documents").agg(F.count("*").alias("documents"), F.max("n_chars").alias("largest"), F.lit("é").alias("mark")), path)
+    return s.read.schema("documents long, largest long, mark string").option("multiLine", True).json(path)
+
+
+@query("SELECT sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_sha256 FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200)")
+def calibration_text(s, d):
+    return files.calibration_text(table(s, d, "documents"), "text", "doc_id").select(F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def appended_log(s, d):
+    """The table through a log that goes on where it stopped: a second call adds nothing."""
+    path, schema = scratch.new_path(s, "log"), "event_id long, event_type string, value double"
+    for _ in range(2):
+        log.append_log(s, f"{d}/{_FILES}", schema, f"{path}/sink", f"{path}/checkpoint", fmt="parquet")
+    rows = log.resume(s, f"{path}/sink", "event_id", "event_id")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT o_orderstatus AS run, max(o_orderkey) AS step, arg_max(o_totalprice, o_orderkey) AS loss FROM orders GROUP BY 1")
+def newest_checkpoints(s, d):
+    """The newest checkpoint of each run, as a watcher finds it."""
+    rows = table(s, d, "orders").select(F.col("o_orderstatus").alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"))
+    found = [log.newest_checkpoint(rows.filter(F.col("run") == r)) for r in ("F", "O", "P")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT doc_id AS id, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS place, md5(text) AS output FROM documents")
+def generated_longest_first(s, d):
+    """Outputs of a model hook, whose batches get the longest prompts first: the place in which each prompt was served."""
+    import hashlib
+
+    prompts = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
+    out = generate(prompts, lambda texts: [f"{len(t):012d} {hashlib.md5(t.encode()).hexdigest()}" for t in texts])
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    served = out.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    placed = npz.with_position(scratch.materialize(served, "served"), ["part", "row"], parts, "place")
+    return placed.select("id", "place", F.substr("output", F.lit(14)).alias("output"))
+
+
+@query("SELECT o_orderkey, floor(o_orderkey / 16)::BIGINT AS batch FROM orders")
+def batches_of_rows(s, d):
+    return evaluate.chunks(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 16)
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s%.-]', ' ', 'g'), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]'), lambda x: CASE WHEN x IN ('a', 'an', 'the') THEN ' ' ELSE x END) AS w FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(replace(array_to_string(w, ''), ',', ''), '\s+', ' ', 'g')) AS text FROM t"""
+)
+def comparable_texts(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", X.comparable(F.col("text")).alias("text"))
+
+
+@query("SELECT o_orderkey, 'question: ' || o_orderpriority || chr(10) || 'evidence: ' || o_orderstatus || ' ' || o_orderdate::DATE AS text FROM orders")
+def dedup_texts(s, d):
+    evidence = F.array(*[F.struct(F.lit("k").alias("key"), F.col(c).cast(kind).cast("string").alias("value")) for c, kind in (("o_orderstatus", "string"), ("o_orderdate", "date"))])
+    return table(s, d, "orders").select("o_orderkey", X.dedup_text(F.col("o_orderpriority"), evidence).alias("text"))
+
+
 # --- SQL of queries that are registered elsewhere
 
 _CALC = "CASE WHEN number % 19 = 0 THEN 'Calculation:\\n1. 99999 + 1 = 100000\\n2. 100000 - 100000 = 0' ELSE 'Calculation:\\n1. sum of the ''quantity'' row (' || array_to_string(q, ', ') || ') = ' || t || '\\n2. ' || t || ' + 0 = ' || t END"
