@@ -18,6 +18,9 @@ As n(e, t) is n(e) at most, a term can only reach the threshold if n(t) <= (n(e)
 - SMOOTHING. So terms of which more documents than that were counted already, in a bounded table of the most frequent
 ones, are left out before anything is shuffled, which changes no result.
 
+Values that stand in the same documents are revealed alike by every term, so one of them stands for all: a page of thousands
+of addresses that stand nowhere else makes as many candidates as it has terms, not as many times that.
+
 Cases: a null or empty text has no spans; repeated rows count as documents of their own; null
 doc_ids are kept; an empty table gives no rows; columns besides doc_id and text aren't read by report() and kept as they
 are by sanitised().
@@ -55,6 +58,8 @@ _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W_]{2,}")
 _BUCKETS = 1 << 22
 OFTEN = 200_000
+#: Candidates of a worker's output batch, about.
+PIECE = 1_000_000
 _ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\s{0,3}[:=]"
 _SECRET = re.compile(_ASSIGNED + r"\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})", re.A)
 
@@ -255,10 +260,13 @@ def candidates(marked: DataFrame, often: DataFrame, total: int, threshold: float
     top = often.groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(OFTEN).toPandas().sort_values("t")  # OFTEN rows
     shared = marked.sparkSession.sparkContext.broadcast((top["t"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
+    def made(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o]), pa.int64()) for o in out], names=["row", "e", "t"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out, size = [[], [], []], 0
             for row, held, es in zip(b.column("row").to_pylist(), b.column("held"), b.column("es").to_pylist(), strict=True):
                 t = np.unique(held.values.field("t").to_numpy())
                 at = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
@@ -270,11 +278,27 @@ def candidates(marked: DataFrame, often: DataFrame, total: int, threshold: float
                         some = t[least <= most * (1 + 1e-9) + 1e-9]
                         for values, one in zip(out, (np.full(len(some), row), np.full(len(some), e["e"]), some), strict=True):
                             values.append(one)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *o]), pa.int64()) for o in out], names=["row", "e", "t"])
+                        size += len(some)
+                        if size > PIECE:
+                            yield made(out)
+                            out, size = [[], [], []], 0
+            yield made(out)
 
     return marked.select("row", "held", "es").mapInArrow(run, "row long, e long, t long")
 
 
+def alike(valued: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(e, n_e) of one value for all that stand in the same documents, and (row, e, n_e) of the documents that hold it.
+
+    valued: row and e, once per document and value. A term reveals such values alike, so one stands for all: a page of
+    addresses that stand nowhere else has one. A set of documents is known by its size and 128 bits of its rows' hashes.
+    """
+    marks = [F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    counted = materialize(valued.groupBy("e").agg(F.count("*").alias("n_e"), *marks), "entities")
+    firsts = materialize(counted.groupBy("n_e", "x", "y").agg(F.min("e").alias("e")).select("e", "n_e"), "alike")
+    return firsts, valued.join(firsts, "e")
+
+
 def disclosing_terms(docs: DataFrame, met: DataFrame, entities: DataFrame, total: int, threshold: float) -> DataFrame:
     """(e, t): terms that reveal an entity. `met` has e and t once per document that holds both, `entities` has e and n_e."""
     pairs = materialize(met.groupBy("e", "t").agg(F.count("*").alias("n_et")), "pairs")
@@ -307,8 +331,8 @@ def _found(numbered: DataFrame, threshold: float) -> DataFrame:
     found = stored.filter("row is not null")
     total = found.count()
     valued = found.select("row", F.explode("values").alias("e"))
-    entities = materialize(valued.groupBy("e").agg(F.count("*").alias("n_e")), "entities")
-    es = valued.join(entities, "e").groupBy("row").agg(F.collect_list(F.struct("e", "n_e")).alias("es"))  # a document's own values
+    entities, valued = alike(valued)
+    es = valued.groupBy("row").agg(F.collect_set(F.struct("e", "n_e")).alias("es"))  # a document's own values
     held = found.filter(F.size("held") > 0).select("row", "held")
     often = stored.filter("row is null").select(F.explode("often").alias("x")).select("x.*")
     met = materialize(candidates(held.join(es, "row"), often, total, threshold), "met")

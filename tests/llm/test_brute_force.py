@@ -139,6 +139,18 @@ def test_pii_secrets_and_sanitised(spark):
     assert op5_pii.sanitised(docs.limit(0)).count() == 0
 
 
+def test_a_page_of_many_values(spark):
+    """Addresses that only one page holds make a candidate per term; those of other pages, too, stay apart."""
+    page = " ".join(f"name{i}x a{i}@b.com" for i in range(200))
+    rows = [page, "name7x a7@b.com", "name9x wrote", "other words a3@b.com a5@b.com", "more words a3@b.com a5@b.com"] + [f"plain{k} text" for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    stored = op5_pii.detect(docs.selectExpr("doc_id as row", "doc_id", "text")).filter("row is not null")
+    firsts, valued = op5_pii.alike(stored.selectExpr("row", "explode(values) as e"))
+    assert sorted((r["row"], r["n_e"]) for r in valued.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (3, 3), (4, 3)] and firsts.count() == 3
+    got = {r["doc_id"]: r["spans"] for r in op5_pii.report(docs).collect()}
+    assert got == dict(enumerate(brute_terms(rows)))
+
+
 # --- decontamination
 
 
