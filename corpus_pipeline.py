@@ -48,12 +48,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the documents that stay.
 
     What a stage has written on its way is deleted when its result is stored; the last stage's input stays, as the result
-    reads it.
+    reads it. Tables of other work in the same driver aren't touched.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.written()
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.materialize(docs, name)
-            scratch.release(spark, before | {docs._scratch})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scratch.job(spark) as own:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs = scratch.materialize(docs, name)
+                own.release({docs._scratch})
     return docs

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
 _written: set[str] = set()
 
 
+class Job:
+    """The tables of one piece of work. release() deletes those that nothing which is still to run reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set()
+
+    def release(self, keep: set[str] = frozenset()) -> int:
+        gone = sorted(self.paths & _written - keep)
+        for path in gone:
+            _delete(self.spark, path)
+        self.paths &= keep
+        return len(gone)
+
+
+_job: ContextVar[Job | None] = ContextVar("job", default=None)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[Job]:
+    """What this thread materializes inside belongs to the job, so its release() leaves other threads' tables alone."""
+    own = Job(spark)
+    before = _job.set(own)
+    try:
+        yield own
+    finally:
+        _job.reset(before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -35,6 +66,8 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     """
     path = path or new_path(df.sparkSession, name)
     _written.add(path)
+    if own := _job.get():
+        own.paths.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -62,7 +95,8 @@ def written() -> set[str]:
 def release(spark: SparkSession, keep: set[str] = frozenset()) -> int:
     """Delete all that materialize() has written for this driver but `keep`, and say how many tables that were.
 
-    For the end of a job or of a step: results that read such tables must have been stored before.
+    For the end of a driver's work: results that read such tables, of any thread, must have been stored before. A piece of
+    work beside others uses job().
     """
     paths = sorted(_written - keep)
     for path in paths:
