@@ -10,7 +10,7 @@ from lumenspark.catalog import ORACLES, query, table
 from lumenspark.functions import program as P
 from lumenspark.functions import scoring as S
 from lumenspark.functions import text as X
-from lumenspark.operators import curate, evaluate, graph, labels, nearest, preference, similar
+from lumenspark.operators import curate, evaluate, graph, labels, levels, matrix, nearest, preference, similar
 from lumenspark.operators.generate import generate
 from lumenspark.plans import scratch
 from lumenspark.sources import files, npz
@@ -254,6 +254,45 @@ def executed_programs(s, d):
     return run.filter("res is not null").select("l_orderkey", "l_linenumber", F.round("res.num", 8).alias("num"), F.col("res.txt").alias("txt"))
 
 
+# --- reports and matrices
+
+
+@query(
+    """WITH x AS (SELECT CASE WHEN GROUPING(source) = 0 THEN 0 WHEN GROUPING(lang) = 0 THEN 1 ELSE 2 END AS level, lang, source, count(*) AS n, sum(n_chars)::DOUBLE AS total FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ()))
+SELECT *, true AS median_close, true AS distinct_close FROM x"""
+)
+def multi_level_report(s, d):
+    """Sizes by source and language, by language and in all, from stored states; are the sketches as close as promised?"""
+    rows, wanted = table(s, d, "documents").select("doc_id", "lang", "source", "n_chars"), [["lang", "source"], ["lang"], []]
+    held = scratch.materialize(levels.states(rows, ["lang", "source"], "n_chars", "doc_id"), "states")
+    told = levels.roll_up(held, wanted, {"median": 0.5})
+    for k, level in enumerate(wanted):
+        own = told.filter(F.col("level") == k).select("level", *level, "median", "n", "distinct")
+        met = rows.join(own, level) if level else rows.crossJoin(own)  # one row
+        exact = met.groupBy("level", *level).agg(
+            (F.count_if(F.col("n_chars") < F.col("median")) <= 0.53 * F.first("n") + 1).alias("low"), (F.count_if(F.col("n_chars") <= F.col("median")) >= 0.47 * F.first("n") - 1).alias("high"), (F.abs(F.count_distinct("doc_id") - F.first("distinct")) <= 0.05 * F.count_distinct("doc_id") + 1).alias("distinct_close")
+        )
+        part = told.filter(F.col("level") == k).join(exact, ["level", *level]).select("level", "lang", "source", "n", "total", (F.col("low") & F.col("high")).alias("median_close"), "distinct_close")
+        out = part if not k else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH w AS (SELECT vec_id AS r, unnest(range(1, 65)) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), a AS (SELECT vec_id % 10 + 1 AS k, c, sum(v) AS v FROM (SELECT r AS vec_id, c, v FROM w) GROUP BY ALL),
+p AS (SELECT w.r, a.c, sum(w.v * a.v) AS v FROM w JOIN a ON a.k = w.c WHERE w.c <= 10 GROUP BY ALL), m AS (SELECT w.r, w.c, w.v + 1.6 * p.v AS v FROM w JOIN p ON p.r = w.r AND p.c = w.c)
+SELECT r AS "row", round(sum(v * c), 4) AS weighted, round(max(v), 5) AS largest FROM m GROUP BY r"""
+)
+def merged_update(s, d):
+    """All vectors as a weight matrix, with a low-rank update merged in: W + (16 / 10) B A, B the first ten columns of W."""
+    v = C._vectors(s, d).select(F.col("id").alias("row"), F.col("embedding").cast("array<double>").alias("values"))
+    cells = v.select((F.col("row") % 10).alias("k"), F.posexplode("values").alias("c", "x")).groupBy("k", "c").agg(F.sum("x").alias("x"))
+    a = cells.groupBy(F.col("k").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda z: z["x"]).alias("values"))  # 64 columns
+    b = v.select("row", F.slice("values", 1, 10).alias("values"))
+    out = matrix.to_rows(matrix.merge_update(*[matrix.to_blocks(x) for x in (v, b, a)], alpha=16, rank=10)).join(v.select("row"), "row", "left_semi")
+    weighted = F.aggregate(F.transform("values", lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    return out.select("row", F.round(weighted, 4).alias("weighted"), F.round(F.array_max("values"), 5).alias("largest"))
+
+
 # --- files out and in
 
 

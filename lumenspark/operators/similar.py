@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -202,36 +203,63 @@ def stale(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.select("id").join(vectors.select("id"), "id", "left_anti").union(vectors.select("id").join(rows.select("id"), "id", "left_anti"))
 
 
+#: The automaton of the block that this worker has searched last, by the block's name.
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, items: list[str]):
+    if name not in _automata:
+        import ahocorasick
+
+        made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for x in items:
+            made.add_word(x)
+        made.make_automaton()
+        _automata.clear()
+        _automata[name] = made
+    return _automata[name]
+
+
 def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> DataFrame:
     """doc_id of the documents (doc_id, text) that hold the text of an item (item) whole, once each.
 
-    An automaton over a block of items, `max_bytes` of text at most, is broadcast at a time; one scan a block.
+    Items are cut into blocks by their measured sizes: at most `max_bytes` of text, or a single item above that. One block
+    at a time is broadcast, made into an automaton once per worker, searched for in a scan of all documents, and dropped
+    before the next; its hits are stored. An empty item is in every text; null items and texts match nothing.
     """
     spark = docs.sparkSession
-    total = items.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // max_bytes))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = items.select("item").filter("item is not null").distinct().withColumn("bytes", F.octet_length("item").cast("long"))
+    placed = with_position(sized, ["item"], parts, "before", weight="bytes").withColumn("block", F.floor(F.col("before") / max_bytes))
+    # a block holds what begins in its range, so its last item may reach beyond: such an item goes on its own
+    alone = F.col("before") - F.col("block") * max_bytes + F.col("bytes") > max_bytes
+    placed = materialize(placed.select("item", "block", alone.alias("alone")), "items")
+    blocks = [(r["block"], r["alone"]) for r in placed.select("block", "alone").distinct().orderBy("block", "alone").collect()]  # a row for max_bytes
     kind = docs.schema["doc_id"]
-    found = []
-    for number in range(blocks):
-        some = [r["item"] for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()]
+
+    def one(block: int, alone: bool) -> DataFrame:
+        some = [r["item"] for r in placed.filter((F.col("block") == block) & (F.col("alone") == alone)).collect()]
+        name = uuid.uuid4().hex
         shared = spark.sparkContext.broadcast([x for x in some if x])
         everything = "" in some
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, everything=everything) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for x in shared.value:
-                automaton.add_word(x)
-            automaton.make_automaton()
-            search = automaton.iter if shared.value else lambda text: iter(())
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _automaton(name, shared.value).iter if shared.value else lambda text: iter(())
             for b in batches:
                 texts = b.column(1).to_pylist()
                 hit = [t is not None and (everything or next(search(t), None) is not None) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(scan, T.StructType([kind])))
-    return reduce(DataFrame.unionAll, found).distinct()
+        found = docs.select("doc_id", "text").mapInArrow(scan, T.StructType([kind]))
+        if len(blocks) == 1:
+            return found
+        found = materialize(found.distinct(), "hits")
+        shared.destroy()
+        return found
+
+    if not blocks:
+        return docs.select("doc_id").limit(0)
+    return reduce(DataFrame.unionAll, [one(*b) for b in blocks]).distinct()
 
 
 def embed(df: DataFrame, encoder, text: str = "text", dim: int = 64) -> DataFrame:
