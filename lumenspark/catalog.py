@@ -139,10 +139,11 @@ _DIRTY = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, (_, c) in enumerate(_DIRTY)) + ") AS t(id, cleaned)")
+@query("SELECT c_custkey AS id, [" + ", ".join("'" + c.replace("'", "''") + "'" for _, c in _DIRTY) + "][c_custkey % " + str(len(_DIRTY)) + " + 1] AS cleaned FROM customer")
 def clean_text_rules(s, d):
-    rows = s.createDataFrame([(i, t) for i, (t, _) in enumerate(_DIRTY)], "id int, text string")
-    return rows.select("id", X.clean_text(F.col("text")).alias("cleaned"))
+    """Each customer with one of the texts above."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _DIRTY]), (F.col("c_custkey") % len(_DIRTY) + 1).cast("int"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id"), X.clean_text(text).alias("cleaned"))
 
 
 # Line items as reports word them; each kind sets off three or four rules once.
@@ -732,9 +733,16 @@ def record_counts(s, d):
     return sums.agg(F.sum("nested").alias("nested"), F.sum("plain").alias("plain"))
 
 
-@query()
+@query(
+    "SELECT 'program_records' AS name, 'json array' AS format, 2::INT AS n_licenses, 'https://example.org/program' AS homepage, 'r1' AS revision, count(DISTINCT o_orderkey) AS records FROM orders"
+    " UNION ALL SELECT 'span_records', 'json array', 1, 'https://example.org/span', 'r2', count(*) FILTER (WHERE role = 'user') FROM conversations"
+)
 def source_registry(s, d):
-    return files.registry(s)
+    """The registry with the user's addresses and revisions, and how many records each source has."""
+    told = {"program_records": ("https://example.org/program", "r1", "cite a"), "span_records": ("https://example.org/span", "r2", "cite b")}
+    counts = table(s, d, "orders").agg(F.count_distinct("o_orderkey").alias("records")).withColumn("name", F.lit("program_records"))
+    counts = counts.unionByName(table(s, d, "conversations").agg(F.count_if(F.col("role") == "user").alias("records")).withColumn("name", F.lit("span_records")))
+    return files.registry(s, told).join(counts, "name").select("name", "format", F.size("licenses").alias("n_licenses"), "homepage", "revision", "records")
 
 
 @query(

@@ -78,10 +78,32 @@ def _number(text: str) -> float:
     return np.nan
 
 
-def _cells(table: list[list[str]] | None, name: str) -> list[float] | None:
-    row = next((r for r in table or [] if r and (r[0] or "").strip() == name), None)
-    values = [_number((x or "").replace("$", "").partition("(")[0]) for x in (row or [])[1:]]
-    return values if values and not np.isnan(values).any() else None
+class _Tables:
+    """The rows of a batch of tables by their heads. A row's numbers are read when a step first asks for them, and once."""
+
+    def __init__(self, table: pa.Array):
+        self.valid, self.rows = table.is_valid().to_numpy(zero_copy_only=False), table.offsets.to_numpy()
+        inner = table.values
+        self.at, self.cells, self.begin = inner.offsets.to_numpy(), inner.values, int(self.rows[0])
+        low, high = self.at[self.begin : self.rows[-1]], self.at[self.begin + 1 : self.rows[-1] + 1]
+        filled = (high > low) & inner.is_valid().to_numpy(zero_copy_only=False)[self.begin : self.rows[-1]]
+        heads = np.full(len(low), None, object)
+        heads[filled] = [(x or "").strip() for x in self.cells.take(pa.array(low[filled])).to_pylist()]
+        self.heads, self.known = heads.tolist(), {}
+
+    def numbers(self, table: int, head: str) -> list[float] | None:
+        """Numbers of the first row of a table that has the head; None if there is none or any cell isn't a number."""
+        if not self.valid[table]:
+            return None
+        try:
+            i = self.heads.index(head, self.rows[table] - self.begin, self.rows[table + 1] - self.begin) + self.begin
+        except ValueError:
+            return None
+        if i not in self.known:
+            some = self.cells.slice(self.at[i] + 1, self.at[i + 1] - self.at[i] - 1).to_pylist()
+            values = [_number((x or "").replace("$", "").partition("(")[0]) for x in some]
+            self.known[i] = values if values and not np.isnan(values).any() else None
+        return self.known[i]
 
 
 def _arguments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +122,7 @@ def _run(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
     op, a1, a2 = steps.flatten().flatten()
     num, word, fine = np.full(len(op), np.nan), np.zeros(len(op), np.int8), np.ones(len(sizes), bool)
     read: dict[int, list[float]] = {}
+    tables: _Tables | None = None
     names = op.dictionary_encode()
     kinds, kind = names.dictionary.to_pylist(), names.indices.to_numpy()
     sides = [_arguments(a) for a in (a1, a2)]
@@ -117,8 +140,9 @@ def _run(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
                 word[at[known]] = np.where(x[known] > y[known], 1, 2)
             elif name in _OF_TABLE:
                 heads = a1.take(pa.array(at[here])).to_pylist()
+                tables = tables or _Tables(table)
                 for h, head in zip(here.tolist(), heads, strict=True):
-                    values = _cells(table[int(rows[h])].as_py(), head)
+                    values = tables.numbers(int(rows[h]), head)
                     if values:
                         num[at[h]], read[int(at[h])] = _OF_TABLE[name](values), values
         num[at] = np.where(np.isfinite(num[at]), num[at], np.nan)

@@ -41,8 +41,9 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blo
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = with_position((vectors if queries is None else queries).select("id", F.col("embedding").cast("array<double>").alias("v")), ["id"], parts, "place")
+    asked = (vectors if queries is None else queries).select("id", F.col("embedding").cast("array<double>").alias("v"))
     blocks = -(-asked.count() // block)
+    asked = with_position(asked, ["id"], parts, "place") if blocks > 1 else asked.withColumn("place", F.lit(0))
     kind = vectors.schema["id"].dataType.simpleString()
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
 

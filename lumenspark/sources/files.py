@@ -157,7 +157,8 @@ REGISTRY = {
 }
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """One row per kind of source: name, role, format, licenses, nested (the array whose elements are records) and schema."""
-    rows = [(name, *x) for name, x in REGISTRY.items()]
-    return spark.createDataFrame(rows, "name string, role string, format string, licenses array<string>, nested string, schema string")
+def registry(spark: SparkSession, told: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """One row per kind of source: name, role, format, licenses, nested (the array whose elements are records), schema,
+    homepage, revision and citation. `told` has the last three by name; they are the user's, and null without it."""
+    rows = [(name, *x, *((told or {}).get(name) or (None,) * 3)) for name, x in REGISTRY.items()]
+    return spark.createDataFrame(rows, "name string, role string, format string, licenses array<string>, nested string, schema string, homepage string, revision string, citation string")
