@@ -7,8 +7,8 @@ identifiers, `and`, `or`, `with` and parentheses. An expression allows reuse if
 does; `with` adds an exception to the identifier before it. Broken expressions are read up to the first bad token.
 
 score: how free a document's notices are, from 0 to 1. Without notices it is 0.5; else the lowest value among them:
-permissive 1, weak copyleft 0.6, strong copyleft 0.3, non-commercial or unknown 0.1; an `or` takes the best of its
-parts, an `and` the worst.
+permissive 1, weak copyleft 0.6, strong copyleft 0.3, use restricted 0.1, an unknown identifier 0.5; an `or` takes the
+best of its parts, an `and` the worst.
 
 Cases: a null or empty text has no words, no places and empty labels; repeated documents are judged alike; an empty
 table gives no rows; columns besides doc_id and text aren't read.
@@ -36,7 +36,7 @@ NOTICES = {
     "affero general public license": "agpl",
     "mozilla public license": "mpl",
     "creative commons attribution": "cc-by",
-    "cc by": "cc-by",
+    **{f"cc by {version}": "cc-by" for version in ("1 0", "2 0", "2 5", "3 0", "4 0")},
     "cc by sa": "cc-by-sa",
     "cc by nc": "cc-by-nc",
     "cc0": "cc0",
@@ -48,16 +48,25 @@ VALUES = {
     "mit": 1.0, "mit-text": 1.0, "apache": 1.0, "bsd": 1.0, "bsd-text": 1.0, "isc": 1.0, "cc-by": 1.0, "cc0": 1.0, "public-domain": 1.0,
     "mpl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.3, "agpl": 0.3, "cc-by-nc": 0.1, "all-rights-reserved": 0.1,
 }
-_FAMILIES = [("cc-by-nc", 0.1), ("cc-by-nd", 0.1), ("cc-by-sa", 0.6), ("cc-by", 1.0), ("cc0", 1.0), ("lgpl", 0.6), ("agpl", 0.3), ("gpl", 0.3), ("mpl", 0.6), ("epl", 0.6), ("apache", 1.0), ("mit", 1.0), ("bsd", 1.0), ("0bsd", 1.0), ("isc", 1.0), ("zlib", 1.0), ("unlicense", 1.0), ("python", 1.0)]
+#: Families of licence identifiers by how free they are; a family stands for its versions and variants (`gpl-2.0-only`).
+_CLASSES = {
+    1.0: "0bsd afl antlr apache beerware blueoak boost bsd bsl bzip2 cc-by cc-pddc cc0 cecill-b curl ecl efl fair ftl hpnd icu ijg imagemagick intel isc libpng libtiff mit mit-0 mulanpsl naist ncsa ntp odc-by openssl pddl php pil postgresql psf python ruby tcl unicode unlicense upl vsl w3c wtfpl x11 xnet zend zlib zpl",
+    0.6: "apsl artistic bittorrent cc-by-sa cddl cecill-c cpl epl erlpl eupl-1.0 interbase ipa ipl lgpl lgplv2 lgplv3 lpl lppl mpl ms-pl ms-rl nasa nokia npl odbl ofl sissl spl sugarcrm vim wxwindows ypl",
+    0.3: "agpl agplv3 cecill cpal cua-opl eupl gfdl gpl gplv2 gplv3 honest oclc osl parity qpl rpl sleepycat watcom",
+    0.1: "bigscience busl cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd commons-clause elastic hippocratic json llama openrail polyform proprietary rail sspl",
+}
+_FAMILIES = {family: value for value, families in _CLASSES.items() for family in families.split()}
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _TAG_TEXT = re.compile(r"spdx-license-identifier:", re.I | re.A)
 _RANK = {"or": 1, "and": 2, "with": 3}
-UNKNOWN = 0.1
+UNKNOWN = 0.5
 
 
 def value_of(identifier: str) -> float:
+    """The value of the longest family that the identifier is, or begins with before a hyphen or plus sign; else UNKNOWN."""
     low = identifier.lower()
-    return next((v for family, v in _FAMILIES if low == family or low.startswith((family + "-", family + "+"))), UNKNOWN)
+    ends = [len(low), *[i for i, c in enumerate(low) if c in "-+"][::-1]]
+    return next((_FAMILIES[low[:i]] for i in ends if low[:i] in _FAMILIES), UNKNOWN)
 
 
 def tokens_of(text: str, at: int = 0) -> list[str]:

@@ -258,3 +258,10 @@ def test_license_labels_and_score(spark):
 def test_pii_without_texts(spark, rows):
     docs = odd_docs(spark, rows) if rows else odd_docs(spark).limit(0)
     assert [r["spans"] for r in op5_pii.report(docs).collect()] == [""] * docs.count()
+
+
+def test_license_classes():
+    """Identifiers by the longest family that they begin with; unknown ones aren't held against a document."""
+    want = {"EUPL-1.2": 0.3, "MS-PL": 0.6, "BSL-1.0": 1.0, "BUSL-1.1": 0.1, "Artistic-2.0": 0.6, "CDDL-1.0": 0.6, "PSF-2.0": 1.0, "CC-BY-4.0": 1.0, "CC-BY-NC-SA-4.0": 0.1, "CC-BY-SA-3.0": 0.6, "GPL-2.0+": 0.3, "MIT": 1.0, "MITx": 0.5, "LicenseRef-own": 0.5}
+    assert {x: op8_licenses.value_of(x) for x in want} == want
+    assert "cc-by" not in op8_licenses.scan("sent cc by mail")[5] and op8_licenses.scan("under CC BY 4.0 terms")[5] == "cc-by"
