@@ -6,7 +6,8 @@ consecutive documents in ascending doc_id order. A shard is an Arrow stream of e
     input_ids  fixed_size_list<uint16 or uint32>[L]   the narrower one that holds the vocabulary
     mask       fixed_size_list<bool>[L]               false for padding (end of the last sequence only)
 
-so that sequence i of a memory-mapped shard is a zero-copy slice at i * L. Beside it, a second stream lists the shard's
+so that sequence i of a memory-mapped shard is a zero-copy slice. Batches hold 64 sequences each (the last one fewer), so its
+place follows from i: nothing before it is read. Beside it, a second stream lists the shard's
 documents (doc_id, start, n_tokens), start counting the ids of earlier documents in the shard. Files are written under a
 temporary name and renamed, with the same bytes for every attempt, so a task that runs again does no harm.
 
@@ -33,6 +34,10 @@ from lumenspark.llm.batches import Recent, distinct_pieces, gather, slices
 from lumenspark.plans.scratch import materialize, new_path
 
 LENGTH = 2048
+#: Sequences of a batch, and text of a shard as Spark estimates it.
+BATCH = 64
+SHARD_BYTES = 256_000_000
+MOST_SHARDS = 100_000
 END = 0
 SLICE = 4_000_000
 _WHITE = r"\x09-\x0d\x20\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -173,19 +178,20 @@ class _Shard:
         self.held += len(ids)
         self.start += len(ids)
         self.writers[1].write_batch(pa.record_batch([doc_ids, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=self.schemas[1]))
-        if self.held >= 64 * self.length:
+        if self.held >= BATCH * self.length:
             self._sequences(False)
 
     def _sequences(self, last: bool) -> None:
+        """Write all whole batches of BATCH sequences, at the end also what is left: so all but the last are of one size."""
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, self.width)
-        whole = len(ids) // self.length * self.length
-        real = len(ids)
+        real, unit = len(ids), BATCH * self.length
+        whole = real // unit * unit
         if last and whole < real:
-            whole += self.length
+            whole = -(-real // self.length) * self.length
             ids = np.concatenate([ids, np.zeros(whole - real, self.width)])
-        if whole:
-            mask = np.arange(whole) < real
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids[:whole], mask)]
+        mask = np.arange(whole) < real
+        for k in range(0, whole, unit):
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[k : min(whole, k + unit)]), self.length) for x in (ids, mask)]
             self.writers[0].write_batch(pa.record_batch(columns, schema=self.schemas[0]))
         self.ids, self.held = [ids[whole:]], max(0, real - whole)
 
@@ -201,8 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, pa
     """Write docs' token shards to `folder`, a URI that every executor reaches; returns (shard, tokens), one row each."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shard_count(docs.select("doc_id", "text"))
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -264,14 +269,39 @@ def _documents(folder: str, shard: int) -> Iterator[pa.RecordBatch]:
 
 
 def sequence(folder: str, shard: int, i: int) -> tuple[pa.Array, pa.Array]:
-    """Random access to sequence i of a shard on a local path, and its mask: slices of the mapped file, not copies."""
-    source = pa.memory_map(f"{_filesystem(folder)[1]}/shard-{shard:06d}.tokens.arrow")
-    for b in pa.ipc.open_stream(source):
-        if i < b.num_rows:
-            length = b.column(0).type.list_size
-            return tuple(c.flatten().slice(i * length, length) for c in b.columns)
-        i -= b.num_rows
-    raise IndexError(i)
+    """Random access to sequence i of a shard, and its mask.
+
+    All batches but the last have one size, so the first tells where the batch of any sequence begins: two messages are
+    read wherever it stands. Of a local file they are slices of the mapped file, not copies.
+    """
+    if i < 0:
+        raise IndexError(i)
+    fs, root = _filesystem(folder)
+    name = f"{root}/shard-{shard:06d}.tokens.arrow"
+    with pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(name) as source:
+        schema = pa.ipc.read_schema(source)
+        begin = source.tell()
+        try:
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+            k, at = divmod(i, batch.num_rows)
+            if k:
+                place = begin + k * (source.tell() - begin)
+                if place >= source.size():
+                    raise IndexError(i)
+                source.seek(place)
+                batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+        except EOFError:
+            raise IndexError(i) from None
+    if at >= batch.num_rows:
+        raise IndexError(i)
+    length = schema.field(0).type.list_size
+    return tuple(c.flatten().slice(at * length, length) for c in batch.columns)
+
+
+def shard_count(docs: DataFrame) -> int:
+    """As many shards as shuffle partitions, more for tables of over SHARD_BYTES each by Spark's estimate; at most MOST_SHARDS."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, length: int = LENGTH, folder: str | None = None) -> DataFrame:

@@ -100,10 +100,24 @@ def test_arrow_random_access(spark, sf, tmp_path):
     t = library("byte_bpe_50k.json")
     ids = [y for _, x in sorted(texts(docs)) for y in [*t.encode(x, add_special_tokens=False).ids, 0]]
     assert shards[0]["tokens"] == len(ids)
-    for i in (0, 70, len(ids) // 64):
+    assert len(ids) // 64 > 200  # several batches
+    for i in (0, 63, 64, 70, 128, 191, len(ids) // 64 - 1, (len(ids) - 1) // 64):
         got, mask = op2_arrow_ids.sequence(folder, 0, i)
         own = ids[i * 64 : i * 64 + 64]
         assert got.to_pylist() == own + [0] * (64 - len(own)) and mask.to_pylist() == [True] * len(own) + [False] * (64 - len(own))
+    for i in ((len(ids) - 1) // 64 + 1, 10**6, -1):
+        with pytest.raises(IndexError):
+            op2_arrow_ids.sequence(folder, 0, i)
+
+
+def test_arrow_shards_by_size(spark, sf, monkeypatch):
+    """Large tables get more shards than shuffle partitions; the ids are the same."""
+    docs = docs_of(spark, sf)
+    want = sorted(map(tuple, op2_arrow_ids.round_trip(spark, docs, tokenizer("byte_bpe_50k.json")).collect()))
+    assert op2_arrow_ids.shard_count(docs) == 4
+    monkeypatch.setattr(op2_arrow_ids, "SHARD_BYTES", 20_000)
+    assert op2_arrow_ids.shard_count(docs) > 8
+    assert sorted(map(tuple, op2_arrow_ids.round_trip(spark, docs, tokenizer("byte_bpe_50k.json")).collect())) == want
 
 
 def test_arrow_empty(spark):
