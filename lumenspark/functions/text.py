@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,24 +88,13 @@ def clean_table(c: Column) -> Column:
     return F.transform(_nfkc_table(c), lambda row: F.transform(row, rewrite))
 
 
-_COMPILED = [(re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", replacement).replace("\\$", "$")) for _, pattern, replacement in RULES]
-
-
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _rule_counts(texts: pa.Array) -> pa.Array:
-    counts = []
-    for t in texts.to_pylist():
-        t, row = unicodedata.normalize("NFKC", t or ""), []
-        for pattern, replacement in _COMPILED:
-            t, n = pattern.subn(replacement, t)
-            row.append(n)
-        counts.append(row)
-    return pa.array(counts, pa.list_(pa.int32()))
-
-
 def rule_hits(c: Column) -> Column:
     """map of rule to how often it rewrites the text, in compatibility form, as its predecessors left it."""
-    return F.map_from_arrays(F.array(*[F.lit(name) for name, _, _ in RULES]), _rule_counts(c))
+    text, counts = F.coalesce(nfkc(c), F.lit("")), []
+    for _, pattern, replacement in RULES:  # the generated code computes each stage of the text once
+        counts.append(F.regexp_count(text, F.lit(_FLAGS + pattern)))
+        text = F.regexp_replace(text, _FLAGS + pattern, replacement)
+    return F.map_from_arrays(F.array(*[F.lit(name) for name, _, _ in RULES]), F.array(*counts))
 
 
 def comparable(c: Column) -> Column:
