@@ -171,6 +171,47 @@ def deletions(numbered: DataFrame, min_words: int) -> DataFrame:
     return found.repartition("row").sortWithinPartitions("row", "line").mapInArrow(run, "row long, cuts array<long>")
 
 
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line, size, kept_doc_id, kept_line): the maximal repeated runs of lines and where their kept copies stand.
+
+    A later copy of a shortest run lies a certain way behind its kept copy; overlapping ones that lie equally far behind
+    theirs are one run, as long as it repeats what stands there. So each row is a whole stretch of lines that `size` lines
+    from kept_line on repeat, and stretches that were first seen in different places are rows of their own.
+    """
+    row = free_name(docs, "row")
+    numbered = with_row_id(docs, row).select(F.col(row).alias("row"), "doc_id", "text")
+    lines = materialize(line_ids(numbered), "lines")
+    found = materialize(shortest_runs(suffix_ranks(lines, min_words), min_words), "runs")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = lines.groupBy("row", "doc_id").agg(F.count("*").alias("n")).withColumn("none", F.col("doc_id").isNull())
+    begins = materialize(with_position(sizes, ["none", "doc_id", "row"], parts, "begin", weight="n").select("row", "begin"), "begins")
+    placed = found.join(begins, "row").withColumn("place", F.col("begin") + F.col("line"))
+    firsts = placed.groupBy("a", "b", "size").agg(F.min("place").alias("first"), F.min_by(F.struct("row", "doc_id", "line"), "place").alias("kept"))
+    later = placed.join(firsts, ["a", "b", "size"]).filter("place > first").withColumn("behind", F.col("place") - F.col("first"))
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("line", T.LongType()), T.StructField("size", T.LongType()), T.StructField("kept_doc_id", kind), T.StructField("kept_line", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "row"):
+            t = t.combine_chunks()
+            row, behind, line, size = (t.column(c).to_numpy() for c in ("row", "behind", "line", "size"))
+            picked, sizes, open_ = [], [], None
+            for k in range(len(row)):
+                if open_ == (row[k], behind[k]) and line[k] < line[picked[-1]] + sizes[-1]:
+                    sizes[-1] = max(sizes[-1], int(line[k] + size[k] - line[picked[-1]]))
+                else:
+                    open_ = (row[k], behind[k])
+                    picked.append(k)
+                    sizes.append(int(size[k]))
+            some = t.take(pa.array(picked, pa.int64()))
+            arrays = [some.column(c).combine_chunks() for c in ("row", "doc_id", "line", "kept_doc_id", "kept_line")]
+            yield pa.RecordBatch.from_arrays([*arrays[:3], pa.array(sizes, pa.int64()), *arrays[3:]], names=schema.names)
+
+    dealt = later.select("row", "doc_id", "line", "size", "behind", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").cast("long").alias("kept_line"))
+    dealt = dealt.repartition("row").sortWithinPartitions("row", "behind", "line")
+    return dealt.mapInArrow(run, schema).drop("row")
+
+
 def _gone(i: F.Column, cuts: str) -> F.Column:
     return F.exists(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: (i >= F.get(cuts, k)) & (i < F.get(cuts, k + 1)))
 

@@ -171,6 +171,28 @@ def test_every_passage_stays(spark):
         assert all(any(f"\n{x}\n" in f"\n{t}\n" for t in left) for x, n in seen.items() if n > 1)
 
 
+def test_maximal_runs_name_their_kept_copies(spark):
+    """Each run repeats what stands at its kept copy, before it, and together they cover what dedup() deletes."""
+    rng = np.random.default_rng(12)
+    rows = ["\n".join(rng.choice(["a", "b b", "c c c", "d"], rng.integers(0, 30))) for _ in range(30)]
+    cut = [t.split("\n") for t in rows]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    m = 5
+    got = [tuple(r) for r in op3_line_dedup.repeated_runs(docs, m).collect()]
+    later = [set() for _ in cut]
+    for d, line, n, k_doc, k_line in got:
+        assert cut[d][line : line + n] == cut[k_doc][k_line : k_line + n] and (k_doc, k_line) < (d, line)
+        assert sum(max(1, len(x.split())) for x in cut[d][line : line + n]) >= m
+        later[d].update(range(line, line + n))
+    assert len(got) == len(set(got)) and len(got) > 50
+    for c, own, t in zip(cut, later, brute_lines(rows, m)):  # what goes is part of a run
+        left = t.split("\n")
+        assert len(left) >= len(c) - len(own)
+    page = "\n".join(f"line {i} of a passage of many words" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x\n{page}\ny"), (2, f"{page}\nz"), (3, "u\n" + page.split("\n", 3)[3])], "doc_id long, text string")
+    assert sorted(map(tuple, op3_line_dedup.repeated_runs(docs).collect())) == [(2, 0, 12, 1, 1), (3, 1, 9, 1, 4)]
+
+
 def test_lines_brute_force(spark):
     rng = np.random.default_rng(4)
     pool = [" ".join(f"w{k}" for k in rng.integers(0, 9, n)) for n in rng.integers(0, 8, 12)]
