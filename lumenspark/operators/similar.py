@@ -231,15 +231,18 @@ def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> Da
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = items.select("item").filter("item is not null").distinct().withColumn("bytes", F.octet_length("item").cast("long"))
-    placed = with_position(sized, ["item"], parts, "before", weight="bytes").withColumn("block", F.floor(F.col("before") / max_bytes))
-    # a block holds what begins in its range, so its last item may reach beyond: such an item goes on its own
-    alone = F.col("before") - F.col("block") * max_bytes + F.col("bytes") > max_bytes
-    placed = materialize(placed.select("item", "block", alone.alias("alone")), "items")
-    blocks = [(r["block"], r["alone"]) for r in placed.select("block", "alone").distinct().orderBy("block", "alone").collect()]  # a row for max_bytes
+    sized = materialize(sized, "items")
+    # what begins in a range of the running size reaches beyond it by less than the longest item; items of over half a block go alone
+    small, large = sized.filter(F.col("bytes") <= max_bytes // 2), sized.filter(F.col("bytes") > max_bytes // 2)
+    width = max(1, max_bytes - (small.agg(F.max("bytes")).first()[0] or 0))
+    packed = with_position(small, ["item"], parts, "before", weight="bytes").select("item", F.floor(F.col("before") / width).alias("block"))
+    alone = with_position(large, ["item"], parts, "at").select("item", (-1 - F.col("at")).alias("block"))
+    placed = materialize(packed.unionByName(alone), "items")
+    blocks = [r["block"] for r in placed.select("block").distinct().orderBy("block").collect()]  # two rows for max_bytes at most
     kind = docs.schema["doc_id"]
 
-    def one(block: int, alone: bool) -> DataFrame:
-        some = [r["item"] for r in placed.filter((F.col("block") == block) & (F.col("alone") == alone)).collect()]
+    def one(block: int) -> DataFrame:
+        some = [r["item"] for r in placed.filter(F.col("block") == block).collect()]
         name = uuid.uuid4().hex
         shared = spark.sparkContext.broadcast([x for x in some if x])
         everything = "" in some
@@ -260,7 +263,7 @@ def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> Da
 
     if not blocks:
         return docs.select("doc_id").limit(0)
-    return reduce(DataFrame.unionAll, [one(*b) for b in blocks]).distinct()
+    return reduce(DataFrame.unionAll, [one(b) for b in blocks]).distinct()
 
 
 def embed(df: DataFrame, encoder, text: str = "text", dim: int = 64) -> DataFrame:
