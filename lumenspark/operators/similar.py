@@ -232,13 +232,16 @@ def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = items.select("item").filter("item is not null").distinct().withColumn("bytes", F.octet_length("item").cast("long"))
     sized = materialize(sized, "items")
-    # what begins in a range of the running size reaches beyond it by less than the longest item; items of over half a block go alone
     small, large = sized.filter(F.col("bytes") <= max_bytes // 2), sized.filter(F.col("bytes") > max_bytes // 2)
-    width = max(1, max_bytes - (small.agg(F.max("bytes")).first()[0] or 0))
-    packed = with_position(small, ["item"], parts, "before", weight="bytes").select("item", F.floor(F.col("before") / width).alias("block"))
-    alone = with_position(large, ["item"], parts, "at").select("item", (-1 - F.col("at")).alias("block"))
-    placed = materialize(packed.unionByName(alone), "items")
-    blocks = [r["block"] for r in placed.select("block").distinct().orderBy("block").collect()]  # two rows for max_bytes at most
+    told = sized.agg(F.sum("bytes").alias("total"), F.count("*").alias("n"), F.max(F.when(F.col("bytes") <= max_bytes // 2, F.col("bytes"))).alias("longest")).first()
+    if (told["total"] or 0) <= max_bytes:
+        placed, blocks = sized.withColumn("block", F.lit(0)), [0] if told["n"] else []
+    else:
+        # what begins in a range of the running size reaches beyond it by less than the longest item; others go alone
+        packed = with_position(small, ["item"], parts, "before", weight="bytes").select("item", F.floor(F.col("before") / max(1, max_bytes - (told["longest"] or 0))).alias("block"))
+        alone = with_position(large, ["item"], parts, "at").select("item", (-1 - F.col("at")).alias("block"))
+        placed = materialize(packed.unionByName(alone), "items")
+        blocks = [r["block"] for r in placed.select("block").distinct().orderBy("block").collect()]  # two rows for max_bytes at most
     kind = docs.schema["doc_id"]
 
     def one(block: int) -> DataFrame:
