@@ -175,6 +175,7 @@ def pair_sums(columns: DataFrame, groups: DataFrame, block: int = BLOCK) -> Data
     placed = materialize(with_position(groups.select("lang", "source", "whole"), ["lang", "source"], parts, "place").withColumn("block", F.floor(F.col("place") / block)), "groups")
     ends = placed.groupBy("block").agg(F.min("lang").alias("first"), F.max("lang").alias("last")).orderBy("block").collect()  # a row for 2,048 groups
     schema = "lang string, source string, item string, value long, terms long"
+    columns = columns if len(ends) <= 1 else materialize(columns, "columns")
 
     def load(k: int) -> dict:
         out: dict[str, tuple[list, list]] = {}
