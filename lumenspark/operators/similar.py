@@ -9,11 +9,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenspark.operators import nearest
 from lumenspark.operators.graph import connected_components
@@ -23,6 +23,7 @@ from lumenspark.plans.scratch import materialize
 # Detector rules in order of strictness, and the threshold grid.
 RULES = ["similarity", "similarity+same_answer", "similarity+same_answer+same_args"]
 BLOCK = 8192
+TILE = 1 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,13 +31,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _closest(x: np.ndarray, ids: pa.Array, k: int, rows: Iterator[tuple[pa.Array, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the queries x (ids): place in the ids returned last, and similarity (-inf: none), of the k best of all rows (ids, v).
+
+    Queries meet rows in tiles of about TILE numbers, so memory doesn't grow with either. A tile's product only picks the
+    rows that may be among the best; these are compared again, number by number in one order, so that equal vectors have
+    equal similarities wherever they stand.
+    """
+    sims, found, names = np.full((len(x), k), -np.inf), np.full((len(x), k), -1), ids.slice(0, 0)
+    for own, v in rows:
+        same = pc.fill_null(pc.index_in(own, ids.unique()), -1).to_numpy(), pc.index_in(ids, ids.unique()).to_numpy()
+        base, names = len(names), pa.concat_arrays([names, own])
+        wide = max(k, min(len(own), 2048))
+        for c in range(0, len(own), wide):
+            some = v[c : c + wide]
+            for q in range(0, len(x), step := max(1, TILE // wide)):
+                s = x[q : q + step] @ some.T
+                a, b = same[0][c : c + wide], same[1][q : q + step]
+                mine = np.flatnonzero((a >= b.min()) & (a <= b.max()))
+                s[:, mine] = np.where(a[mine] == b[:, None], -np.inf, s[:, mine])
+                least = sims[q : q + step, -1]
+                if s.shape[1] > k and np.isinf(least).any():
+                    s = np.where(np.isnan(s), -np.inf, s)
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+                i, j = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
+                if not len(i):
+                    continue
+                length = max(1, TILE // x.shape[1])
+                exact = np.concatenate([(x[q + i[o : o + length]] * some[j[o : o + length]]).sum(axis=1) for o in range(0, len(i), length)])
+                # what is kept and what is new, the best of each query first
+                held = np.argwhere(found[q : q + step] >= 0)
+                query = np.concatenate([held[:, 0], i])
+                sim = np.concatenate([sims[q + held[:, 0], held[:, 1]], exact])
+                at = np.concatenate([found[q + held[:, 0], held[:, 1]], base + c + j])
+                touched = np.isin(query, i)
+                query, sim, at = query[touched], sim[touched], at[touched]
+                rank = np.empty(len(at), np.int64)
+                rank[pc.sort_indices(names.take(pa.array(at))).to_numpy()] = np.arange(len(at))
+                order = np.lexsort((rank, -sim, query))
+                query, sim, at = query[order], sim[order], at[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                query, sim, at, place = (z[place < k] for z in (query, sim, at, place))
+                sims[q + query, place], found[q + query, place] = sim, at
+        used = np.unique(found[found >= 0])
+        names, found = names.take(pa.array(used)), np.where(found < 0, -1, np.searchsorted(used, found))
+    return found, sims, names
+
+
 def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b, sim, rank): the k most similar other rows b of every query row a, ties by b.
 
     vectors: id, embedding, of unit length; queries: the rows to ask for, all of them if it isn't given. Exact, as a
     stated set of rows against all rows in blocks: `block` queries, a few MB, are broadcast at a time, every task keeps
-    their k best among its own rows, and a window ranks what the tasks keep. Vectors aren't shuffled; the work is
-    queries x rows, so ask for a part of very large tables. Each block's result is stored before the next one runs.
+    their k best among its own rows, and a window ranks what the tasks keep. Rows are dealt out to all cores once; the work
+    is queries x rows, so ask for a part of very large tables. Each block's result is stored before the next one runs.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -44,36 +92,21 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blo
     asked = (vectors if queries is None else queries).select("id", F.col("embedding").cast("array<double>").alias("v"))
     blocks = -(-asked.count() // block)
     asked = with_position(asked, ["id"], parts, "place") if blocks > 1 else asked.withColumn("place", F.lit(0))
+    # stored as files of whole splits, for one after the other would be read by one task
+    rows = materialize(rows.repartition(max(parts, spark.sparkContext.defaultParallelism), "id"), "rows") if blocks > 1 else rows.repartition(spark.sparkContext.defaultParallelism)
     kind = vectors.schema["id"].dataType.simpleString()
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))
 
     def one(number: int) -> DataFrame:
         got = asked.filter(F.floor(F.col("place") / block) == number).select("id", "v").toArrow()
-        shared = spark.sparkContext.broadcast((got.column("id").to_pylist(), got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)))
+        shared = spark.sparkContext.broadcast((got.column("id").combine_chunks(), got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)))
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, x = shared.value
-            place = {q: i for i, q in enumerate(ids)}
-            sims, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            names: list = []  # ids of the rows that some query keeps
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column("id").to_pylist()
-                s = x @ b.column("v").flatten().to_numpy().reshape(b.num_rows, -1).T
-                for j, i in enumerate(own):
-                    if i in place:
-                        s[place[i], j] = -np.inf
-                order = sorted(range(len(names) + len(own)), key=(names + own).__getitem__)
-                rank_of = np.empty(len(order), np.int64)
-                rank_of[order] = np.arange(len(order))
-                every, at = np.concatenate([sims, s], axis=1), np.concatenate([found, np.broadcast_to(np.arange(len(names), len(names) + len(own)), s.shape)], axis=1)
-                top = np.lexsort((rank_of[at], -every), axis=1)[:, :k]
-                sims, at = np.take_along_axis(every, top, 1), np.take_along_axis(at, top, 1)
-                used, found = np.unique(at, return_inverse=True)
-                found, names = found.reshape(at.shape), [(names + own)[u] for u in used.tolist()]
-            real = sims > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.nonzero(real)[0].tolist()], id_type), pa.array([names[i] for i in found[real].tolist()], id_type), pa.array(sims[real])], names=["a", "b", "sim"])
+            filled = ((b.column("id"), b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows)
+            found, sims, names = _closest(x, ids, k, filled)
+            at, _ = np.nonzero(real := found >= 0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), names.take(pa.array(found[real])), pa.array(sims[real])], names=["a", "b", "sim"])
 
         near = rows.mapInArrow(best, f"a {kind}, b {kind}, sim double").withColumn("rank", rank).filter(F.col("rank") <= k)
         if blocks == 1:
@@ -82,7 +115,6 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, blo
         shared.destroy()
         return stored
 
-    id_type = to_arrow_type(vectors.schema["id"].dataType)
     if not blocks:
         return spark.createDataFrame([], f"a {kind}, b {kind}, sim double, rank int")
     return reduce(DataFrame.unionAll, [one(i) for i in range(blocks)])

@@ -178,3 +178,38 @@ def test_runs_of_any_shape(spark, tmp_path):
     assert found("metrics", "$.acc.dev") == [0.5, 0.7, 0.9] and found("metrics", "$.acc.dev", low=0.6) == [0.7, 0.9]
     assert found("metrics", "$.acc.dev", low=0.6, high=0.8) == [0.7] and found("metrics", "$.n[1]") == [2.0] and found("config", "$.seed") == [1.0] * 5
     assert files.typed_runs(runs).filter("metrics is null").count() == 1
+
+
+# --- neighbours in tiles
+
+
+def test_neighbours_memory():
+    """Thousands of queries against thousands of rows in a bounded piece of memory, ties by id."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 16))
+    x = np.concatenate([v] * 20)
+    ids = rng.permutation(len(x))
+    batches = ((pa.array(ids[i : i + 5000]), x[i : i + 5000]) for i in range(0, len(x), 5000))
+    tracemalloc.start()
+    found, sims, names = similar._closest(x, pa.array(ids), 3, batches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # all similarities of one batch are 240 MB
+    for q in (0, 7, 4711, 5999):
+        s = (v * x[q]).sum(axis=1)
+        order = np.lexsort((ids, -np.concatenate([s] * 20)))
+        assert names.take(pa.array(found[q])).to_pylist() == [ids[o] for o in order if o != q][:3]
+
+
+def test_neighbours_odd_vectors(spark):
+    """Fewer rows than places, vectors without a similarity, and text ids."""
+    nan = float("nan")
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [nan, 1.0]), ("d", [0.0, 1.0])], "id string, embedding array<double>")
+    got = {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in similar.neighbours(df, 5).collect()}
+    assert got == {("a", 1): ("b", 1.0), ("a", 2): ("d", 0.0), ("b", 1): ("a", 1.0), ("b", 2): ("d", 0.0), ("d", 1): ("a", 0.0), ("d", 2): ("b", 0.0)}
+    blocks = {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in similar.neighbours(df, 5, block=1).collect()}
+    assert blocks == got
