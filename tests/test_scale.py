@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspark.catalog import QUERIES
 from lumenspark.operators import graph, levels, matrix, similar
 from lumenspark.plans import scratch
 from lumenspark.plans.ranking import running_sums
@@ -213,3 +214,14 @@ def test_neighbours_odd_vectors(spark):
     assert got == {("a", 1): ("b", 1.0), ("a", 2): ("d", 0.0), ("b", 1): ("a", 1.0), ("b", 2): ("d", 0.0), ("d", 1): ("a", 0.0), ("d", 2): ("b", 0.0)}
     blocks = {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in similar.neighbours(df, 5, block=1).collect()}
     assert blocks == got
+
+
+# --- tables as large copies and odd files hold them
+
+
+def test_broken_pairs_of_large_keys(spark, tmp_path):
+    """Keys beyond a million: a wrong answer must not come within the relative tolerance of the key."""
+    keys = [2_000_003, 2_000_005, 2_000_012, 35_999_997, 60_000_010, 7, 10, 11]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"] for r in QUERIES["broken_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {k for k in keys if k % 5 == 0 or k % 7 == 0}
