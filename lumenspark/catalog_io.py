@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,12 +270,17 @@ def multi_level_report(s, d):
     held = scratch.materialize(levels.states(rows, ["lang", "source"], "n_chars", "doc_id"), "states")
     told = levels.roll_up(held, wanted, {"median": 0.5})
     for k, level in enumerate(wanted):
-        own = told.filter(F.col("level") == k).select("level", *level, "median", "n", "distinct")
-        met = rows.join(own, level) if level else rows.crossJoin(own)  # one row
-        exact = met.groupBy("level", *level).agg(
-            (F.count_if(F.col("n_chars") < F.col("median")) <= 0.53 * F.first("n") + 1).alias("low"), (F.count_if(F.col("n_chars") <= F.col("median")) >= 0.47 * F.first("n") - 1).alias("high"), (F.abs(F.count_distinct("doc_id") - F.first("distinct")) <= 0.05 * F.count_distinct("doc_id") + 1).alias("distinct_close")
+        own = told.filter(F.col("level") == k).select("level", *[F.col(c).alias(f"own_{c}") for c in level], "median", "n", "total", "distinct")
+        same = [rows[c].eqNullSafe(own[f"own_{c}"]) for c in level]  # a null is a group, too
+        exact = rows.join(own, reduce(and_, same, F.lit(True))).groupBy("level", *level).agg(
+            F.first("n").alias("n"),
+            F.first("total").alias("total"),
+            (F.count_if(F.col("n_chars") < F.col("median")) <= 0.53 * F.first("n") + 1).alias("low"),
+            (F.count_if(F.col("n_chars") <= F.col("median")) >= 0.47 * F.first("n") - 1).alias("high"),
+            (F.abs(F.count_distinct("doc_id") - F.first("distinct")) <= 0.05 * F.count_distinct("doc_id") + 1).alias("distinct_close"),
         )
-        part = told.filter(F.col("level") == k).join(exact, ["level", *level]).select("level", "lang", "source", "n", "total", (F.col("low") & F.col("high")).alias("median_close"), "distinct_close")
+        keys = [F.col(c) if c in level else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+        part = exact.select("level", *keys, "n", "total", (F.col("low") & F.col("high")).alias("median_close"), "distinct_close")
         out = part if not k else out.unionByName(part)
     return out
 

@@ -1,8 +1,8 @@
 """Reports on several levels from one pass: mergeable states per finest group, rolled up to any coarser level.
 
-Counts and sums are exact. Quantiles come from KLL sketches and distinct counts from HyperLogLog sketches: a state of a few
-kB per group, whatever it holds. States may be stored per day or file and merged later; a report reads states, not rows.
-With the default size a quantile's rank is off by about 1.7 % at most (99 % of the time), a distinct count by about 1.6 %.
+Counts and sums are exact. Quantiles come from KLL sketches and distinct counts from HyperLogLog sketches: a state of up to
+about 20 kB per group, whatever it holds. States may be stored per day or file and merged later; a report reads states, not
+rows. A quantile's rank is off by about 1.7 % at most (99 % of the time), a distinct count has a standard error of 0.8 %.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# 2^14 registers: with Spark's own 2^12 a report of some hundred groups would have one that is off by 5 % now and then.
+REGISTERS = 14
+
+
 def states(rows: DataFrame, keys: list[str], value: str, distinct: str) -> DataFrame:
     """keys, n, total, quantiles and others: the state of each finest group. Null values and ids count in n alone."""
     v = F.col(value).cast("double")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.kll_sketch_agg_double(v).alias("quantiles"), F.hll_sketch_agg(F.col(distinct).cast("string")).alias("others"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(v).alias("total"), F.kll_sketch_agg_double(v).alias("quantiles"), F.hll_sketch_agg(F.col(distinct).cast("string"), REGISTERS).alias("others"))
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
