@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenspark.functions.numbers import let
 from lumenspark.functions.render import chat
 
 IGNORE = -100
@@ -21,16 +24,25 @@ def token_count(c: Column) -> Column:
 
 
 def find_last(ids: Column, part: Column) -> Column:
-    """0-based place of the last occurrence of `part`, -1 if there is none."""
-    starts = F.when(F.size(ids) >= F.size(part), F.sequence(F.lit(0), F.size(ids) - F.size(part))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(F.filter(starts, lambda i: F.slice(ids, i + 1, F.size(part)) == part)), F.lit(-1))
+    """0-based place of the last occurrence of `part`, -1 if there is none.
+
+    A search of text in text: numbers are written one after the other from the end, each behind a comma, and the commas
+    before the first hit are counted.
+    """
+    spelled = lambda x: F.concat(F.lit(","), F.array_join(F.reverse(x), ",", "null"), F.lit(","))
+
+    def place(whole: Column) -> Column:
+        before = F.left(whole, F.position(spelled(part), whole) - 1)
+        return F.when(F.contains(whole, spelled(part)), F.size(ids) - F.size(part) - F.length(before) + F.length(F.replace(before, F.lit(","), F.lit(""))))
+
+    return F.coalesce(F.when(F.size(part) == 0, F.size(ids)).otherwise(let(spelled(ids), place)), F.lit(-1))
 
 
 def response_labels(ids: Column, header: Column) -> Column:
     """ids with all up to and including the last header masked; an error where there is no header."""
-    at = find_last(ids, header)
-    cut = F.when(at >= 0, at + F.size(header)).otherwise(F.raise_error(F.lit("assistant header not found")).cast("int"))
-    return F.concat(F.array_repeat(F.lit(IGNORE), cut), F.slice(ids, cut + 1, F.size(ids)))
+    missing = F.raise_error(F.lit("assistant header not found")).cast("int")
+    masked = lambda at: let(F.when(at >= 0, at + F.size(header)).otherwise(missing), lambda cut: F.concat(F.array_repeat(F.lit(IGNORE), cut), F.slice(ids, cut + 1, F.size(ids))))
+    return let(find_last(ids, header), masked)
 
 
 def encoder(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column], Column]:
@@ -43,11 +55,38 @@ def encoder(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[Column]
     return ids
 
 
+def response_mask(header: list[int]) -> Callable[[Column], Column]:
+    """response_labels() by one header for all rows, as a Column function over Arrow batches: a batch is searched at once."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def labels(ids: pa.Array) -> pa.Array:
+        offsets, values = ids.offsets.to_numpy(), ids.values
+        begin, end = int(offsets[0]), int(offsets[-1])
+        values, offsets = values.slice(begin, end - begin), offsets - begin
+        flat = pc.fill_null(values.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy()
+        if header:
+            at = np.arange(max(0, len(flat) - len(header) + 1))
+            for j, h in enumerate(header):
+                at = at[flat[at + j] == h]
+            row = np.searchsorted(offsets, at, side="right") - 1
+            whole = at + len(header) <= offsets[row + 1]
+            cut = np.full(len(ids), -1)
+            cut[row[whole]] = at[whole] + len(header)  # ascending, so the last one stays
+        else:
+            cut = offsets[1:]
+        if ids.null_count or (cut < 0).any():
+            raise ValueError("assistant header not found")
+        masked = np.arange(len(flat)) < np.repeat(cut, np.diff(offsets))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.if_else(pa.array(masked), pa.scalar(IGNORE, pa.int32()), values))
+
+    return labels
+
+
 def tokenize_examples(df: DataFrame, text: str, ids: Callable[[Column], Column], header: list[int], response_only: bool = True) -> DataFrame:
     """df with input_ids, attention_mask and labels of chat texts; only the last response has labels, or all of the text."""
     out = df.withColumn("input_ids", ids(F.col(text)))
-    labels = response_labels(F.col("input_ids"), F.array(*map(F.lit, header))) if response_only else F.col("input_ids")
-    return out.withColumns({"attention_mask": F.transform("input_ids", lambda x: F.lit(1)), "labels": labels})
+    labels = response_mask(header)(F.col("input_ids")) if response_only else F.col("input_ids")
+    return out.withColumns({"attention_mask": F.array_repeat(F.lit(1), F.size("input_ids")), "labels": labels})
 
 
 def tokenize_pairs(pairs: DataFrame, ids: Callable[[Column], Column], header: list[int]) -> DataFrame:
@@ -55,10 +94,10 @@ def tokenize_pairs(pairs: DataFrame, ids: Callable[[Column], Column], header: li
 
     pairs: prompt, chosen, rejected, arrays of struct(role, content).
     """
-    out = pairs
+    out, labels = pairs, response_mask(header)
     for side in ("chosen", "rejected"):
         out = out.withColumn(f"{side}_input_ids", ids(chat(F.concat("prompt", side))))
-        out = out.withColumn(f"{side}_labels", response_labels(F.col(f"{side}_input_ids"), F.array(*map(F.lit, header))))
+        out = out.withColumn(f"{side}_labels", labels(F.col(f"{side}_input_ids")))
     return out
 
 

@@ -130,3 +130,26 @@ def test_components_and_positions(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert all(r["p"] == r["v"] for r in with_position(rows, ["v"], 7, "p").collect())
+
+
+def test_response_mask_of_batches(spark):
+    """The last header of every row, by Column and over batches: headers that overlap, end a row, or run across two rows."""
+    rows = [[1, 2, 1, 2, 1, 7], [3, 1, 2, 1], [1, 2, 1, 1], [9, 1, 2, 1, 1, 2], [1, 2, 1, None, 21]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ids array<int>").coalesce(1)
+    want = [[-100] * 5 + [7], [-100] * 4, [-100] * 3 + [1], [-100] * 4 + [1, 2], [-100] * 3 + [None, 21]]
+    got = df.select("i", K.response_mask([1, 2, 1])("ids").alias("a"), K.response_labels(F.col("ids"), F.array(*map(F.lit, [1, 2, 1]))).alias("b")).orderBy("i").collect()
+    assert [r["a"] for r in got] == want and [r["b"] for r in got] == want
+    with pytest.raises(Exception, match="assistant header not found"):
+        df.union(spark.createDataFrame([(9, [2, 1])], "i int, ids array<int>")).select(K.response_mask([1, 2, 1])("ids")).collect()
+
+
+def test_last_of_many_ids(spark):
+    """A thousand rows of two thousand ids are searched in seconds, and 12 is not found in 112 or 121."""
+    import time
+
+    df = spark.range(1000).select(F.concat(F.array(F.lit(12)), F.array_repeat(F.lit(112), 2000), F.array(F.lit(121))).alias("ids")).cache()
+    df.count()
+    begin = time.time()
+    assert df.filter(K.find_last(F.col("ids"), F.array(F.lit(12))) != 0).count() == 0
+    assert time.time() - begin < 20
+    assert value(spark, K.find_last(F.array(F.lit(1), F.lit(2)), F.array().cast("array<int>"))) == 2
