@@ -19,17 +19,18 @@ SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 def extract_answer(output: Column) -> Column:
     """The last answer line, else the whole output; null if blank."""
     lines = F.regexp_extract_all(output, F.lit(r"(?iUd)answer\s*[:：]\s*(.+)"), 1)
-    whole = strip(output)
-    return F.when(F.size(lines) > 0, strip(F.try_element_at(lines, F.lit(-1)))).when(whole != "", whole)
+    nothing = F.lit(None).cast("string")
+    whole = lambda: let(strip(output), lambda t: F.when(t != "", t).otherwise(nothing))
+    return let(F.try_element_at(lines, F.lit(-1)), lambda last: F.when(last.isNotNull(), strip(last)).otherwise(whole()))
 
 
 def _stated(raw: Column) -> Column:
-    s = F.regexp_replace(raw, "[$,% ]", "")
-    negative = s.startswith("(") & s.endswith(")")
-    s = F.regexp_replace(s, r"^[()]+|[()]+$", "")
-    value = safe_double(s)
-    decimals = F.when(s.contains("."), F.length(F.split_part(s, F.lit("."), F.lit(2)))).otherwise(0)
-    return F.struct(F.when(negative, -F.abs(value)).otherwise(value).alias("value"), decimals.alias("decimals"))
+    def read(s: Column, bare: Column) -> Column:
+        value = safe_double(bare)
+        decimals = F.when(bare.contains("."), F.length(F.split_part(bare, F.lit("."), F.lit(2)))).otherwise(0)
+        return F.struct(F.when(s.startswith("(") & s.endswith(")"), -F.abs(value)).otherwise(value).alias("value"), decimals.alias("decimals"))
+
+    return let(F.regexp_replace(raw, "[$,% ]", ""), lambda s: let(F.regexp_replace(s, r"^[()]+|[()]+$", ""), lambda bare: read(s, bare)))
 
 
 def stated_numbers(text: Column) -> Column:
@@ -44,17 +45,20 @@ def last_number(text: Column) -> Column:
 
 def is_correct(output: Column, gold_num: Column, gold_word: Column, question: Column, strict_sign: bool = False, rel: float = REL_TOL) -> Column:
     """struct(correct, extracted) of a numeric or yes/no question."""
-    answer = extract_answer(output)
-    words = F.regexp_extract_all(answer, F.lit(r"(?iU)\b(yes|no)\b"), 1)
-    by_word = F.coalesce(F.lower(F.try_element_at(words, F.lit(-1))) == F.lower(strip(gold_word)), F.lit(False))
-    p = last_number(answer)
-    v, d = p["value"], p["decimals"]
-    hit = near(v, d, gold_num, rel)
-    if not strict_sign:
+
+    def right(answer: Column) -> Column:
+        words = F.regexp_extract_all(answer, F.lit(r"(?iU)\b(yes|no)\b"), 1)
+        by_word = F.coalesce(F.lower(F.try_element_at(words, F.lit(-1))) == F.lower(strip(gold_word)), F.lit(False))
+        return answer.isNotNull() & F.coalesce(F.when(gold_word.isNotNull(), by_word).otherwise(let(last_number(answer), lambda p: by_number(answer, p["value"], p["decimals"]))), F.lit(False))
+
+    def by_number(answer: Column, v: Column, d: Column) -> Column:
+        hit = near(v, d, gold_num, rel)
+        if strict_sign:
+            return hit
         turned = near(-v, d, gold_num, rel)
-        hit = hit | (turned & (gold_num < 0) & (v > 0) & answer.rlike(DECREASE)) | (turned & question.rlike(DIFFERENCE))
-    correct = F.when(gold_word.isNotNull(), by_word).otherwise(hit)
-    return F.struct((answer.isNotNull() & F.coalesce(correct, F.lit(False))).alias("correct"), answer.alias("extracted"))
+        return hit | (turned & (gold_num < 0) & (v > 0) & answer.rlike(DECREASE)) | (turned & question.rlike(DIFFERENCE))
+
+    return let(extract_answer(output), lambda answer: F.struct(right(answer).alias("correct"), answer.alias("extracted")))
 
 
 def plain_number(s: Column) -> Column:
