@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenspark.functions.numbers import show_answer
+from lumenspark.functions.numbers import let, show_answer
 from lumenspark.functions.program import row_values
 from lumenspark.functions.text import rewrite, strip
 
@@ -17,11 +17,14 @@ DATE = "26 Jul 2024"
 
 def table_markdown(table: Column) -> Column:
     """First row as header, rows padded to the widest, | in cells as /."""
-    width = F.array_max(F.transform(table, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.translate(c, "|", "/")), " | "), F.lit(" |"))
-    lines = F.transform(table, line)
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- |"), width), ""))
-    return F.when(F.size(table) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).otherwise("")
+
+    def shown(t: Column, width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.translate(c, "|", "/")), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+        body = lambda lines: F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+        return F.when(F.size(t) > 0, let(F.transform(t, line), body)).otherwise("")
+
+    return let(table, lambda t: let(F.array_max(F.transform(t, lambda r: F.size(r))), lambda width: shown(t, width)))
 
 
 def _joined(parts: list[Column]) -> Column:

@@ -153,3 +153,30 @@ def test_last_of_many_ids(spark):
     assert df.filter(K.find_last(F.col("ids"), F.array(F.lit(12))) != 0).count() == 0
     assert time.time() - begin < 20
     assert value(spark, K.find_last(F.array(F.lit(1), F.lit(2)), F.array().cast("array<int>"))) == 2
+
+
+def test_rewriting_rules_in_stages(spark):
+    """Stages that a text skips leave it as all rules one after the other would."""
+    import random
+
+    rng = random.Random(3)
+    bits = [" ", "  ", "\t", "201c", "201d", "2018", "2018 2018", " 2019 2019", "2019s", "f0b7", "5", "1,200.5", "-7", "%", " %", "( ", " )", "(", ")", "$ ", "$", " ,", " .", "..", ";.", "'s", " 's", " n't", "word", "a", "\xa0", "\n", "?"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    c = F.col("t")
+    for _, pattern, replacement in X.RULES:
+        c = F.regexp_replace(c, X._FLAGS + pattern, replacement)
+    d = F.col("t")
+    for _, pattern, replacement in X.DECODE_RULES:
+        d = F.regexp_replace(d, X._FLAGS + pattern, replacement)
+    both = df.select("t", X.strip(c).alias("a"), X.rewrite(F.col("t")).alias("b"), d.alias("c"), X.decode_artifacts(F.col("t")).alias("d"))
+    assert both.filter("not (a <=> b) or not (c <=> d)").count() == 0
+
+
+def test_texts_are_read_once(spark):
+    """Answers, scores and tables compute what they use several times once: few searches stand in their expressions."""
+    df = spark.createDataFrame([("Answer: 5", 5.0, "", [["a", "b"], ["1"]])], "t string, n double, w string, g array<array<string>>")
+    count = lambda c, name: df.select(c)._jdf.queryExecution().analyzed().toString().count(name)  # once in the expression, once in its name
+    assert count(N.answer_agrees(F.col("t"), F.col("n"), F.col("w")), "regexp_extract(") <= 4
+    assert count(S.is_correct(F.col("t"), F.col("n"), F.col("w"), F.col("t")), "regexp_extract_all(") <= 6
+    assert count(R.table_markdown(F.col("g")), "array_max(") <= 2
