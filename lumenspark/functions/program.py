@@ -22,6 +22,8 @@ from lumenspark.functions.text import strip
 STEPS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "a1", "a2")]))
 RESULTS = T.ArrayType(T.StructType([T.StructField("num", T.DoubleType()), T.StructField("txt", T.StringType())]))
 TOLD = T.ArrayType(T.StructType([T.StructField("shown", T.StringType()), T.StructField("row", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType()))]))
+RAN = T.StructType([T.StructField("steps", STEPS), *RESULTS.elementType.fields])
+STORY = T.ArrayType(T.StructType([*STEPS.elementType.fields, *TOLD.elementType.fields]))
 _STEP_TYPE = pa.list_(pa.struct([(c, pa.string()) for c in ("op", "a1", "a2")]))
 _PAREN = re.compile(r"[()]")
 _ARITHMETIC = {"add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": operator.truediv, "exp": np.power}
@@ -47,10 +49,39 @@ def _steps(text: str | None) -> list[dict] | None:
     return steps if steps and depth == 0 and not text[begin:].strip(" ,") else None
 
 
+# Programs of printable characters without nested parentheses, and one step of them up to its closing parenthesis.
+_FLAT = r"^(?:[ ,]*[A-Za-z_][A-Za-z0-9_]* *\([ -'*-~]*, [ -'*-~]*\))+[ ,]*$"
+_STEP = r"^[ ,]*(?P<op>[A-Za-z0-9_]+) *\((?P<a1>.*), (?P<a2>.*)$"
+
+
+def _flat_steps(programs: pa.Array) -> pa.Array:
+    """_steps() of programs that _FLAT describes, all at once."""
+    parts = pc.split_pattern(programs, ")")
+    ends = parts.offsets.to_numpy()
+    inner = np.ones(len(parts.values), bool)
+    inner[ends[1:] - 1] = False  # what follows the last step
+    op, a1, a2 = pc.extract_regex(parts.values.filter(pa.array(inner)), _STEP).flatten()
+    steps = pa.StructArray.from_arrays([op, pc.utf8_trim(a1, " "), pc.utf8_trim(a2, " ")], names=["op", "a1", "a2"])
+    return pa.ListArray.from_arrays(pa.array(ends - np.arange(len(ends)), pa.int32()), steps)
+
+
+def _parsed(programs: pa.Array) -> pa.Array:
+    known = programs.dictionary_encode()
+    texts = known.dictionary
+    flat = pc.match_substring_regex(texts, _FLAT).to_numpy(zero_copy_only=False)
+    if not flat.any():
+        return pa.array([_steps(p) for p in texts.to_pylist()], _STEP_TYPE).take(known.indices)
+    steps = _flat_steps(texts.filter(pa.array(flat)))
+    if not flat.all():
+        others = pa.array([_steps(p) for p in texts.filter(pa.array(~flat)).to_pylist()], _STEP_TYPE)
+        place = np.where(flat, np.cumsum(flat) - 1, flat.sum() + np.cumsum(~flat) - 1)
+        steps = pa.concat_arrays([steps.cast(_STEP_TYPE), others]).take(pa.array(place))
+    return steps.take(known.indices).cast(_STEP_TYPE)
+
+
 @F.arrow_udf(STEPS)
 def _parse(programs: pa.Array) -> pa.Array:
-    known = programs.dictionary_encode()
-    return pa.array([_steps(p) for p in known.dictionary.to_pylist()], _STEP_TYPE).take(known.indices)
+    return _parsed(programs)
 
 
 def parse(c: Column, deep: bool = False) -> Column:
@@ -87,6 +118,8 @@ class _Tables:
         self.at, self.cells, self.begin = inner.offsets.to_numpy(), inner.values, int(self.rows[0])
         low, high = self.at[self.begin : self.rows[-1]], self.at[self.begin + 1 : self.rows[-1] + 1]
         filled = (high > low) & inner.is_valid().to_numpy(zero_copy_only=False)[self.begin : self.rows[-1]]
+        codes = self.cells.dictionary_encode()
+        self.codes, self.texts, self.values = codes.indices, codes.dictionary, {}
         heads = np.full(len(low), None, object)
         heads[filled] = [(x or "").strip() for x in self.cells.take(pa.array(low[filled])).to_pylist()]
         self.heads, self.known = heads.tolist(), {}
@@ -100,19 +133,34 @@ class _Tables:
         except ValueError:
             return None
         if i not in self.known:
-            some = self.cells.slice(self.at[i] + 1, self.at[i + 1] - self.at[i] - 1).to_pylist()
-            values = [_number((x or "").replace("$", "").partition("(")[0]) for x in some]
-            self.known[i] = values if values and not np.isnan(values).any() else None
+            some = self.codes.slice(self.at[i] + 1, self.at[i + 1] - self.at[i] - 1).to_pylist()
+            values = [self.value(x) for x in some]
+            self.known[i] = values if values and all(v == v for v in values) else None
         return self.known[i]
 
+    def value(self, code: int | None) -> float:
+        """The number of a cell, read once for all cells that are spelled alike."""
+        if code not in self.values:
+            self.values[code] = np.nan if code is None else _number(self.texts[code].as_py().replace("$", "").partition("(")[0])
+        return self.values[code]
+
 
 def _arguments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Value of each argument (NaN for none), and the step that it refers to (-1 for none, -2 for a bad one)."""
     known = texts.dictionary_encode()
-    names = known.dictionary.to_pylist()
-    refers = [int(a[1:]) if a[1:].isdecimal() and len(a) < 10 else -2 if a[:1] == "#" else -1 for a in names]
+    names = known.dictionary
+    plain = pc.match_substring_regex(names, r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$")
+    value = np.full(len(names) + 1, np.nan)
+    value[:-1] = pc.fill_null(pc.if_else(plain, names, None).cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    refers = np.full(len(names) + 1, -1)
+    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+        a = names[i].as_py()
+        if a[:1] == "#":
+            refers[i] = int(a[1:]) if a[1:].isdecimal() and len(a) < 10 else -2
+        else:
+            value[i] = _number(a)
     at = known.indices.to_numpy()
-    return np.array([np.nan if a[:1] == "#" else _number(a) for a in names] + [np.nan])[at], np.array([r if a[:1] == "#" else -1 for r, a in zip(refers, names, strict=True)] + [-1])[at]
+    return value[at], refers[at]
 
 
 def _run(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[float]]]:
@@ -159,20 +207,53 @@ def _lists(sizes: np.ndarray, fine: np.ndarray, fields: dict[str, pa.Array]) ->
 _WORDS = np.array([None, "yes", "no"], object)
 
 
+def _worded(word: np.ndarray) -> pa.Array:
+    return pa.array(["yes", "no"]).take(pa.array(word.astype(np.int8) - 1, mask=word == 0))
+
+
 @F.arrow_udf(RESULTS)
 def _execute(steps: pa.Array, table: pa.Array) -> pa.Array:
     sizes, fine, num, word, _ = _run(steps, table)
     keep = np.repeat(fine, sizes)
-    return _lists(sizes, fine, {"num": pa.array(num[keep], mask=np.isnan(num[keep])), "txt": pa.array(_WORDS[word[keep]], pa.string())})
+    return _lists(sizes, fine, {"num": pa.array(num[keep], mask=np.isnan(num[keep])), "txt": _worded(word[keep])})
 
 
-@F.arrow_udf(TOLD)
-def _tell(steps: pa.Array, table: pa.Array) -> pa.Array:
+@F.arrow_udf(RESULTS)
+def _results(programs: pa.Array, table: pa.Array) -> pa.Array:
+    sizes, fine, num, word, _ = _run(_parsed(programs), table)
+    keep = np.repeat(fine, sizes)
+    return _lists(sizes, fine, {"num": pa.array(num[keep], mask=np.isnan(num[keep])), "txt": _worded(word[keep])})
+
+
+@F.arrow_udf(RAN)
+def _ran(programs: pa.Array, table: pa.Array) -> pa.Array:
+    steps = _parsed(programs)
+    sizes, fine, num, word, _ = _run(steps, table)
+    fine &= sizes > 0
+    last = np.where(fine, np.cumsum(sizes) - 1, len(num))
+    num, word = np.append(num, np.nan)[last], np.append(word, 0)[last]
+    return pa.StructArray.from_arrays([steps, pa.array(num, mask=np.isnan(num)), _worded(word)], names=["steps", "num", "txt"])
+
+
+def _told(steps: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
     sizes, fine, num, word, read = _run(steps, table)
     at = np.flatnonzero(np.repeat(fine, sizes)).tolist()
-    told = [_WORDS[word[i]] or shown(float(num[i])) for i in at]
+    told = [_WORDS[w] or shown(v) for w, v in zip(word[at].tolist(), num[at].tolist(), strict=True)]
     rows = [", ".join(map(shown, read[i])) if i in read else None for i in at]
-    return _lists(sizes, fine, {"shown": pa.array(told, pa.string()), "row": pa.array(rows, pa.string()), "values": pa.array([read.get(i) for i in at], pa.list_(pa.float64()))})
+    return sizes, fine, {"shown": pa.array(told, pa.string()), "row": pa.array(rows, pa.string()), "values": pa.array([read.get(i) for i in at], pa.list_(pa.float64()))}
+
+
+@F.arrow_udf(TOLD)
+def _tell(steps: pa.Array, table: pa.Array) -> pa.Array:
+    return _lists(*_told(steps, table))
+
+
+@F.arrow_udf(STORY)
+def _story(programs: pa.Array, table: pa.Array) -> pa.Array:
+    steps = _parsed(programs)
+    sizes, fine, told = _told(steps, table)
+    keep = pa.array(np.repeat(fine, sizes))
+    return _lists(sizes, fine, {n: x.filter(keep) for n, x in zip(("op", "a1", "a2"), steps.flatten().flatten(), strict=True)} | told)
 
 
 def _needed(steps: Column, table: Column) -> Column:
@@ -190,16 +271,33 @@ def tell_steps(steps: Column, table: Column) -> Column:
     return _tell(steps, _needed(steps, table))
 
 
+def results(program: Column, table: Column) -> Column:
+    """execute_steps(parse(program), table) in one pass through Python."""
+    return _results(program, F.when(program.contains("table_"), table))
+
+
+def run(program: Column, table: Column) -> Column:
+    """struct(steps, num, txt): the steps of a program and the result of the last, each null where there is none."""
+    return _ran(program, F.when(program.contains("table_"), table))
+
+
+def tell(program: Column, table: Column) -> Column:
+    """Every step with its result as text and the table row that it reads, null if any step can't be executed."""
+    return _story(program, F.when(program.contains("table_"), table))
+
+
 def execute(program: Column, table: Column, deep: bool = False) -> Column:
     """struct(num, txt) of the last step, null if the program can't be executed."""
-    return F.try_element_at(_execute(parse(program), F.when(program.contains("table_"), table)), F.lit(-1))
+    ran = run(program, table)
+    return F.when(ran["num"].isNotNull() | ran["txt"].isNotNull(), F.struct(ran["num"].alias("num"), ran["txt"].alias("txt")))
 
 
 def literals(steps: Column) -> Column:
     """Absolute values of the number arguments as written, without a percent sign: no references, constants or row names."""
     args = F.flatten(F.transform(steps, lambda s: F.array(s["a1"], s["a2"])))
     plain = F.filter(args, lambda a: ~(a.startswith("#") | a.startswith("const_") | (a == "none")))
-    return F.array_compact(F.transform(plain, lambda a: F.abs(safe_double(F.regexp_replace(F.replace(a, F.lit(","), F.lit("")), "%+$", "")))))
+    bare = F.transform(plain, lambda a: F.when(a.contains("%"), F.regexp_replace(F.replace(a, F.lit(","), F.lit("")), "%+$", "")).otherwise(F.replace(a, F.lit(","), F.lit(""))))
+    return F.array_compact(F.transform(bare, lambda a: F.abs(safe_double(a))))
 
 
 def argument_set(steps: Column) -> Column:
@@ -212,4 +310,4 @@ def grounded(values: Column, available: Column) -> Column:
     return F.forall(values, lambda v: F.exists(available, lambda a: F.abs(v - a) <= 1e-9 + 1e-6 * a))
 
 
-__all__ = ["parse", "row_values", "execute_steps", "tell_steps", "execute", "literals", "argument_set", "grounded", "safe_double"]
+__all__ = ["parse", "row_values", "execute_steps", "tell_steps", "results", "run", "tell", "execute", "literals", "argument_set", "grounded", "safe_double"]
