@@ -39,6 +39,14 @@ def prompt(pre: Column, table: Column, post: Column, question: Column) -> Column
     return F.concat(context(pre, table, post), F.lit("\n\nQuestion: "), question)
 
 
+def longest_prompt(pre: Column, table: Column, post: Column, question: Column) -> Column:
+    """A number of characters that prompt() doesn't exceed, told from the lengths of its parts."""
+    sides = [F.length(F.array_join(t, " ")) for t in (pre, post)]
+    width = F.array_max(F.transform(table, lambda r: F.size(r)))
+    cells = F.length(F.array_join(F.flatten(table), "")) + (F.size(table) + 1) * (6 * width + 5)
+    return sides[0] + sides[1] + cells + F.length(question) + 32
+
+
 def paragraph_prompt(table: Column, paragraphs: Column, question: Column) -> Column:
     return F.concat(_joined([table_markdown(table), F.array_join(paragraphs, "\n\n")]), F.lit("\n\nQuestion: "), question)
 

@@ -43,3 +43,18 @@ def test_run_is_the_last_result(spark):
     assert [(r["r"]["num"], r["r"]["txt"]) for r in got] == [(r["w"]["num"], r["w"]["txt"]) if r["w"] else (None, None) for r in got]
     assert [r["e"] for r in got] == [r["w"] for r in got] and [r["all"][-1] if r["all"] else None for r in got] == [r["w"] for r in got]
     assert [r["r"]["num"] for r in got] == [9.0, 3.0, None, None, None, None, None]
+
+
+def test_short_prompts_pass_without_a_count(spark):
+    df = spark.createDataFrame([(["a b"], [["x", "|"], ["1"]], ["c"], "q?"), ([], [], [], ""), (["w " * 50], [[""] * 9, []], ["e"], "z " * 40)], "pre array<string>, t array<array<string>>, post array<string>, q string")
+    c = [F.col(n) for n in df.columns]
+    got = df.select(F.length(R.prompt(*c)).alias("n"), R.longest_prompt(*c).alias("most")).collect()
+    assert all(r["most"] is None or r["n"] <= r["most"] for r in got) and got[0]["most"] is not None
+
+
+def test_texts_in_one_go(spark):
+    df = spark.createDataFrame([(["a f0b7 b", "x 2019s"],), (["1,234.5", ".5 and 007"],), ([None, " \x1c"],)], "t array<string>")
+    whole = F.array_join(F.transform("t", X.decode_artifacts), " ")
+    got = df.select(X.decoded_join(F.col("t")).alias("a"), whole.alias("b"), N.numbers_in(whole).alias("n"), F.transform("t", curate.blank).alias("k")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert got[1]["n"] == [0.5, 7.0, 1234.5] and got[2]["k"] == [True, True]
