@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import datetime
 import json
+import re
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +52,111 @@ def head(df: DataFrame, order: str, n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(order).limit(n)
 
 
+#: Files of more bytes are hashed piece by piece; these endings are read decompressed, so such files stay whole.
+LARGE = 1 << 27
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate|passthrough)$"
+_BOM = b"\xef\xbb\xbf"
+
+
+class _Sha256:
+    """SHA-256 whose state another task can take up, which hashlib's objects don't allow: the functions of its OpenSSL."""
+
+    SIZE = 112  # fixed value: OpenSSL's SHA256_CTX
+
+    def __init__(self, state: bytes | None = None):
+        self.state = ctypes.create_string_buffer(state or b"", self.SIZE)
+        if state is None:
+            self.lib().SHA256_Init(self.state)
+
+    @staticmethod
+    def lib() -> ctypes.CDLL:
+        import _hashlib
+
+        return ctypes.CDLL(_hashlib.__file__)
+
+    def update(self, data: bytes) -> None:
+        self.lib().SHA256_Update(self.state, data, ctypes.c_size_t(len(data)))
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        self.lib().SHA256_Final(out, self.state)
+        return out.raw.hex()
+
+
+def _resumable() -> bool:
+    try:
+        return bool(_Sha256.lib().SHA256_Init)
+    except (ImportError, OSError, AttributeError):
+        return False
+
+
+def _chained_sha256(spark: SparkSession, path: str, size: int, begin: bytes = b"") -> str:
+    """The SHA-256 of a file of any size: one task after the other reads a split, and takes up the state of the one before.
+
+    The text source splits files and keeps the bytes of a line as they are, so lines joined by line feeds are the file, but
+    for a byte-order mark and a line feed at its end, which its size tells. The splits' order and the size are checked.
+    """
+    lines = spark.read.option("lineSep", "\n").text(_literal(path)).select(F.col("value").cast("binary"), "_metadata.file_block_start")
+    parts = lines.rdd.getNumPartitions()
+    sha = _Sha256()
+    sha.update(begin)
+    state, total, at = sha.state.raw, -1, -1
+
+    def piece(number: int) -> tuple[bytes, int, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, seen, last = _Sha256(state), total, at
+            for b in batches:
+                if b.num_rows:
+                    starts = b.column(1).to_pylist()
+                    if starts != sorted(starts) or starts[0] < last or (last == starts[0] >= 0 and last == at):
+                        raise ValueError(f"splits of {path} came out of order")
+                    data = b"\n".join(b.column(0).to_pylist())
+                    own.update(data if seen < 0 else b"\n" + data)
+                    seen, last = seen + len(data) + 1, starts[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([own.state.raw]), pa.array([seen]), pa.array([last])], names=["state", "total", "at"])
+
+        return tuple(spark.sparkContext.runJob(lines.mapInArrow(run, "state binary, total long, at long").rdd, list, [number])[0])
+
+    for number in range(parts):
+        state, total, at = piece(number)
+    left = size - len(begin) - total
+    if left in (len(_BOM), len(_BOM) + 1) and not begin:
+        return _chained_sha256(spark, path, size, _BOM)
+    if left not in (0, 1):
+        raise ValueError(f"{path} has {size} bytes, {total + len(begin)} were read")
+    sha = _Sha256(bytes(state))
+    sha.update(b"\n" * left)
+    return sha.hexdigest()
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of every file; contents are hashed where they are read."""
+    """path, bytes and sha256 of every file; contents are hashed where they are read.
+
+    A SHA-256 is one chain over a file's bytes. Files of up to LARGE bytes are read whole; of larger ones, eight side by
+    side, each task reads a split and hands the state of the chain, 112 bytes, on to the next.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = [tuple(r) for r in files.select("path", "length").filter(F.col("length") > LARGE).collect()]  # contents aren't read
+    told = _hashed_whole(files.filter(F.col("length") <= LARGE))
+    chained = [x for x in large if not re.search(PACKED, x[0])] if _resumable() else []
+    if rest := [_literal(p) for p, n in large if (p, n) not in chained]:
+        told = told.unionByName(_hashed_whole(spark.read.format("binaryFile").load(rest)))
+    if not chained:
+        return told
+    with ThreadPoolExecutor(8) as pool:
+        sums = list(pool.map(lambda x: _chained_sha256(spark, *x), chained))
+    return told.unionByName(spark.createDataFrame([(*x, y) for x, y in zip(chained, sums, strict=True)], "path string, bytes long, sha256 string"))
+
+
+def _hashed_whole(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _literal(path: str) -> str:
+    """A path as a pattern that matches only itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def count_records(rows: DataFrame, nested: str | None = None) -> DataFrame:
     """(path, records) of every file that rows come from; with `nested`, the elements of that array column count."""
     one = F.count("*") if nested is None else F.coalesce(F.sum(F.coalesce(F.size(nested), F.lit(0))), F.lit(0))

@@ -74,3 +74,43 @@ def test_pairs_respect_target(spark):
     got = preference.build_pairs(samples, prompts, 8, 1).collect()
     assert len(got) == 8 and sum(r["i"] == 0 for r in got) == 6
     assert all(r["rejected"].strip() == "Answer: 3" for r in got if r["i"] == 0) and {r["source_id"] for r in got} == set(range(6))
+
+
+def test_large_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
+    """Files that binaryFile can't hold: any bytes, line ends, byte-order marks and names; a task reads a split at most."""
+    import hashlib
+    import random
+
+    rng, bom = random.Random(3), b"\xef\xbb\xbf"
+    noise = rng.randbytes(90_000)
+    contents = {
+        "noise": noise,
+        "ended[1] {a}": noise + b"\n",
+        "ends": bytes(rng.choice(b"\n\r\0a") for _ in range(70_000)) + b"\n\n",
+        "marked.csv": bom + noise[:66_000] + b"\r\n",
+        "marked": bom + b"\n" + noise[:66_000].rstrip(b"\n"),
+        "one line": b"x" * 70_000,
+        "small": b"a\n",
+    }
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(files, "LARGE", 60_000, raising=False)
+    held = {"spark.sql.sources.binaryFile.maxLength": "60000", "spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["path"].rsplit("/", 1)[-1]: (r["bytes"], r["sha256"]) for r in files.manifest(spark, f"file://{tmp_path}").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+
+
+def test_packed_large_files_stay_whole(spark, tmp_path, monkeypatch):
+    import gzip
+    import hashlib
+
+    (tmp_path / "a.gz").write_bytes(data := gzip.compress(b"a\nb\n" * 50, mtime=0))
+    monkeypatch.setattr(files, "LARGE", 10)
+    assert [r["sha256"] for r in files.manifest(spark, f"file://{tmp_path}").collect()] == [hashlib.sha256(data).hexdigest()]
