@@ -58,3 +58,16 @@ def test_texts_in_one_go(spark):
     got = df.select(X.decoded_join(F.col("t")).alias("a"), whole.alias("b"), N.numbers_in(whole).alias("n"), F.transform("t", curate.blank).alias("k")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got]
     assert got[1]["n"] == [0.5, 7.0, 1234.5] and got[2]["k"] == [True, True]
+
+
+def test_rule_totals_normalise_only_what_is_not_ascii(spark, monkeypatch):
+    def strict(s):
+        assert not any(x.isascii() for x in s)
+        return s.str.normalize("NFKC")
+
+    df = spark.createDataFrame([("5 %",), ("5 ％",), ("a  b",), ("é  b",), (None,), ("",)], "t string")
+    want = {"percent_space": 2, "multi_space": 2}
+    assert {r["rule"]: r["n"] for r in curate.rule_totals(df, "t").collect()} == want
+    monkeypatch.setattr(X, "nfkc", F.pandas_udf(strict, "string"))
+    assert {r["rule"]: r["n"] for r in curate.rule_totals(df, "t").collect()} == want
+    assert curate.rule_totals(df.limit(0), "t").count() == 0
