@@ -31,12 +31,18 @@ def build_pairs(samples: DataFrame, prompts: DataFrame, target: int, seed: int)
 
     samples: id, samples; prompts: id, reference, answer. The target is the operator's own limit.
     """
-    unique = distinct_outputs(samples)
     lined = F.lower("output").contains("answer:")
     key = shuffle_key(F.concat_ws("#", F.col("id").cast("string"), F.col("pos").cast("string")), seed)
-    wrong = unique.filter("not correct").withColumn("i", F.row_number().over(W.partitionBy("id").orderBy(~lined, key, "pos")) - 1).filter("i < 2")
-    right = unique.filter("correct").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), "pos", "output", "extracted"))), lambda x: F.struct(x["output"].alias("output"), x["extracted"].alias("extracted"))).alias("pool"))
-    pairs = wrong.join(prompts.select("id", "reference", "answer"), "id").join(right, "id", "left")
+    # both sides of a prompt in one go, so that the samples are read and shuffled once
+    told = distinct_outputs(samples).select("id", "correct", (~lined).alias("late"), key.alias("k"), "pos", "output", "extracted")
+    wrong, right = F.struct("late", "k", "pos", "output", "extracted"), F.struct("k", "pos", "output", "extracted")
+    sides = told.groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("correct"), wrong))).alias("wrong"), F.array_sort(F.collect_list(F.when(F.col("correct"), right))).alias("right"))
+    sides = sides.filter(F.size("wrong") > 0).select(
+        "id",
+        F.slice("wrong", 1, 2).alias("wrong"),
+        F.when(F.size("right") > 0, F.transform("right", lambda x: F.struct(x["output"].alias("output"), x["extracted"].alias("extracted")))).alias("pool"),
+    )
+    pairs = sides.join(prompts.select("id", "reference", "answer"), "id").select("id", "reference", "answer", "pool", F.posexplode("wrong").alias("i", "w")).select("*", "w.output", "w.extracted")
     pool = F.coalesce("pool", F.array(F.struct(F.col("reference").alias("output"), F.col("answer").alias("extracted"))))
     chosen = F.element_at(pool, (F.col("i") % F.size(pool) + 1).cast("int"))
     pairs = pairs.select(
@@ -61,9 +67,13 @@ def build_pairs(samples: DataFrame, prompts: DataFrame, target: int, seed: int)
     return pairs.filter("i = 0").unionByName(second)
 
 
-def unpaired(samples: DataFrame) -> DataFrame:
-    """One row, no_pair_all_correct: prompts whose distinct outputs are all right, or that have none."""
-    wrong = distinct_outputs(samples).filter("not correct").select("id").distinct()
+def unpaired(samples: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row, no_pair_all_correct: prompts whose distinct outputs are all right, or that have none.
+
+    `pairs`, build_pairs() of the same samples with a prompt for each of them, tells which have a wrong one; no target
+    drops a first pair.
+    """
+    wrong = distinct_outputs(samples).filter("not correct").select("id").distinct() if pairs is None else pairs.filter("i = 0").select(F.col("source_id").alias("id")).distinct()
     return samples.join(wrong, "id", "left_anti").agg(F.count("*").alias("no_pair_all_correct"))
 
 

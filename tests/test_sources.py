@@ -114,3 +114,19 @@ def test_packed_large_files_stay_whole(spark, tmp_path, monkeypatch):
     (tmp_path / "a.gz").write_bytes(data := gzip.compress(b"a\nb\n" * 50, mtime=0))
     monkeypatch.setattr(files, "LARGE", 10)
     assert [r["sha256"] for r in files.manifest(spark, f"file://{tmp_path}").collect()] == [hashlib.sha256(data).hexdigest()]
+
+
+def test_pair_report_reads_outputs_once(spark, sf, monkeypatch):
+    from lumenspark.catalog import QUERIES
+
+    calls, plain = [], preference.distinct_outputs
+    monkeypatch.setattr(preference, "distinct_outputs", lambda s: calls.append(1) or plain(s))
+    assert QUERIES["pair_report"](spark, sf).count() == 1 and len(calls) == 1
+    one = lambda *x: [{"output": t, "correct": c, "extracted": None} for t, c in x]
+    rows = [(1, one(("a", True), (" a ", False))), (2, one(("a", False), ("b", True), ("c", False), ("d", False))), (3, []), (4, one(("  ", False))), (5, one(("x", None))), (6, None), (7, one(("Answer: 1", False), ("z", False)))]
+    samples = spark.createDataFrame(rows, "id long, samples array<struct<output:string,correct:boolean,extracted:string>>")
+    pairs = preference.build_pairs(samples, samples.select("id", F.lit("r").alias("reference"), F.lit("1").alias("answer")), 100, 1)
+    got = sorted((r["source_id"], r["i"], r["chosen"], r["chosen_source"]) for r in pairs.collect())
+    assert got == [(2, 0, "b", "sampled"), (2, 1, "b", "sampled"), (7, 0, "r", "reference"), (7, 1, "r", "reference")]
+    assert pairs.filter("source_id = 7 and i = 0").first()["rejected"] == "Answer: 1"
+    assert [preference.unpaired(samples, p).first()[0] for p in (None, pairs)] == [5, 5]
