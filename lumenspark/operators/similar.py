@@ -253,6 +253,11 @@ def _automaton(name: str, items: list[str]):
     return _automata[name]
 
 
+def _hits(texts: pa.Array, search, everything: bool) -> pa.Array:
+    """Which texts hold an item; one text at a time, for as Python strings a batch takes up to four times its bytes again."""
+    return pa.array([t is not None and (everything or next(search(t), None) is not None) for t in (x.as_py() for x in texts)], pa.bool_())
+
+
 def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> DataFrame:
     """doc_id of the documents (doc_id, text) that hold the text of an item (item) whole, once each.
 
@@ -285,9 +290,7 @@ def holding(docs: DataFrame, items: DataFrame, max_bytes: int = 8_000_000) -> Da
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = _automaton(name, shared.value).iter if shared.value else lambda text: iter(())
             for b in batches:
-                texts = b.column(1).to_pylist()
-                hit = [t is not None and (everything or next(search(t), None) is not None) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(_hits(b.column(1), search, everything))], names=["doc_id"])
 
         found = docs.select("doc_id", "text").mapInArrow(scan, T.StructType([kind]))
         if len(blocks) == 1:

@@ -241,3 +241,18 @@ def test_distinct_counts_are_close(spark):
     df = spark.range(200 * 5000).select((F.col("id") % 200).alias("g"), (F.col("id") * 1_000_003).alias("who"))
     told = levels.roll_up(levels.states(df, ["g"], "who", "who"), [["g"]], {"median": 0.5})
     assert told.filter(F.abs(F.col("distinct") - 5000) > 150).count() == 0
+
+
+def test_texts_become_strings_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([*["é" * 20_000 + "z"] * 300, None, "", "é"])
+    made = similar._automaton("one", ["éz"])
+    tracemalloc.start()
+    hit = similar._hits(texts, made.iter, False).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit == [*[True] * 300, False, False, False] and peak < 1_000_000
+    assert similar._hits(texts, made.iter, True).to_pylist() == [*[True] * 300, False, True, True]
